@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marlstone.llm import url_filters, warc
+from marlstone.llm import secret_scans, url_filters, warc
 from marlstone.sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,5 +43,18 @@ FROM named LEFT JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND star
 GROUP BY page_id, host, path
 """
 
-QUERIES: dict[str, Query] = {"op3_warc": op3_warc, "op6_url_filters": op6_url_filters}
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scans.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(secret_scans.listed("secrets", 3), 256).alias("base_sha256"),
+        secret_scans.listed("secrets").alias("spans"),
+    )
+
+
+QUERIES: dict[str, Query] = {"op3_warc": op3_warc, "op6_url_filters": op6_url_filters, "op9_secret_scans": op9_secret_scans}
 ORACLES: dict[str, str] = {"op3_warc": OP3, "op6_url_filters": OP6}
