@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import secret_scans, url_filters, warc
+from marlstone.llm import order_minhash, secret_scans, url_filters, warc
 from marlstone.sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ FROM (SELECT *, max(page_id) OVER (PARTITION BY d) AS m
 """
 
 
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.edit_and_compare(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filters.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
@@ -56,5 +60,5 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {"op3_warc": op3_warc, "op6_url_filters": op6_url_filters, "op9_secret_scans": op9_secret_scans}
+QUERIES: dict[str, Query] = {"op3_warc": op3_warc, "op5_order_minhash": op5_order_minhash, "op6_url_filters": op6_url_filters, "op9_secret_scans": op9_secret_scans}
 ORACLES: dict[str, str] = {"op3_warc": OP3, "op6_url_filters": OP6}
