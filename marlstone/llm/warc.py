@@ -87,7 +87,7 @@ def _inflated(stream: BinaryIO) -> Iterator[bytes | None]:
         begun = True
         try:
             out = inflate.decompress(data, CHUNK)
-            while inflate.unconsumed_tail:
+            while inflate.unconsumed_tail and not inflate.eof:
                 yield out
                 out = inflate.decompress(inflate.unconsumed_tail, CHUNK)
         except zlib.error as error:
