@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import order_minhash, quality_rules, secret_scans, url_filters, warc
+from marlstone.llm import bpe, order_minhash, quality_rules, secret_scans, url_filters, warc
 from marlstone.sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +48,10 @@ FROM named LEFT JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND star
 GROUP BY page_id, host, path
 """
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), digests=True)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).drop("n_lines")
 
@@ -64,5 +69,5 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {"op3_warc": op3_warc, "op5_order_minhash": op5_order_minhash, "op6_url_filters": op6_url_filters, "op8_quality_rules": op8_quality_rules, "op9_secret_scans": op9_secret_scans}
+QUERIES: dict[str, Query] = {"op3_warc": op3_warc, "op5_order_minhash": op5_order_minhash, "op6_url_filters": op6_url_filters, "op7_bpe": op7_bpe, "op8_quality_rules": op8_quality_rules, "op9_secret_scans": op9_secret_scans}
 ORACLES: dict[str, str] = {"op3_warc": OP3, "op6_url_filters": OP6}
