@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
+from marlstone.llm.batches import small_batches
+
 #: Distinct words kept in each of the two generations of a worker's memory.
 REMEMBERED = 150_000
 #: Words from this length on are not remembered.
@@ -291,6 +293,7 @@ def encode(df: DataFrame, path: str, id_column: str = "doc_id", text: str = "tex
     own installation. A null text counts as empty, which has no tokens. Rows
     are independent: no shuffle, and no row is joined with another.
     """
+    small_batches(df.sparkSession)
     key = df.schema[id_column].dataType.simpleString()
     out = f"`{id_column}` {key}, n_tokens bigint, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
 
