@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, mixing, order_minhash, quality_rules, secret_scans, suffix_dedup, toxicity, url_filters, warc
+from marlstone.llm import bpe, mixing, ngram_join, order_minhash, quality_rules, secret_scans, suffix_dedup, toxicity, url_filters, warc
 from marlstone.sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,10 @@ FROM (SELECT *, max(page_id) OVER (PARTITION BY d) AS m
 """
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "copies")
+
+
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.edit_and_compare(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -83,5 +87,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op1_toxicity": op1_toxicity, "op2_mixing": op2_mixing, "op3_warc": op3_warc, "op5_order_minhash": op5_order_minhash, "op6_url_filters": op6_url_filters, "op7_bpe": op7_bpe, "op8_quality_rules": op8_quality_rules, "op9_secret_scans": op9_secret_scans, "op10_suffix_dedup": op10_suffix_dedup}
+QUERIES: dict[str, Query] = {"op1_toxicity": op1_toxicity, "op2_mixing": op2_mixing, "op3_warc": op3_warc, "op4_ngram_join": op4_ngram_join, "op5_order_minhash": op5_order_minhash, "op6_url_filters": op6_url_filters, "op7_bpe": op7_bpe, "op8_quality_rules": op8_quality_rules, "op9_secret_scans": op9_secret_scans, "op10_suffix_dedup": op10_suffix_dedup}
 ORACLES: dict[str, str] = {"op3_warc": OP3, "op6_url_filters": OP6}
