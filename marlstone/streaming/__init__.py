@@ -1 +1,5 @@
+"""Structured Streaming plans over the events table."""
 
+from marlstone.streaming.windows import event_stream, windowed
+
+__all__ = ["event_stream", "windowed"]
