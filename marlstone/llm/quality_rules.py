@@ -124,6 +124,12 @@ def _measured(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     return rows.join(estimate, "cell").withColumn("d2", d2)
 
 
+def _kept(cells: DataFrame, name: str) -> DataFrame:
+    """A table of one row for each cell, written as one file: Spark then sees its true size, and
+    need not deal all rows out by cell, where the largest would land in one task, to join with it."""
+    return materialize(cells.repartition(1), name)
+
+
 def robust_estimates(vectors: DataFrame) -> DataFrame:
     """Centre and spread of each cell by concentration steps, and a factor ``scale``.
 
@@ -143,17 +149,17 @@ def robust_estimates(vectors: DataFrame) -> DataFrame:
     for i, f in enumerate(names):
         for j in range(i + 1):
             first[f"l_{i}{j}"] = F.sqrt(F.pow((F.col(f)[2] - F.col(f)[0]) / 1.349, 2) + LEAST_SPREAD[f] ** 2) if i == j else F.lit(0.0)
-    estimate = materialize(quartiles.select("cell", *(v.alias(k) for k, v in first.items())), "mcd-start")
+    estimate = _kept(quartiles.select("cell", *(v.alias(k) for k, v in first.items())), "mcd-start")
     for step in range(STEPS):
         measured = _measured(vectors, estimate)
         within = measured.groupBy("cell").agg(F.percentile_approx("d2", SUPPORT, 1000).alias("within"))
-        near = measured.join(materialize(within, f"mcd-within-{step}"), "cell").where("d2 <= within")
+        near = measured.join(_kept(within, f"mcd-within-{step}"), "cell").where("d2 <= within")
         sums = {f"s_{i}": F.sum(f) for i, f in enumerate(names)}
         products = {f"p_{i}{j}": F.sum(F.col(f) * F.col(names[j])) for i, f in enumerate(names) for j in range(i + 1)}
         moments = near.groupBy("cell").agg(F.count("*").alias("n"), *(v.alias(k) for k, v in (sums | products).items()))
-        estimate = materialize(_factored(moments), f"mcd-{step}")
+        estimate = _kept(_factored(moments), f"mcd-{step}")
     scale = _measured(vectors, estimate).groupBy("cell").agg((CHI2_MEDIAN / F.greatest(F.percentile_approx("d2", 0.5, 1000), F.lit(CHI2_MEDIAN))).alias("scale"))
-    return materialize(estimate.join(scale, "cell"), "mcd")
+    return _kept(estimate.join(scale, "cell"), "mcd")
 
 
 def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep: list[str] | None = None) -> DataFrame:
@@ -177,7 +183,7 @@ def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "
     part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null"))
     name = F.when(F.col("n") >= CELL_ROWS, F.to_json(F.array(part("cell_lang"), part("cell_source")))).when(F.col("n_lang") >= CELL_ROWS, F.to_json(F.array(part("cell_lang")))).otherwise("[]")
     named = cells.join(langs, F.col("cell_lang").eqNullSafe(F.col("of_lang"))).select("of_lang", F.col("cell_source").alias("of_source"), name.alias("cell"))
-    named = materialize(named, "quality-cells")
+    named = _kept(named, "quality-cells")
     own = F.col("cell_lang").eqNullSafe(F.col("of_lang")) & F.col("cell_source").eqNullSafe(F.col("of_source"))
     values = [F.expr(sql).alias(f) for f, sql in FEATURES.items()]
     vectors = materialize(ok.join(named, own).select(*(f"keep_{k}" for k in keep), "cell", *_STATS, *values), "quality-vectors")
