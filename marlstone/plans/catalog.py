@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.operators import bootstrap, clean, describe, panel, regression
+from marlstone.operators import bootstrap, clean, describe, joins, panel, regression
 from marlstone.operators import robustness as robust
 from marlstone.operators.compare import ratio_and_gap
 from marlstone.sources import materialize, table
@@ -221,6 +221,71 @@ WITH l AS (SELECT user_id, event_type, arg_max(value, event_id) AS v, max(event_
 SELECT user_id, event_type, 'value' AS name, coalesce(v, 0) AS value FROM l UNION ALL SELECT user_id, event_type, 'event_id', CAST(e AS DOUBLE) FROM l
 """
 
+def _seconds(events: DataFrame) -> DataFrame:
+    return events.select("event_id", "user_id", "event_type", "value", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"))
+
+
+def last_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _seconds(table(spark, sf_dir, "events"))
+    views = events.where("event_type = 'view'").select("user_id", "at", F.col("event_id").alias("view_id"))
+    return joins.as_of(events.where("event_type = 'purchase'").select("event_id", "user_id", "at"), views, ["user_id"], "at", ["view_id"])
+
+
+_AT = "SELECT event_id, user_id, event_type, value, CAST(floor(epoch(ts)) AS BIGINT) AS \"at\" FROM events"
+LAST_VIEW = f"""
+WITH e AS ({_AT}), p AS (SELECT * FROM e WHERE event_type = 'purchase'), v AS (SELECT * FROM e WHERE event_type = 'view')
+SELECT p.event_id, p.user_id, p."at", arg_max(v.event_id, (v."at", v.event_id)) AS view_id
+FROM p LEFT JOIN v ON p.user_id = v.user_id AND v."at" <= p."at" GROUP BY 1, 2, 3
+"""
+
+
+def after_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _seconds(table(spark, sf_dir, "events"))
+    spans = events.where("event_type = 'error'").select("user_id", F.col("at").alias("error_at"), F.col("event_id").alias("error_id"))
+    pairs = joins.interval(events.where("event_type <> 'error'"), spans, ["user_id"], "at", "error_at", 86_400 * 3)
+    return pairs.groupBy("error_id").agg(F.count("*").alias("n"), F.min(F.col("at") - F.col("error_at")).alias("soonest"))
+
+
+AFTER_ERRORS = f"""
+WITH e AS ({_AT})
+SELECT b.event_id AS error_id, count(*) AS n, min(a."at" - b."at") AS soonest FROM e a JOIN e b ON a.user_id = b.user_id AND a."at" >= b."at" AND a."at" < b."at" + 259200
+WHERE a.event_type <> 'error' AND b.event_type = 'error' GROUP BY 1
+"""
+
+
+def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = joins.sessions(_seconds(table(spark, sf_dir, "events")), ["user_id"], "at", 86_400)
+    return found.groupBy("user_id", "session").agg(F.count("*").alias("n"), (F.max("at") - F.min("at")).alias("seconds"))
+
+
+USER_SESSIONS = f"""
+WITH e AS ({_AT}), g AS (SELECT *, CASE WHEN "at" - lag("at") OVER (PARTITION BY user_id ORDER BY "at") <= 86400 THEN 0 ELSE 1 END AS b FROM e),
+s AS (SELECT *, CAST(sum(b) OVER (PARTITION BY user_id ORDER BY "at") AS BIGINT) AS session FROM g)
+SELECT user_id, session, count(*) AS n, max("at") - min("at") AS seconds FROM s GROUP BY 1, 2
+"""
+
+
+def price_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cube = table(spark, sf_dir, "orders").cube("o_orderstatus", "o_orderpriority")
+    return cube.agg(F.grouping_id().alias("level"), F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
+
+
+PRICE_CUBE = """
+SELECT o_orderstatus, o_orderpriority, CAST(grouping(o_orderstatus, o_orderpriority) AS BIGINT) AS level, count(*) AS n, round(avg(o_totalprice), 4) AS mean
+FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)
+"""
+
+
+def top_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return joins.top(orders.select("c_mktsegment", "o_orderkey", "o_totalprice"), ["c_mktsegment"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 10)
+
+
+TOP_ORDERS = """
+SELECT * FROM (SELECT c_mktsegment, o_orderkey, o_totalprice, CAST(row_number() OVER (PARTITION BY c_mktsegment ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS rank
+FROM orders JOIN customer ON o_custkey = c_custkey) WHERE rank <= 10
+"""
+
 QUERIES: dict[str, Query] = {
     "segment_gap": segment_gap,
     "nation_panel": nation_panel,
@@ -238,6 +303,11 @@ QUERIES: dict[str, Query] = {
     "robustness": robustness,
     "event_windows": event_windows,
     "last_events": last_events,
+    "last_view": last_view,
+    "after_errors": after_errors,
+    "user_sessions": user_sessions,
+    "price_cube": price_cube,
+    "top_orders": top_orders,
 }
 #: ``robustness`` has none: it is a table of fits, and those are covered by the others' and by tests.
 ORACLES: dict[str, str] = {
@@ -256,4 +326,9 @@ ORACLES: dict[str, str] = {
     "mediation_bootstrap": MEDIATION_BOOTSTRAP,
     "event_windows": EVENT_WINDOWS,
     "last_events": LAST_EVENTS,
+    "last_view": LAST_VIEW,
+    "after_errors": AFTER_ERRORS,
+    "user_sessions": USER_SESSIONS,
+    "price_cube": PRICE_CUBE,
+    "top_orders": TOP_ORDERS,
 }
