@@ -27,7 +27,7 @@ def _powers(base: int, n: int) -> np.ndarray:
         return np.concatenate([np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)]).cumprod(dtype=np.uint64)
 
 
-_UP, _DOWN = _powers(_BASE, CHUNK + WINDOW + 1), _powers(_INVERSE, CHUNK + WINDOW + 1)
+_UP, _DOWN = _powers(_BASE, CHUNK + 2 * WINDOW + 1), _powers(_INVERSE, CHUNK + 2 * WINDOW + 1)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -39,25 +39,42 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def hashes(data: np.ndarray, length: int) -> np.ndarray:
-    """A 64-bit hash of each string of ``length`` bytes in ``data``, which has CHUNK + WINDOW bytes at most."""
+    """A 64-bit hash of each string of ``length`` bytes in ``data``, which has CHUNK + 2 * WINDOW bytes at most."""
     n = len(data) - length + 1
     with np.errstate(over="ignore"):
         sums = np.concatenate([np.zeros(1, np.uint64), (_BYTE[data] * _UP[: len(data)]).cumsum(dtype=np.uint64)])
         return mixed((sums[length:] - sums[:n]) * _DOWN[:n])
 
 
-def zones(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a whole text: each zone's first window, number of windows, and anchor's hash.
+_SEEN = np.zeros(1 << 18, bool)
 
+
+def _again(h: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Those of ``values`` that occur in ``h`` twice within WINDOW places."""
+    slot, shift = values >> np.uint64(46), np.uint64(46)
+    _SEEN[slot] = True
+    at = np.flatnonzero(_SEEN[h >> shift])
+    _SEEN[slot] = False
+    order = np.argsort(h[at], kind="stable")
+    at, found = at[order], h[at[order]]
+    return found[1:][(found[1:] == found[:-1]) & (at[1:] - at[:-1] <= WINDOW)]
+
+
+def zones(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a whole text: each zone's first window, number of windows, anchor's hash, and whether windows in it can be equal.
+
+    Equal windows that overlap by half or more may share one zone. Their anchors'
+    hash then occurs twice within WINDOW places, as it does in periodic text only.
     Zones that a chunk's end cuts are put together again, so chunks do not show.
     """
     total = len(data) - WINDOW + 1  # windows
     if total <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    firsts, values = [], []
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
+    firsts, values, again = [], [], []
     for begin in range(0, total, CHUNK):
         windows = min(CHUNK, total - begin)
-        h = hashes(data[begin : begin + windows + WINDOW - 1], GRAM)
+        wide = hashes(data[begin : begin + windows + 2 * WINDOW - 1], GRAM)
+        h = wide[: windows + REACH - 1]
         # least of REACH neighbours: prefixes and suffixes of blocks of that length
         n = len(h)
         padded = np.full(-(-n // REACH) * REACH, np.iinfo(np.uint64).max, np.uint64)
@@ -71,8 +88,10 @@ def zones(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         first = np.concatenate([[0], change])
         firsts.append(first + begin)
         values.append(least[first])
-    first, value = np.concatenate(firsts), np.concatenate(values)
+        again.append(_again(wide, values[-1]))
+    first, value, again = np.concatenate(firsts), np.concatenate(values), np.concatenate(again)
     if len(firsts) > 1:
         keep = np.concatenate([[True], value[1:] != value[:-1]])
         first, value = first[keep], value[keep]
-    return first, np.diff(np.append(first, total)), value
+    twice = np.isin(value, again) if len(again) else np.zeros(len(value), bool)
+    return first, np.diff(np.append(first, total)), value, twice

@@ -53,7 +53,8 @@ _LONG = pa.int64()
 
 
 def _zones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text and its hash to the text's zones; zones of more than REACH windows, as in periodic text, in pieces."""
+    """doc_id, text and its hash to the text's zones;
+    a zone in which windows may be equal, in periodic text, comes in pieces, of REACH windows at most, that are compared as zones are."""
     for batch in batches:
         held: dict[str, list] = {k: [] for k in ("anchor", "zone", "doc_id", "place")}
         size = 0
@@ -61,11 +62,13 @@ def _zones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = text.as_buffer()
             if raw is None or raw.size < WINDOW:
                 continue
-            first, n, value = anchors.zones(np.frombuffer(raw, np.uint8))
-            if n.max() > REACH:
-                pieces = -(-n // REACH)
+            first, n, value, twice = anchors.zones(np.frombuffer(raw, np.uint8))
+            if twice.any():
+                piece = np.where(twice & (n > 1), np.where(n > REACH, REACH, (n + 1) // 2), n)
+                pieces = -(-n // piece)
                 nth = np.arange(pieces.sum()) - np.repeat(pieces.cumsum() - pieces, pieces)
-                first, n, value = np.repeat(first, pieces) + nth * REACH, np.minimum(np.repeat(n, pieces) - nth * REACH, REACH), np.repeat(value, pieces)
+                n, piece = np.repeat(n, pieces), np.repeat(piece, pieces)
+                first, n, value = np.repeat(first, pieces) + nth * piece, np.minimum(n - nth * piece, piece), np.repeat(value, pieces)
             view = memoryview(raw)
             digest = xxhash.xxh3_64_intdigest
             zone = np.fromiter((digest(view[a:b]) for a, b in zip(first.tolist(), (first + n + (WINDOW - 1)).tolist(), strict=True)), np.uint64, len(first))

@@ -41,6 +41,8 @@ def texts():
     for _ in range(30):  # a passage that many share, with and without its first and last bytes
         cut = passage[rng.choice([0, 0, 1, 3]) : len(passage) - rng.choice([0, 0, 2])]
         made.append(f"{some(rng.randint(0, 80))} {cut} {some(rng.randint(0, 80))}")
+    made += [f"{some(30)} " + f"{word()} " * rng.randint(20, 120) + some(30) for _ in range(25)]  # runs of one word
+    made += ["Of " * n + some(10) for n in (66, 67, 68, 70, 80, 100, 101, 102, 110, 150)] + [(some(3) + " ") * 12 for _ in range(6)] + ["q" * n for n in (201, 202, 299, 300, 301, 302, 303, 400, 401)]
     made += [passage.encode()[: W + k].decode("utf-8", "ignore") for k in (-1, 0, 1, 5)]
     made += [some(50) + passage + some(20) + passage, some(40) + "q" * 205 + some(5) + "q" * 200]
     return made
@@ -69,7 +71,8 @@ def test_zones_do_not_depend_on_chunks(monkeypatch):
     monkeypatch.setattr(A, "CHUNK", 301)
     for a, b in zip(whole, A.zones(data), strict=True):
         assert (a == b).all()
-    first, n, value = whole
+    first, n, value, twice = whole
+    assert twice.any() and not twice.all()
     h = A.hashes(data, A.GRAM)
     want = [h[i : i + A.REACH].min() for i in range(len(data) - W + 1)]
     assert (np.repeat(value, n) == want).all() and (np.repeat(first, n) <= np.arange(len(want))).all()
