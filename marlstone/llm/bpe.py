@@ -13,24 +13,29 @@ import hashlib
 import heapq
 import json
 import re
+import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from marlstone.llm.batches import small_batches
 
-#: Distinct words kept in each of the two generations of a worker's memory.
-REMEMBERED = 150_000
+#: Distinct words, and pieces, kept in each of the two generations of a worker's memory.
+REMEMBERED = 200_000
 #: Words from this length on are not remembered.
 LONG_WORD = 200
 #: Pieces up to this many symbols are merged by a plain search for the least rank, longer ones with a heap.
 SHORT = 48
 
 ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+|[\x1c-\x1f]+", re.ASCII)
+#: Letters below this are the same in every edition of Unicode in use.
+LATIN_END = "\u0250"
+LATIN_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+|[\x1c-\x1f]+")
 #: What str.split takes for white space and the tokenizer's \s does not.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -87,11 +92,13 @@ class Vocabulary:
     def pieces(self, word: str) -> Iterable[str]:
         """The pieces of a word without white space, in byte letters; none reaches into another.
 
-        Letters beyond ASCII are normalized and classed by the library, whose
-        edition of Unicode decides.
+        Letters beyond Latin ones are normalized and classed by the library,
+        whose edition of Unicode decides.
         """
         if word.isascii():
-            return ASCII_PIECES.findall(word.lower()) if word.isprintable() else (_in_letters(x) for x in ASCII_PIECES.findall(word.lower()))
+            return ASCII_PIECES.findall(word.lower()) if word.isprintable() else map(_in_letters, ASCII_PIECES.findall(word.lower()))
+        if max(word) < LATIN_END and unicodedata.is_normalized("NFC", word):
+            return map(_in_letters, LATIN_PIECES.findall(word.lower()))
         return (x for x, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(word)))
 
 
@@ -103,24 +110,22 @@ def _in_letters(text: str) -> str:
 
 
 def merged(parts: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
-    """The tokens that the merge list makes of symbols."""
+    """The tokens that the merge list makes of symbols: the pair of least rank, and of these the first, becomes one, again and again."""
     if len(parts) > SHORT:
         return _merged_long(parts, ranks)
-    none = len(ranks)
-    while len(parts) > 1:
-        found = [ranks.get(p, none) for p in zip(parts, parts[1:])]  # noqa: B905
+    none, get = len(ranks), ranks.get
+    found = [get(p, none) for p in zip(parts, parts[1:])]  # noqa: B905
+    while found:
         least = min(found)
         if least == none:
             break
-        at, out = 0, []
-        while at < len(parts):
-            if at < len(found) and found[at] == least:
-                out.append(parts[at] + parts[at + 1])
-                at += 2
-            else:
-                out.append(parts[at])
-                at += 1
-        parts = out
+        i = found.index(least)
+        parts[i] += parts.pop(i + 1)
+        del found[i]
+        if i:
+            found[i - 1] = get((parts[i - 1], parts[i]), none)
+        if i < len(found):
+            found[i] = get((parts[i], parts[i + 1]), none)
     return parts
 
 
@@ -179,22 +184,53 @@ class Transducer:
         self.held, self.size = [], 0
 
 
-class Encoder:
-    """Ids of whole texts. Words, cut at white space, are independent of each other, so their ids are remembered."""
+class Memory:
+    """What was made of strings, the latest REMEMBERED to twice as many of them."""
 
-    def __init__(self, vocabulary: Vocabulary) -> None:
-        self.v = vocabulary
+    def __init__(self) -> None:
         self.young: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
 
-    def _piece(self, piece: str) -> Iterator[int]:
-        stream = Transducer(self.v)
-        yield from stream.feed(piece)
-        yield from stream.finish()
+    def put(self, key: str, value: tuple[int, ...]) -> None:
+        if len(self.young) >= REMEMBERED:
+            self.old.clear()
+            self.old.update(self.young)  # both dicts stay the same objects
+            self.young.clear()
+        self.young[key] = value
+
+
+class Encoder:
+    """Ids of whole texts. Words, cut at white space, and their pieces are independent of each other, so their ids are remembered."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.v, self.words, self.known_pieces = vocabulary, Memory(), Memory()
+
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        memory = self.known_pieces
+        ids = memory.young.get(piece)
+        if ids is None:
+            ids = memory.old.get(piece)
+            if ids is None:
+                stream = Transducer(self.v)
+                if len(piece) <= self.v.lookahead:  # nothing of it is stable before its end
+                    stream.held = list(piece)
+                    return self._kept(piece, stream)
+                return (*stream.feed(piece), *stream.finish())
+            memory.put(piece, ids)
+        return ids
+
+    def _kept(self, piece: str, stream: Transducer) -> tuple[int, ...]:
+        ids = tuple(stream.finish())
+        if len(piece) < LONG_WORD:
+            self.known_pieces.put(piece, ids)
+        return ids
 
     def _word(self, word: str) -> tuple[int, ...]:
+        parts = [word]
+        if self.v.split_added:
+            parts = self.v.split_added.split(word)
         out: list[int] = []
-        for part in self.v.split_added.split(word) if self.v.split_added else [word]:
+        for part in parts:
             if part in self.v.added:
                 out.append(self.v.added[part])
             elif part:
@@ -203,18 +239,16 @@ class Encoder:
         return tuple(out)
 
     def word(self, word: str) -> tuple[int, ...]:
-        ids = self.old.get(word)
+        ids = self.words.old.get(word)
         if ids is None:
             ids = self._word(word)
         if len(word) < LONG_WORD:
-            if len(self.young) >= REMEMBERED:
-                self.old, self.young = self.young, {}
-            self.young[word] = ids
+            self.words.put(word, ids)
         return ids
 
     def encode(self, text: str) -> list[int]:
         words = text.split() if not ODD_SPACE.search(text) else [w for w in SPACE.split(text) if w]
-        get, word = self.young.get, self.word
+        get, word = self.words.young.get, self.word
         known = [get(w) for w in words]
         if None in known:
             known = [word(w) if k is None else k for w, k in zip(words, known, strict=True)]
