@@ -1,8 +1,14 @@
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 import pytest
 from pyspark.sql import SparkSession
 
+# Python workers find the packages wherever the tests are started
+os.environ["PYTHONPATH"] = os.pathsep.join([str(Path(__file__).resolve().parents[1]), *filter(None, [os.environ.get("PYTHONPATH")])])
+
 
 @pytest.fixture(scope="session")
 def spark():
