@@ -4,8 +4,9 @@ A byte goes where a string of WINDOW bytes that covers it starts elsewhere too.
 Sorting every suffix of the corpus would move each text WINDOW times, so only
 suffixes that can repeat are sorted, and all of these are:
 
-1. Each text is cut into zones (see ``anchors``): runs of windows that share an
-   anchor. Zones whose anchor occurs once hold no repeated window. Zones that
+1. Texts that are equal as a whole repeat as a whole, and a task looks at one
+   of them only. Each text is cut into zones (see ``anchors``): runs of windows
+   that share an anchor. Zones whose anchor occurs once hold no repeated window. Zones that
    are equal as a whole are repeated as a whole. Of zones that share an anchor
    and differ, one of each kind goes on, with its bytes.
 2. Sampled splitters range-partition these by the leading bytes of the suffix
@@ -38,6 +39,8 @@ from marlstone.sources import materialize
 HOT_ZONES = 2_000
 #: Suffixes that a bucket sorts at once, as far as whole anchors allow.
 SORTED_AT_ONCE = 200_000
+#: Texts that a task remembers having cut.
+REMEMBERED = 200_000
 #: Zones are emitted in batches of about so many.
 ROWS = 20_000
 
@@ -53,15 +56,19 @@ _LONG = pa.int64()
 
 
 def _zones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text and its hash to the text's zones;
+    """doc_id, text and its hash to the zones of texts that the task has not seen;
     a zone in which windows may be equal, in periodic text, comes in pieces, of REACH windows at most, that are compared as zones are."""
+    done: set[tuple[int, int]] = set()
     for batch in batches:
         held: dict[str, list] = {k: [] for k in ("anchor", "zone", "doc_id", "place")}
         size = 0
         for doc_id, text, text_hash in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist(), strict=True):
             raw = text.as_buffer()
-            if raw is None or raw.size < WINDOW:
+            if raw is None or raw.size < WINDOW or (text_hash, raw.size) in done:
                 continue
+            if len(done) >= REMEMBERED:
+                done.clear()
+            done.add((text_hash, raw.size))
             first, n, value, twice = anchors.zones(np.frombuffer(raw, np.uint8))
             if twice.any():
                 piece = np.where(twice & (n > 1), np.where(n > REACH, REACH, (n + 1) // 2), n)
@@ -75,7 +82,7 @@ def _zones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held["anchor"].append(value.view(np.int64))
             held["zone"].append(zone.view(np.int64))
             held["doc_id"].append(pa.repeat(doc_id, len(first)))
-            held["place"].append((np.int64(text_hash) << 38) | (first << WIDE) | n)
+            held["place"].append((np.int64(text_hash & ((1 << HASH_BITS) - 1)) << 38) | (first << WIDE) | n)
             size += len(first)
             if size > ROWS:
                 yield _joined(held)
@@ -274,7 +281,13 @@ def _spans(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("text_hash", F.pmod(F.xxhash64("text"), F.lit(1 << HASH_BITS)))
+    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("whole_hash", F.xxhash64("text"))
+    own_hash = F.col("whole_hash").bitwiseAND((1 << HASH_BITS) - 1)
+
+    # texts that are equal as a whole; only their ids and hashes are dealt out
+    lengths = texts.select("doc_id", "whole_hash", F.octet_length("text").cast("long").alias("n")).where(F.col("n") >= WINDOW)
+    several = lengths.groupBy("whole_hash", "n").agg(F.count("*").alias("copies")).where("copies > 1")
+    copied = lengths.join(several, ["whole_hash", "n"]).select("doc_id", F.shiftleft(own_hash, 38).alias("place"), F.lit(0).cast("long").alias("first"), "n")
 
     zones = texts.mapInArrow(_zones, f"anchor long, zone long, doc_id {kind}, place long")
     alike = zones.withColumn("n_anchor", F.count("*").over(Window.partitionBy("anchor"))).where("n_anchor > 1")
@@ -288,7 +301,7 @@ def _spans(docs: DataFrame) -> DataFrame:
 
     of_text = F.shiftright("place", 38).alias("of_hash")
     wanted = alike.where("anchor IS NOT NULL").groupBy(F.col("doc_id").alias("of_id"), of_text).agg(F.collect_list(F.struct("place", "anchor", "whole", "hot")).alias("zones"))
-    own = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash"))
+    own = F.col("doc_id").eqNullSafe(F.col("of_id")) & (own_hash == F.col("of_hash"))
     bodies = texts.join(wanted, own).select("doc_id", "text", "zones").mapInArrow(_with_bytes, f"doc_id {kind}, place long, anchor long, whole boolean, hot boolean, lead long, body binary")
     bodies = materialize(bodies, "repeat-bodies")
 
@@ -305,7 +318,7 @@ def _spans(docs: DataFrame) -> DataFrame:
         hits = found.where("NOT edge").select("doc_id", "place", "first").unionByName(edges.select("doc_id", "place", "first"))
         spans = spans.unionByName(hits.withColumn("n", F.lit(WINDOW).cast("long")))
     whole = alike.where("whole").select("doc_id", "place", F.expr(f"shiftright(place, {WIDE}) & {(1 << 31) - 1}L").alias("first"), F.expr(f"(place & {(1 << WIDE) - 1}L) + {WINDOW - 1}L").alias("n"))
-    gathered = whole.unionByName(spans).groupBy(F.col("doc_id").alias("of_id"), of_text).agg(F.collect_list(F.struct("first", "n")).alias("spans"))
+    gathered = whole.unionByName(copied).unionByName(spans).groupBy(F.col("doc_id").alias("of_id"), of_text).agg(F.collect_list(F.struct("first", "n")).alias("spans"))
     return texts.join(gathered, own, "left").select("doc_id", "text", "spans")
 
 
