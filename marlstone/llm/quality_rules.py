@@ -35,7 +35,7 @@ D = len(FEATURES)
 LEAST_SPREAD = {"log_words": 0.25, "log_word_chars": 0.08, "symbol_share": 0.05, "dup_line_share": 0.1, "repeat_share": 0.1}
 #: Share of rows that give the estimate, and how many concentration steps are made.
 SUPPORT, STEPS = 0.75, 3
-#: Cells (language and source) with fewer rows share one estimate for the language, and those of rare languages one for all.
+#: Cells (language and source) with fewer rows use the estimate from all rows of their language, and rare languages that from all rows.
 CELL_ROWS = 100
 #: Median of chi-squared with 5 degrees of freedom, and its upper 1e-6 quantile: beyond any ordinary text.
 CHI2_MEDIAN, CHI2_CUT = 4.3515, 35.89
@@ -170,7 +170,8 @@ def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "
     kept is false for base_failed and for a scaled squared distance beyond
     CHI2_CUT. ``d2`` is null for base_failed. Null languages or sources are
     cells of their own. A cell with fewer than CELL_ROWS rows to estimate from
-    uses its language's estimate, and a language with fewer uses that of all.
+    uses its language's estimate, which is from all rows of the language, and a
+    language with fewer uses that from all rows of all languages.
     """
     keep = keep or ["doc_id"]
     base = (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")) | (F.col("n_words") < LEAST_WORDS)
@@ -179,15 +180,22 @@ def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "
     counted = materialize(counted, "quality-statistics")
     ok = counted.where(~F.col("base_failed"))
     cells = ok.groupBy("cell_lang", "cell_source").agg(F.count("*").alias("n"))
-    langs = cells.groupBy(F.col("cell_lang").alias("of_lang")).agg(F.sum("n").alias("n_lang"))
+    langs = cells.groupBy(F.col("cell_lang").alias("of_lang")).agg(F.sum("n").alias("n_lang"), F.min("n").alias("n_least"))
+    rare = langs.agg(F.min("n_lang").alias("n_least_lang"))
     part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null"))
-    name = F.when(F.col("n") >= CELL_ROWS, F.to_json(F.array(part("cell_lang"), part("cell_source")))).when(F.col("n_lang") >= CELL_ROWS, F.to_json(F.array(part("cell_lang")))).otherwise("[]")
-    named = cells.join(langs, F.col("cell_lang").eqNullSafe(F.col("of_lang"))).select("of_lang", F.col("cell_source").alias("of_source"), name.alias("cell"))
+    by_source, by_lang, by_all = F.to_json(F.array(part("cell_lang"), part("cell_source"))), F.to_json(F.array(part("cell_lang"))), F.lit("[]")
+    large, large_lang = F.col("n") >= CELL_ROWS, F.col("n_lang") >= CELL_ROWS
+    name = F.when(large, by_source).when(large_lang, by_lang).otherwise(by_all)
+    # the estimates that a row counts in: its own cell's, and those of language and all if any cell uses them
+    levels = F.array_compact(F.array(F.when(large, by_source), F.when(large_lang & (F.col("n_least") < CELL_ROWS), by_lang), F.when(F.col("n_least_lang") < CELL_ROWS, by_all)))
+    named = cells.join(langs, F.col("cell_lang").eqNullSafe(F.col("of_lang"))).crossJoin(rare)
+    named = named.select("of_lang", F.col("cell_source").alias("of_source"), name.alias("cell"), levels.alias("levels"))
     named = _kept(named, "quality-cells")
     own = F.col("cell_lang").eqNullSafe(F.col("of_lang")) & F.col("cell_source").eqNullSafe(F.col("of_source"))
     values = [F.expr(sql).alias(f) for f, sql in FEATURES.items()]
-    vectors = materialize(ok.join(named, own).select(*(f"keep_{k}" for k in keep), "cell", *_STATS, *values), "quality-vectors")
-    measured = _measured(vectors, robust_estimates(vectors)).withColumn("d2", F.col("d2") * F.col("scale"))
+    vectors = materialize(ok.join(named, own).select(*(f"keep_{k}" for k in keep), "cell", "levels", *_STATS, *values), "quality-vectors")
+    members = vectors.select(F.explode("levels").alias("cell"), *FEATURES)
+    measured = _measured(vectors, robust_estimates(members)).withColumn("d2", F.col("d2") * F.col("scale"))
     final = [F.col(f"keep_{k}").alias(k) for k in keep]
     judged = measured.select(*final, *_STATS, F.lit(False).alias("base_failed"), "d2", (F.col("d2") <= CHI2_CUT).alias("kept"))
     failed = counted.where("base_failed").select(*final, *_STATS, "base_failed", F.lit(None).cast("double").alias("d2"), F.lit(False).alias("kept"))

@@ -65,3 +65,19 @@ def test_estimates_are_near_those_of_the_clean_rows(spark):
     assert np.abs(got - centre).max() < 0.25
     spread = np.array([est[f"l_{i}{i}"] for i in range(Q.D)]) / np.sqrt(est.scale)
     assert np.abs(spread / [2, 1, 3, 1, 1] - 1).max() < 0.25
+
+
+def test_rare_sources_and_languages_are_measured_by_all_rows_of_the_level_above(spark):
+    rng = random.Random(9)
+    made = lambda: ["".join(rng.choices("abcdefghijkl", k=rng.randint(2, 9))) for _ in range(rng.randint(60, 600))]
+    cells = [*[("en", "large", 0)] * 300, ("en", "lone", 1), ("en", "pair", 0), ("en", "pair", 1), ("en", "three", 0), ("en", "three", 0), ("en", "three", 1), ("xx", "lone", 1), (None, "pair", 0), (None, "pair", 1)]
+    rows, junk = [], set()
+    for i, (lang, source, bad) in enumerate(cells):
+        words = made()
+        if bad:
+            junk.add(i)
+            words = [w + "###" for w in words]
+        rows.append((i, " ".join(words), lang, source, "", 0))
+    got = Q.judge(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert len(got) == len(rows) and {r.doc_id for r in got if not r.kept} == junk
+    assert {r.doc_id for r in Q.judge(spark.createDataFrame(rows[:301], SCHEMA)).collect() if not r.kept} == {300}
