@@ -2,13 +2,16 @@
 
 Statistics of each text are turned into vectors. For each language and source
 a minimum-covariance-determinant estimate of their centre and spread is found
-by concentration steps: the half or so of the rows that are nearest to the
-present estimate give the next one. Texts far from it, by Mahalanobis distance,
+by concentration steps: the (n + p + 1) / 2 of n rows, by p statistics, that are
+nearest to the present estimate give the next one, so that nearly half the rows
+of a cell can be junk. Texts far from it, by Mahalanobis distance,
 are rejected. All of it is built-in functions and aggregates.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,12 +36,30 @@ D = len(FEATURES)
 #: Added to each variance: differences below these are not held against a text, and
 #: a statistic that is the same in every text of a cell does not make the spread singular.
 LEAST_SPREAD = {"log_words": 0.25, "log_word_chars": 0.08, "symbol_share": 0.05, "dup_line_share": 0.1, "repeat_share": 0.1}
-#: Share of rows that give the estimate, and how many concentration steps are made.
-SUPPORT, STEPS = 0.75, 3
+#: How many concentration steps are made.
+STEPS = 3
 #: Cells (language and source) with fewer rows use the estimate from all rows of their language, and rare languages that from all rows.
 CELL_ROWS = 100
-#: Median of chi-squared with 5 degrees of freedom, and its upper 1e-6 quantile: beyond any ordinary text.
-CHI2_MEDIAN, CHI2_CUT = 4.3515, 35.89
+#: Upper 1e-6 quantile of chi-squared with 5 degrees of freedom: beyond any ordinary text.
+CHI2_CUT = 35.89
+#: Shares of a cell's rows that can give an estimate: from half, by thousandths.
+SHARES = [k / 1000 for k in range(500, 1001)]
+
+
+def _consistency(share: float) -> float:
+    """By what the covariance of the nearest ``share`` of normal rows is to be multiplied to be that of all."""
+    if share >= 1:
+        return 1.0
+    five = lambda x: math.erf(math.sqrt(x / 2)) - math.sqrt(2 * x / math.pi) * math.exp(-x / 2) * (1 + x / 3)
+    low, high = 0.0, 100.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if five(mid) < share else (low, mid)
+    seven = five(low) - math.sqrt(2 * low / math.pi) * math.exp(-low / 2) * low * low / 15
+    return share / seven
+
+
+CONSISTENCY = [_consistency(share) for share in SHARES]
 
 
 def _symbol_count(text: str, symbols: str) -> Column:
@@ -103,19 +124,25 @@ def _distance(x: list[Column], centre: list[Column], spread: dict[tuple[int, int
 
 
 def _factored(moments: DataFrame) -> DataFrame:
-    """From a cell's n, sums s_i and sums of products p_ij: its centre c_i and the Cholesky factor l_ij of its covariance."""
+    """From a cell's n, n_all, sums s_i and sums of products p_ij: its centre c_i, the Cholesky factor l_ij of its covariance, and scale.
+
+    The n nearest of n_all rows spread less than all do; distances are multiplied by ``scale``
+    for that. LEAST_SPREAD is divided beforehand by what it will be multiplied with.
+    """
     n, out = F.col("n").cast("double"), moments
-    floors = [LEAST_SPREAD[f] ** 2 for f in FEATURES]
+    place = F.least(F.greatest(F.round(F.col("n") * 1000 / F.col("n_all")).cast("int") - 500, F.lit(0)), F.lit(500))
+    out = out.withColumn("scale", 1 / F.get(F.lit(CONSISTENCY), place))
+    floors = [F.lit(LEAST_SPREAD[f] ** 2) * F.col("scale") for f in FEATURES]
     out = out.withColumns({f"c_{i}": F.col(f"s_{i}") / n for i in range(D)})
     for i in range(D):
         for j in range(i + 1):
-            value = F.col(f"p_{i}{j}") / n - F.col(f"c_{i}") * F.col(f"c_{j}") + (F.lit(floors[i]) if i == j else F.lit(0.0))
+            value = F.col(f"p_{i}{j}") / n - F.col(f"c_{i}") * F.col(f"c_{j}") + (floors[i] if i == j else F.lit(0.0))
             for k in range(j):
                 value = value - F.col(f"l_{i}{k}") * F.col(f"l_{j}{k}")
             # rounding can take a variance of 0 below it; the floor stays
-            value = F.sqrt(F.greatest(value, F.lit(floors[i] / 2))) if i == j else value / F.col(f"l_{j}{j}")
+            value = F.sqrt(F.greatest(value, floors[i] / 2)) if i == j else value / F.col(f"l_{j}{j}")
             out = out.withColumn(f"l_{i}{j}", value)
-    return out.select("cell", *(f"c_{i}" for i in range(D)), *(f"l_{i}{j}" for i in range(D) for j in range(i + 1)))
+    return out.select("cell", "scale", *(f"c_{i}" for i in range(D)), *(f"l_{i}{j}" for i in range(D) for j in range(i + 1)))
 
 
 def _measured(rows: DataFrame, estimate: DataFrame) -> DataFrame:
@@ -131,35 +158,35 @@ def _kept(cells: DataFrame, name: str) -> DataFrame:
 
 
 def robust_estimates(vectors: DataFrame) -> DataFrame:
-    """Centre and spread of each cell by concentration steps, and a factor ``scale``.
-
-    The nearest rows alone spread less than all do; ``scale`` brings the median
-    distance down to that of chi-squared, and is never above 1, lest it undo
-    LEAST_SPREAD.
+    """Centre and spread of each cell by concentration steps, and a factor ``scale`` for squared distances.
 
     ``vectors`` has cell and the FEATURES; it is read twice a step, so it should
-    be a written table. It starts from medians and quartiles. Each step is an
-    aggregate for the distance that SUPPORT of the rows keep within, and one
+    be a written table. It starts from medians and median deviations from them, which
+    junk in less than half the rows does not carry away. Each step is an
+    aggregate for the distance that (n + D + 1) / 2 of n rows keep within, and one
     for the moments of those rows, both with partial sums, so that a cell of
     any size is no burden to one task. Estimates are one row for each cell.
     """
     names = list(FEATURES)
-    quartiles = vectors.groupBy("cell").agg(*(F.percentile_approx(f, [0.25, 0.5, 0.75], 1000).alias(f) for f in names))
-    first = {f"c_{i}": F.col(f)[1] for i, f in enumerate(names)}
+    middle = _kept(vectors.groupBy("cell").agg(*(F.percentile_approx(f, 0.5, 1000).alias(f"c_{i}") for i, f in enumerate(names))), "mcd-middle")
+    away = [F.percentile_approx(F.abs(F.col(f) - F.col(f"c_{i}")), 0.5, 1000).alias(f"a_{i}") for i, f in enumerate(names)]
+    away = vectors.join(middle, "cell").groupBy("cell").agg(*away)
+    first = {}
     for i, f in enumerate(names):
         for j in range(i + 1):
-            first[f"l_{i}{j}"] = F.sqrt(F.pow((F.col(f)[2] - F.col(f)[0]) / 1.349, 2) + LEAST_SPREAD[f] ** 2) if i == j else F.lit(0.0)
-    estimate = _kept(quartiles.select("cell", *(v.alias(k) for k, v in first.items())), "mcd-start")
+            first[f"l_{i}{j}"] = F.sqrt(F.pow(F.col(f"a_{i}") * 1.4826, 2) + LEAST_SPREAD[f] ** 2) if i == j else F.lit(0.0)
+    estimate = _kept(middle.join(away.select("cell", *(v.alias(k) for k, v in first.items())), "cell"), "mcd-start")
     for step in range(STEPS):
         measured = _measured(vectors, estimate)
-        within = measured.groupBy("cell").agg(F.percentile_approx("d2", SUPPORT, 1000).alias("within"))
+        within = measured.groupBy("cell").agg(F.count("*").alias("n_all"), F.percentile_approx("d2", SHARES, 1000).alias("by_share"))
+        place = F.ceil(500 * F.lit(D + 1) / F.col("n_all")).cast("int")
+        within = within.select("cell", "n_all", F.get("by_share", F.least(place, F.lit(len(SHARES) - 1))).alias("within"))
         near = measured.join(_kept(within, f"mcd-within-{step}"), "cell").where("d2 <= within")
         sums = {f"s_{i}": F.sum(f) for i, f in enumerate(names)}
         products = {f"p_{i}{j}": F.sum(F.col(f) * F.col(names[j])) for i, f in enumerate(names) for j in range(i + 1)}
-        moments = near.groupBy("cell").agg(F.count("*").alias("n"), *(v.alias(k) for k, v in (sums | products).items()))
+        moments = near.groupBy("cell", "n_all").agg(F.count("*").alias("n"), *(v.alias(k) for k, v in (sums | products).items()))
         estimate = _kept(_factored(moments), f"mcd-{step}")
-    scale = _measured(vectors, estimate).groupBy("cell").agg((CHI2_MEDIAN / F.greatest(F.percentile_approx("d2", 0.5, 1000), F.lit(CHI2_MEDIAN))).alias("scale"))
-    return _kept(estimate.join(scale, "cell"), "mcd")
+    return estimate
 
 
 def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep: list[str] | None = None) -> DataFrame:

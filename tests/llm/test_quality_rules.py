@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from marlstone.llm import quality_rules as Q
 
@@ -81,3 +82,18 @@ def test_rare_sources_and_languages_are_measured_by_all_rows_of_the_level_above(
     got = Q.judge(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
     assert len(got) == len(rows) and {r.doc_id for r in got if not r.kept} == junk
     assert {r.doc_id for r in Q.judge(spark.createDataFrame(rows[:301], SCHEMA)).collect() if not r.kept} == {300}
+
+
+@pytest.mark.parametrize("share", [0.3, 0.4])
+def test_junk_in_large_parts_of_a_cell_goes(spark, share):
+    rng = random.Random(8)
+    rows, junk = [], set()
+    for i in range(400):
+        words = ["".join(rng.choices("abcdefghijkl", k=rng.randint(2, 9))) for _ in range(rng.randint(60, 600))]
+        if i < 400 * share:
+            junk.add(i)
+            marks = rng.choice("#*$%|")
+            words = [w + marks * rng.randint(0, 3) for w in words]
+        rows.append((i, " ".join(words), "en", "s1", "", 0))
+    got = Q.judge(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert {r.doc_id for r in got if not r.kept} == junk
