@@ -69,6 +69,18 @@ SELECT a.entity, a.period, round(b.price, 4) AS price_lag1 FROM p a LEFT JOIN p
 """
 
 
+def panel_lag_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lag of every row of the panel; ``panel_lag`` leaves rows out to make gaps."""
+    found = panel.lagged(_panel(spark, sf_dir), "price")
+    return found.select("entity", "period", F.round("price_lag1", 4).alias("price_lag1"))
+
+
+PANEL_LAG_WHOLE = f"""
+WITH p AS ({PANEL})
+SELECT a.entity, a.period, round(b.price, 4) AS price_lag1 FROM p a LEFT JOIN p b ON a.entity = b.entity AND a.period = b.period + 1
+"""
+
+
 def panel_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel.balance(_panel(spark, sf_dir))
 
@@ -290,6 +302,7 @@ QUERIES: dict[str, Query] = {
     "segment_gap": segment_gap,
     "nation_panel": nation_panel,
     "panel_lag": panel_lag,
+    "panel_lag_whole": panel_lag_whole,
     "panel_balance": panel_balance,
     "price_summary": price_summary,
     "price_histogram": price_histogram,
@@ -314,6 +327,7 @@ ORACLES: dict[str, str] = {
     "segment_gap": SEGMENT_GAP,
     "nation_panel": NATION_PANEL,
     "panel_lag": PANEL_LAG,
+    "panel_lag_whole": PANEL_LAG_WHOLE,
     "panel_balance": PANEL_BALANCE,
     "price_summary": PRICE_SUMMARY,
     "price_histogram": PRICE_HISTOGRAM,

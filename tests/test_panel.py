@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.operators import bootstrap, clean, compare, describe, panel, regression, robustness
+from marlstone.plans import catalog
 
 
 def made(n=12, t=9, drop=0.0, seed=1):
@@ -114,3 +115,20 @@ def test_robustness_table(spark):
     df = frame(spark, made())
     got = robustness.table_of({"one": lambda: regression.fit(df, "y", ["x"]), "two": lambda: regression.two_way(df, "y", ["x"])}, df)
     assert [(r.variant, r.term) for r in got.collect()] == [("one", "intercept"), ("one", "x"), ("two", "x")]
+
+
+def test_the_whole_panel_is_lagged(spark, monkeypatch):
+    p = frame(spark, made(n=5, t=6)).withColumnRenamed("x", "price")
+    rows = {(r.entity, r.period): r.price for r in p.collect()}
+    monkeypatch.setattr(catalog, "_panel", lambda spark, sf_dir: p)
+    got = {(r.entity, r.period): r.price_lag1 for r in catalog.QUERIES["panel_lag_whole"](spark, "").collect()}
+    assert got.keys() == rows.keys()
+    for (entity, period), lag in got.items():
+        assert lag == (None if period == 0 else pytest.approx(rows[entity, period - 1], abs=1e-4))
+
+
+def test_lag_over_gaps(spark):
+    rows = [r for r in made(n=5, t=9) if (r[0] + r[1]) % 5]
+    values = {(r[0], r[1]): r[2] for r in rows}
+    got = {(r.entity, r.period): r.x_lag1 for r in panel.lagged(frame(spark, rows), "x").collect()}
+    assert got == {(i, p): values.get((i, p - 1)) for i, p in values}
