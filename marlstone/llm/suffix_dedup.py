@@ -44,8 +44,9 @@ REMEMBERED = 200_000
 #: Zones are emitted in batches of about so many.
 ROWS = 20_000
 
-# A zone's place in one number: 25 bits of a hash of its text (for rows that repeat an id), the first window, the number of windows.
-WIDE, HASH_BITS = 7, 25
+# A zone's place in one number: 25 bits of its text's length, the first window, the number of windows. Rows that repeat
+# an id are told apart by that length and by the whole hash of the text, in a column of its own.
+WIDE, LENGTH_BITS = 7, 25
 
 
 def _rows(columns: dict[str, list | np.ndarray], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
@@ -60,7 +61,7 @@ def _zones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     a zone in which windows may be equal, in periodic text, comes in pieces, of REACH windows at most, that are compared as zones are."""
     done: set[tuple[int, int]] = set()
     for batch in batches:
-        held: dict[str, list] = {k: [] for k in ("anchor", "zone", "doc_id", "place")}
+        held: dict[str, list] = {k: [] for k in ("anchor", "zone", "doc_id", "place", "text_hash")}
         size = 0
         for doc_id, text, text_hash in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist(), strict=True):
             raw = text.as_buffer()
@@ -82,7 +83,8 @@ def _zones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held["anchor"].append(value.view(np.int64))
             held["zone"].append(zone.view(np.int64))
             held["doc_id"].append(pa.repeat(doc_id, len(first)))
-            held["place"].append((np.int64(text_hash & ((1 << HASH_BITS) - 1)) << 38) | (first << WIDE) | n)
+            held["place"].append((np.int64(raw.size & ((1 << LENGTH_BITS) - 1)) << 38) | (first << WIDE) | n)
+            held["text_hash"].append(np.full(len(first), text_hash, np.int64))
             size += len(first)
             if size > ROWS:
                 yield _joined(held)
@@ -92,7 +94,7 @@ def _zones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _joined(held: dict[str, list]) -> pa.RecordBatch:
-    flat = [pa.array(np.concatenate(held["anchor"])), pa.array(np.concatenate(held["zone"])), pa.concat_arrays(held["doc_id"]), pa.array(np.concatenate(held["place"]))]
+    flat = [pa.array(np.concatenate(held["anchor"])), pa.array(np.concatenate(held["zone"])), pa.concat_arrays(held["doc_id"]), pa.array(np.concatenate(held["place"])), pa.array(np.concatenate(held["text_hash"]))]
     return pa.RecordBatch.from_arrays(flat, names=list(held))
 
 
@@ -101,17 +103,17 @@ def _start(place: int) -> int:
 
 
 def _with_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text and a list of (place, anchor, whole, hot) to a row for each zone, with the leading bytes of its anchor and its own bytes."""
-    names = ("doc_id", "place", "anchor", "whole", "hot", "lead", "body")
+    """doc_id, text, a list of (place, anchor, whole, hot) and the text's hash to a row for each zone, with the leading bytes of its anchor and its own bytes."""
+    names = ("doc_id", "place", "anchor", "whole", "hot", "lead", "body", "text_hash")
     for batch in batches:
         rows: list[tuple] = []
-        for doc_id, text, wanted in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist(), strict=True):
+        for doc_id, text, wanted, text_hash in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             raw = memoryview(text.as_buffer())
             for zone in wanted:
                 place, anchor = zone["place"], zone["anchor"]
                 body = bytes(raw[_start(place) : _start(place) + (place & 127) + WINDOW - 1])
                 at = int(np.argmax(anchors.hashes(np.frombuffer(body, np.uint8), anchors.GRAM).view(np.int64) == anchor))
-                rows.append((doc_id.as_py(), place, anchor, zone["whole"], zone["hot"], int.from_bytes(body[at : at + 8], "big") - (1 << 63), body))
+                rows.append((doc_id.as_py(), place, anchor, zone["whole"], zone["hot"], int.from_bytes(body[at : at + 8], "big") - (1 << 63), body, text_hash))
                 if len(rows) >= ROWS:
                     yield _listed(rows, names, batch.schema.field(0).type)
                     rows = []
@@ -120,7 +122,7 @@ def _with_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _listed(rows: list[tuple], names: tuple[str, ...], id_type: pa.DataType) -> pa.RecordBatch:
-    kinds = {"doc_id": id_type, "place": _LONG, "anchor": _LONG, "whole": pa.bool_(), "hot": pa.bool_(), "lead": _LONG, "body": pa.binary()}
+    kinds = {"doc_id": id_type, "place": _LONG, "anchor": _LONG, "whole": pa.bool_(), "hot": pa.bool_(), "lead": _LONG, "body": pa.binary(), "text_hash": _LONG}
     return _rows(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)), {n: kinds[n] for n in names})
 
 
@@ -172,10 +174,10 @@ def _sorted_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         out = []
         for zone, part in zip(held, np.split(flags, n.cumsum()[:-1]), strict=True):
             if not zone[3]:
-                out += [(zone[0], zone[1], _start(zone[1]) + a, b + WINDOW - 1) for a, b in _runs(part)]
+                out += [(zone[0], zone[1], _start(zone[1]) + a, b + WINDOW - 1, zone[5]) for a, b in _runs(part)]
         if out:
-            a, b, c, d = map(list, zip(*out, strict=True))
-            yield _rows({"doc_id": a, "place": b, "first": c, "n": d}, {"doc_id": id_type, "place": _LONG, "first": _LONG, "n": _LONG})
+            a, b, c, d, e = map(list, zip(*out, strict=True))
+            yield _rows({"doc_id": a, "place": b, "first": c, "n": d, "text_hash": e}, {"doc_id": id_type, "place": _LONG, "first": _LONG, "n": _LONG, "text_hash": _LONG})
 
     id_type = pa.int64()
     for batch in batches:
@@ -194,11 +196,11 @@ def _sorted_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Zones to their suffixes: the 128-bit hash of each, and its place."""
     for batch in batches:
-        for doc_id, place, body in zip(batch.column(0), *(c.to_pylist() for c in batch.columns[1:]), strict=True):
+        for doc_id, place, body, text_hash in zip(batch.column(0), *(c.to_pylist() for c in batch.columns[1:]), strict=True):
             view, n = memoryview(body), len(body) - WINDOW + 1
             keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(view[i : i + WINDOW]) for i in range(n)), ">i8").astype(np.int64).reshape(n, 2)
             first = np.arange(n) + _start(place)
-            yield pa.RecordBatch.from_arrays([pa.repeat(doc_id, n), pa.repeat(pa.scalar(place), n), pa.array(first), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy())], names=["doc_id", "place", "first", "k1", "k2"])
+            yield pa.RecordBatch.from_arrays([pa.repeat(doc_id, n), pa.repeat(pa.scalar(place), n), pa.array(first), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), pa.repeat(pa.scalar(text_hash, _LONG), n)], names=["doc_id", "place", "first", "k1", "k2", "text_hash"])
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,43 +284,44 @@ def _spans(docs: DataFrame) -> DataFrame:
     small_batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("whole_hash", F.xxhash64("text"))
-    own_hash = F.col("whole_hash").bitwiseAND((1 << HASH_BITS) - 1)
+    own_length = F.octet_length("text").cast("long").bitwiseAND((1 << LENGTH_BITS) - 1)
 
     # texts that are equal as a whole; only their ids and hashes are dealt out
     lengths = texts.select("doc_id", "whole_hash", F.octet_length("text").cast("long").alias("n")).where(F.col("n") >= WINDOW)
     several = lengths.groupBy("whole_hash", "n").agg(F.count("*").alias("copies")).where("copies > 1")
-    copied = lengths.join(several, ["whole_hash", "n"]).select("doc_id", F.shiftleft(own_hash, 38).alias("place"), F.lit(0).cast("long").alias("first"), "n")
+    copied = lengths.join(several, ["whole_hash", "n"]).select("doc_id", F.shiftleft(F.col("n").bitwiseAND((1 << LENGTH_BITS) - 1), 38).alias("place"), F.lit(0).cast("long").alias("first"), "n", F.col("whole_hash").alias("text_hash"))
 
-    zones = texts.mapInArrow(_zones, f"anchor long, zone long, doc_id {kind}, place long")
+    zones = texts.mapInArrow(_zones, f"anchor long, zone long, doc_id {kind}, place long, text_hash long")
     alike = zones.withColumn("n_anchor", F.count("*").over(Window.partitionBy("anchor"))).where("n_anchor > 1")
     same = Window.partitionBy("anchor", "zone")
-    alike = alike.withColumns({"n_zone": F.count("*").over(same), "nth": F.row_number().over(same.orderBy("doc_id", "place"))})
+    alike = alike.withColumns({"n_zone": F.count("*").over(same), "nth": F.row_number().over(same.orderBy("doc_id", "text_hash", "place"))})
     all_of = Window.partitionBy("anchor")
     alike = alike.withColumns({"kinds": F.count(F.when(F.col("nth") == 1, 1)).over(all_of), "single": F.max(F.col("n_zone") == 1).over(all_of)})
     compare = (F.col("nth") == 1) & (F.col("kinds") > 1) & F.col("single")
-    alike = alike.select("doc_id", "place", F.when(compare, F.col("anchor")).alias("anchor"), (F.col("n_zone") > 1).alias("whole"), (F.col("kinds") > HOT_ZONES).alias("hot"))
+    alike = alike.select("doc_id", "text_hash", "place", F.when(compare, F.col("anchor")).alias("anchor"), (F.col("n_zone") > 1).alias("whole"), (F.col("kinds") > HOT_ZONES).alias("hot"))
     alike = materialize(alike.where("whole OR anchor IS NOT NULL"), "repeat-zones")
 
-    of_text = F.shiftright("place", 38).alias("of_hash")
-    wanted = alike.where("anchor IS NOT NULL").groupBy(F.col("doc_id").alias("of_id"), of_text).agg(F.collect_list(F.struct("place", "anchor", "whole", "hot")).alias("zones"))
-    own = F.col("doc_id").eqNullSafe(F.col("of_id")) & (own_hash == F.col("of_hash"))
-    bodies = texts.join(wanted, own).select("doc_id", "text", "zones").mapInArrow(_with_bytes, f"doc_id {kind}, place long, anchor long, whole boolean, hot boolean, lead long, body binary")
+    of_text = (F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"), F.shiftright("place", 38).alias("of_length"))
+    wanted = alike.where("anchor IS NOT NULL").groupBy(*of_text).agg(F.collect_list(F.struct("place", "anchor", "whole", "hot")).alias("zones"))
+    own = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("whole_hash") == F.col("of_hash")) & (own_length == F.col("of_length"))
+    bodies = texts.join(wanted, own).select("doc_id", "text", "zones", "whole_hash").mapInArrow(_with_bytes, f"doc_id {kind}, place long, anchor long, whole boolean, hot boolean, lead long, body binary, text_hash long")
     bodies = materialize(bodies, "repeat-bodies")
 
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    zone = ("doc_id", "place", "anchor", "whole", "body")
+    zone = ("doc_id", "place", "anchor", "whole", "body", "text_hash")
     in_buckets = bodies.where("NOT hot").repartitionByRange(buckets, "lead", "anchor").sortWithinPartitions("lead", "anchor").select(*zone)
-    spans = in_buckets.mapInArrow(_sorted_bucket, f"doc_id {kind}, place long, first long, n long")
+    spans = in_buckets.mapInArrow(_sorted_bucket, f"doc_id {kind}, place long, first long, n long, text_hash long")
     if not bodies.where("hot").isEmpty():
-        places = bodies.where("hot").select("doc_id", "place", "body").mapInArrow(_one_by_one, f"doc_id {kind}, place long, first long, k1 long, k2 long")
-        in_order = ("k1", "k2", "doc_id", "place", "first")
-        found = places.repartitionByRange(buckets, *in_order).sortWithinPartitions(*in_order).mapInArrow(_neighbours, f"doc_id {kind}, place long, first long, k1 long, k2 long, edge boolean")
+        places = bodies.where("hot").select("doc_id", "place", "body", "text_hash").mapInArrow(_one_by_one, f"doc_id {kind}, place long, first long, k1 long, k2 long, text_hash long")
+        in_order = ("k1", "k2", "doc_id", "text_hash", "place", "first")
+        found = places.repartitionByRange(buckets, *in_order).sortWithinPartitions(*in_order).mapInArrow(_neighbours, f"doc_id {kind}, place long, first long, k1 long, k2 long, text_hash long, edge boolean")
         found = materialize(found, "repeat-neighbours")
-        edges = found.where("edge").withColumn("n", F.size(F.collect_set(F.struct("doc_id", "place", "first")).over(Window.partitionBy("k1", "k2")))).where("n > 1")
-        hits = found.where("NOT edge").select("doc_id", "place", "first").unionByName(edges.select("doc_id", "place", "first"))
+        edges = found.where("edge").withColumn("n", F.size(F.collect_set(F.struct("doc_id", "text_hash", "place", "first")).over(Window.partitionBy("k1", "k2")))).where("n > 1")
+        suffix = ("doc_id", "text_hash", "place", "first")
+        hits = found.where("NOT edge").select(*suffix).unionByName(edges.select(*suffix))
         spans = spans.unionByName(hits.withColumn("n", F.lit(WINDOW).cast("long")))
-    whole = alike.where("whole").select("doc_id", "place", F.expr(f"shiftright(place, {WIDE}) & {(1 << 31) - 1}L").alias("first"), F.expr(f"(place & {(1 << WIDE) - 1}L) + {WINDOW - 1}L").alias("n"))
-    gathered = whole.unionByName(copied).unionByName(spans).groupBy(F.col("doc_id").alias("of_id"), of_text).agg(F.collect_list(F.struct("first", "n")).alias("spans"))
+    whole = alike.where("whole").select("doc_id", "text_hash", "place", F.expr(f"shiftright(place, {WIDE}) & {(1 << 31) - 1}L").alias("first"), F.expr(f"(place & {(1 << WIDE) - 1}L) + {WINDOW - 1}L").alias("n"))
+    gathered = whole.unionByName(copied).unionByName(spans).groupBy(*of_text).agg(F.collect_list(F.struct("first", "n")).alias("spans"))
     return texts.join(gathered, own, "left").select("doc_id", "text", "spans")
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from marlstone.llm import anchors as A
 from marlstone.llm import suffix_dedup as S
@@ -76,3 +78,21 @@ def test_zones_do_not_depend_on_chunks(monkeypatch):
     h = A.hashes(data, A.GRAM)
     want = [h[i : i + A.REACH].min() for i in range(len(data) - W + 1)]
     assert (np.repeat(value, n) == want).all() and (np.repeat(first, n) <= np.arange(len(want))).all()
+
+
+@pytest.mark.parametrize("hot", [2000, 0])
+def test_texts_of_one_id_with_like_hashes_are_apart(spark, monkeypatch, hot):
+    """Pairs under one id whose Spark hashes agree in their last 25 bits: one has a repeated passage, the other none."""
+    monkeypatch.setattr(S, "HOT_ZONES", hot)
+    made = lambda k: hashlib.sha512(str(k).encode()).hexdigest()
+    passage = " ".join(made(("passage", k)) for k in range(3))
+    low = lambda t: xxhash.xxh64_intdigest(t.encode(), seed=42) & ((1 << 25) - 1)
+    of = {low(t): t for t in (f"{passage} {made(k)[:40]}" for k in range(20_000))}
+    pairs = [(of[low(t)], t) for t in (made(("other", k)) + made(("rest", k)) for k in range(20_000)) if low(t) in of][:4]
+    assert len(pairs) == 4
+    rows = [(None, t) for pair in pairs for t in pair] + [(1, f"{made('x')} {passage} {made('y')}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert df.where("doc_id IS NULL").selectExpr("xxhash64(text) & 33554431 AS h").distinct().count() == 4
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in S.remove_repeats(df).collect()]
+    want = [(r[0], *p) for r, p in zip(rows, plain([r[1] for r in rows]), strict=True)]
+    assert sorted(got, key=str) == sorted(want, key=str)
