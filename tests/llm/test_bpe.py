@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 
 import public_tokenizers
 import pytest
@@ -24,7 +25,9 @@ def same(text):
     ids = ENCODER.encode(text)
     assert ids == LIBRARY.encode(text, add_special_tokens=False).ids, text[:200]
     one = B.Decoder(ENCODER.v)
-    assert B.Decoder(ENCODER.v).all(ids) == "".join(map(one.push, ids)) == LIBRARY.decode(ids, skip_special_tokens=False)
+    assert "".join([*map(one.push, ids), one.finish()]) == LIBRARY.decode(ids, skip_special_tokens=False)
+    runs = list(ENCODER.runs(text))
+    assert b"".join(r[2] for r in runs)[1:].decode() == LIBRARY.decode(ids, skip_special_tokens=False) and sum(r[0] for r in runs) == len(ids)
     return ids
 
 
@@ -69,8 +72,8 @@ def test_long_pieces_come_out_before_they_end():
 
 def test_bytes_come_back():
     for text in ("hello wörld 𝒳 don't", "á", "x" * 7000):
-        d = B.Decoder(ENCODER.v)
-        got = "".join([*map(d.push_bytes, ENCODER.encode(text)), d.finish_bytes()])
+        d = B.Decoder(ENCODER.v, restore=True)
+        got = "".join([*map(d.push, ENCODER.encode(text)), d.finish()])
         assert got.replace(" ", "") == LIBRARY.normalizer.normalize_str(text).replace(" ", "")
 
 
@@ -87,3 +90,36 @@ def test_rows(spark):
     for r in B.encode(df, PATH).collect():
         assert r.decoded == LIBRARY.decode(r.ids, skip_special_tokens=False) and len(r.ids) == r.n_tokens
     assert B.encode(df.limit(0), PATH).collect() == []
+
+
+def test_every_piece_and_token_passes_through_the_machines(monkeypatch):
+    fed, pushed, feed, push = [], [], B.Transducer.feed, B.Decoder.push
+    monkeypatch.setattr(B.Transducer, "feed", lambda self, x: fed.append(x) or feed(self, x))
+    monkeypatch.setattr(B.Decoder, "push", lambda self, x: pushed.append(x) or push(self, x))
+    encoder = B.Encoder(ENCODER.v)
+    ids = encoder.encode("Some words, don't some wörds <|endoftext|> x")
+    assert fed == ["some", "words", ",", "don", "'t", "w\u00c3\u00b6rds", "x"]
+    once = encoder._said(())  # nothing
+    assert once == (0, b"", b"") and set(pushed) == set(ids)
+
+
+def test_runs_do_not_show(monkeypatch):
+    rng = random.Random(2)
+    words = ["don't", "WORDS", "é", "<|endoftext|>", "12", "\x1c", "!?", "a" * 90, "Ab1!" * 40, "x<|endoftext|>Y" * 9, "é" * 70]
+    for chunk in (1, 7, 64):
+        monkeypatch.setattr(B, "CHUNK", chunk)
+        for _ in range(60):
+            same("".join(rng.choice(words) + rng.choice(["", " ", "\n\t", "\x85"]) for _ in range(rng.randint(1, 12))))
+
+
+def test_a_long_text_is_encoded_in_bounded_memory():
+    """Spaceless and spaced parts, far longer than a run: what is held does not grow with them."""
+    most = []
+    for k in (1, 4):
+        text, encoder = "Spam" * (50_000 * k) + " and " + "eggs " * (400_000 * k), B.Encoder(ENCODER.v)
+        tracemalloc.start()
+        n = sum(r[0] for r in encoder.runs(text))
+        most.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert n > 400_000 * k
+    assert most[1] < 1.2 * most[0] < 24 << 20
