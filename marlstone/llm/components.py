@@ -11,10 +11,10 @@ from marlstone.sources import materialize
 def _with_least(rows: DataFrame, neighbours: DataFrame) -> DataFrame:
     """``rows`` (a, b) with the least neighbour m of a, or a if that is less.
 
-    A minimum with partial sums and a join, which adaptive execution can split
-    where a node has very many edges; a window would hold them in one task.
+    A minimum with partial sums, written, and a join of its own exchange, which
+    adaptive execution can split where a node has very many edges.
     """
-    least = neighbours.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("m"))
+    least = materialize(neighbours.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("m")), "least")
     return rows.join(least, F.col("a") == F.col("of")).select("a", "b", F.least("a", "m").alias("m"))
 
 

@@ -1,11 +1,13 @@
 """Near-duplicate texts: a join on the Jaccard similarity of word shingles.
 
-Candidates come from an LSH forest. Each of TREES trees orders the texts by
-DEPTH of their MinHash values; two texts are candidates where a prefix of these
-is the same. The prefix starts at DEPTH and is shortened until pairs at the
-threshold are found with the target recall. Texts that share a prefix form a
-chain of candidates, and the chains are joined to groups, in which every pair
-is then compared exactly, by the shingles themselves.
+Candidates come from an LSH forest. Each of TREES trees is a trie of labels, of
+DEPTH MinHash values each, kept as a sorted list: texts that share a prefix
+stand in a row. How long a prefix must be is fitted: it starts at DEPTH and is
+shortened until texts of a sample and copies of them, changed to lie at the
+threshold, are found with the target recall. The lists are range-partitioned,
+and rows of a shared prefix are followed across boundaries. Texts that share a
+prefix form a group, and every pair in it is then compared exactly, by the
+shingles themselves.
 """
 
 from __future__ import annotations
@@ -25,9 +27,11 @@ from marlstone.llm.components import components
 from marlstone.sources import materialize
 
 SHINGLE, THRESHOLD = 5, 0.8
-TREES, DEPTH, RECALL = 128, 16, 0.99999
-#: MinHash functions, of which each tree orders DEPTH.
-FUNCTIONS = 256
+TREES, DEPTH, RECALL = 64, 16, 0.99999
+#: MinHash functions. The first 8 values of all trees are of as many functions, so that trees are independent; deeper ones are shared.
+FUNCTIONS = 512
+#: The prefix is fitted on about so many texts.
+SAMPLED_TEXTS = 2_000
 #: A group with more texts, or more shingles, is compared in pairs of blocks.
 BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 2_000_000
 #: Distinct texts whose keys a task remembers having put out.
@@ -36,20 +40,10 @@ REMEMBERED = 100_000
 _RNG = np.random.default_rng(7_919)
 _A = _RNG.integers(1, 1 << 32, FUNCTIONS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, FUNCTIONS, dtype=np.uint64).astype(np.uint32)
-_ORDER = np.stack([_RNG.permutation(FUNCTIONS)[:DEPTH] for _ in range(TREES)])
-_TREE = _RNG.integers(1, 1 << 63, TREES, dtype=np.uint64)
-_STEP = _RNG.integers(1, 1 << 63, DEPTH, dtype=np.uint64) | np.uint64(1)
+_ORDER = np.hstack([np.arange(FUNCTIONS).reshape(TREES, -1), np.roll(np.arange(FUNCTIONS).reshape(TREES, -1), 1, axis=0)])[:, :DEPTH]
 _PLACE = _RNG.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) | np.uint64(1)
 
 
-def prefix_depth(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
-    """How many values of a tree two texts must share: DEPTH, shortened until a pair at the threshold is found with the target recall."""
-    depth = DEPTH
-    while depth > 1 and 1 - (1 - threshold**depth) ** TREES < recall:
-        depth -= 1
-    return depth
-
-
 def shingles(raw: bytes) -> np.ndarray:
     """Sorted distinct 64-bit hashes of each SHINGLE words in a row; of all words where there are fewer; none without words."""
     words = raw.split()  # of bytes: at ASCII white space
@@ -76,43 +70,141 @@ def minhashes(found: np.ndarray) -> np.ndarray:
     return least
 
 
-def keys(signature: np.ndarray, depth: int) -> np.ndarray:
-    """A 64-bit key of each tree's prefix."""
+def labels(signature: np.ndarray) -> np.ndarray:
+    """Each tree's label: DEPTH values of a byte each, of which equal MinHash values have equal ones."""
     with np.errstate(over="ignore"):
-        return mixed((signature[_ORDER[:, :depth]].astype(np.uint64) * _STEP[:depth]).sum(axis=1, dtype=np.uint64) + _TREE)
+        return ((signature[_ORDER] * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
+
+
+def packed(label: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``depth`` values of each label in two numbers that sort as they do."""
+    cut = np.zeros((len(label), 16), np.uint8)
+    cut[:, :depth] = label[:, :depth]
+    two = np.ascontiguousarray(cut).view(">u8") ^ np.uint64(1 << 63)
+    return two[:, 0].astype(np.uint64).view(np.int64), two[:, 1].astype(np.uint64).view(np.int64)
+
+
+def _trial(threshold: float):
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts to how many there are and, for each prefix length, how many copies at the threshold share one and how many are expected to."""
+        n, found, expected = 0, np.zeros(DEPTH, np.int64), np.zeros(DEPTH)
+        for batch in batches:
+            for text in batch.column(0):
+                own = shingles(bytes(text.as_buffer() or b""))
+                changed = int(len(own) * (1 - threshold) / (1 + threshold) + 1e-9)
+                if not len(own):
+                    continue
+                rng = np.random.default_rng(int(own[0]))
+                copy = np.union1d(rng.permutation(own)[changed:], rng.integers(0, 1 << 63, changed, dtype=np.uint64))
+                same = np.logical_and.accumulate(labels(minhashes(own)) == labels(minhashes(copy)), axis=1)
+                likeness = (len(own) - changed) / (len(own) + changed)
+                n, found = n + 1, found + same.any(axis=0)
+                expected += 1 - (1 - likeness ** np.arange(1, DEPTH + 1)) ** TREES
+        depth = pa.array(np.arange(1, DEPTH + 1, dtype=np.int32))
+        yield pa.RecordBatch.from_arrays([depth, pa.repeat(n, DEPTH), pa.array(found), pa.array(expected)], names=["depth", "n", "found", "expected"])
+
+    return measure
+
+
+def prefix_depth(texts: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """How many values of a label two texts must share: DEPTH, shortened until copies at the threshold are found with the target recall.
+
+    The copies are of about SAMPLED_TEXTS texts. Both their measured and their
+    expected recall must reach the target, as few misses do not show in a sample.
+    """
+    sampled = texts.select("text").sample(min(1.0, SAMPLED_TEXTS / max(1, texts.count())), 1)
+    seen = sampled.mapInArrow(_trial(threshold), "depth int, n long, found long, expected double").groupBy("depth").agg(F.sum("n"), F.sum("found"), F.sum("expected")).collect()
+    good = [depth for depth, n, found, expected in seen if min(found, expected) >= recall * n]
+    return max(good, default=1) if seen else DEPTH
 
 
 def _signer(depth: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """doc_id, text, text_hash to the set's hash (null without words), its size and, once for each set in a task, its keys."""
+        """doc_id, text, text_hash to the set's hash (null without words), its size and, once for each set in a task, its labels."""
         done: set[int] = set()
         for batch in batches:
-            nodes, sizes, lists = [], [], []
+            nodes, sizes, high, low = [], [], [], []
             for text in batch.column(1):
                 found = shingles(bytes(text.as_buffer() or b""))
-                if not len(found):
-                    nodes.append(None)
-                    sizes.append(0)
-                    lists.append(None)
-                    continue
-                node = xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63)
+                node = xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63) if len(found) else None
                 nodes.append(node)
                 sizes.append(len(found))
-                if node in done:
-                    lists.append(None)
+                if node is None or node in done:
+                    high.append(None)
+                    low.append(None)
                     continue
                 if len(done) >= REMEMBERED:
                     done.clear()
                 done.add(node)
-                lists.append(keys(minhashes(found), depth).view(np.int64))
-            offsets = np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in lists])]).astype(np.int32)
-            flat = np.concatenate([x for x in lists if x is not None] or [np.zeros(0, np.int64)])
-            columns = [batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "node", "size", "keys"])
+                a, b = packed(labels(minhashes(found)), depth)
+                high.append(a)
+                low.append(b if depth > 8 else None)
+            columns = [batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), _lists(high), _lists(low)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "node", "size", "high", "low"])
 
     return sign
 
 
+def _lists(parts: list[np.ndarray | None]) -> pa.Array:
+    """A column of lists, empty for None."""
+    offsets = np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([x for x in parts if x is not None] or [np.zeros(0, np.int64)])))
+
+
+def _rows_of_a_prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (tree, high, low, node) to (node, first): the first node with its prefix, where that is another.
+
+    The first and last rows of the partition come again, with ``first`` null
+    and their prefix, as the nodes with it may go on in other partitions.
+    """
+    last, head = None, 0
+    names = ["tree", "high", "low", "node", "first"]
+    for batch in batches:
+        if not len(batch):
+            continue
+        prefix = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)])
+        node = batch.column(3).to_numpy()
+        new = np.ones(len(node), bool)
+        new[1:] = (prefix[:, 1:] != prefix[:, :-1]).any(axis=0)
+        if last is None:
+            yield _end(batch, names)
+        else:
+            new[0] = (prefix[:, 0] != last).any()
+        begin = np.maximum.accumulate(np.where(new, np.arange(len(node)), -1))
+        first = np.where(begin < 0, head, node[np.maximum(begin, 0)])
+        hit = np.flatnonzero(first != node)
+        if len(hit):
+            nothing = pa.nulls(len(hit), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(hit), pa.int32()), nothing, nothing, pa.array(node[hit]), pa.array(first[hit])], names=names)
+        last, head, ends = prefix[:, -1], first[-1], batch.slice(len(batch) - 1, 1)
+    if last is not None:
+        yield _end(ends, names, head)
+
+
+def _end(batch: pa.RecordBatch, names: list[str], head: int | None = None) -> pa.RecordBatch:
+    """The first row of ``batch`` for the partition's neighbours to see; ``head``: the first node with its prefix, to stand for it."""
+    one = batch.slice(0, 1)
+    node = one.column(3) if head is None else pa.array([head], pa.int64())
+    return pa.RecordBatch.from_arrays([one.column(0), one.column(1), one.column(2), node, pa.nulls(1, pa.int64())], names=names)
+
+
+def chains(leaves: DataFrame) -> DataFrame:
+    """(a, b) that hold together all nodes with a common prefix, from (tree, high, low, node).
+
+    A range partitioning by prefix and node cuts the sorted lists, so a prefix
+    that very many nodes have is spread over partitions; two rows of each
+    partition meet to join what was cut.
+    """
+    in_order = ("tree", "high", "low", "node")
+    parts = int(leaves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = leaves.repartitionByRange(parts, *in_order).sortWithinPartitions(*in_order).mapInArrow(_rows_of_a_prefix, "tree int, high long, low long, node long, first long")
+    found = materialize(found, "forest-rows")
+    ends = found.where("first IS NULL")
+    least = ends.groupBy("tree", "high", "low").agg(F.min("node").alias("first"))
+    across = ends.drop("first").join(least, ["tree", "high", "low"])
+    return found.where("first IS NOT NULL").unionByName(across.select(*found.columns)).select(F.col("node").alias("a"), F.col("first").alias("b")).where("a <> b")
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Group, node, copies, blocks and text to the node's shingles in place of the text."""
     for batch in batches:
@@ -234,12 +326,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     small_batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text")).select("doc_id", "text", "text_hash")
-    signed = texts.mapInArrow(_signer(prefix_depth(threshold, recall)), f"doc_id {kind}, text_hash long, node long, size long, keys array<long>")
+    signed = texts.mapInArrow(_signer(prefix_depth(texts, threshold, recall)), f"doc_id {kind}, text_hash long, node long, size long, high array<long>, low array<long>")
     signed = materialize(signed, "forest")
     members = signed.select("doc_id", "text_hash", "node", "size")
 
-    leaves = signed.select("node", F.explode("keys").alias("key"))
-    chained = leaves.select(F.col("node").alias("a"), F.min("node").over(Window.partitionBy("key")).alias("b")).where("a <> b")
+    leaves = signed.select("node", "low", F.posexplode("high").alias("tree", "high")).select("tree", "high", F.coalesce(F.get("low", "tree"), F.lit(0).cast("long")).alias("low"), "node")
+    chained = chains(leaves)
     groups = materialize(components(chained, "forest-chains"), "forest-groups")
 
     by_node = members.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("one"), F.first("size").alias("size"))
@@ -277,10 +369,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 
 
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with one row of each class of near duplicates: that of the least doc_id, once. Texts without words all stay."""
+    """``docs`` with one row of each class of near duplicates: that of the least doc_id, once. Texts without words all stay.
+
+    Columns of ``docs`` keep their names, whatever these are.
+    """
     judged = near_duplicates(docs, threshold)
-    kept = judged.where("first").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"), (F.col("copies") > 1).alias("kept_copied")).distinct()
-    rows = docs.withColumn("row_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("row_hash") == F.col("kept_hash")))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "row_hash").orderBy("row_hash"))
-    return rows.withColumn("row_nth", nth).where("row_nth = 1 OR NOT kept_copied").select(*docs.columns)
+    kept = judged.where("first").groupBy(F.struct(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).alias("key")).agg((F.max("copies") > 1).alias("copied"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.struct(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("hash")).alias("row_key"))
+    rows = rows.join(kept, F.col("row_key.id").eqNullSafe(F.col("key.id")) & (F.col("row_key.hash") == F.col("key.hash")))
+    nth = F.row_number().over(Window.partitionBy("row_key").orderBy("row_key"))
+    return rows.withColumn("nth", nth).where("nth = 1 OR NOT copied").select("row.*")

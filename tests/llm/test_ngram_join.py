@@ -61,8 +61,8 @@ def texts():
 @pytest.mark.parametrize("block", [1024, 20])
 def test_every_pair(spark, monkeypatch, block):
     monkeypatch.setattr(N, "BLOCK_TEXTS", block)
-    rows = [(i, t, "x", "y") for i, t in enumerate(texts())]
-    df = spark.createDataFrame(rows, "doc_id long, text string, node string, comp string").repartition(5)
+    rows = [(i, t, "x", "y", 1) for i, t in enumerate(texts())]
+    df = spark.createDataFrame(rows, "doc_id long, text string, node string, key string, row_key int").repartition(5)
     got = {r.doc_id: r for r in N.near_duplicates(df).collect()}
     n_links, root = plain([r[1] for r in rows])
     assert len(got) == len(rows)
@@ -84,17 +84,52 @@ def test_repeated_and_null_ids(spark):
     assert N.near_duplicates(df.limit(0)).collect() == [] and N.keep_first(df.limit(0)).collect() == []
 
 
-def test_prefixes_find_pairs_at_the_threshold():
-    rng = np.random.default_rng(2)
-    depth, missed = N.prefix_depth(), 0
-    assert N.prefix_depth(0.95) > depth
-    for _ in range(400):
-        both, a, b = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (400, 50, 50))  # 400 of 500
-        one, two = (N.keys(N.minhashes(np.concatenate([both, x])), depth) for x in (a, b))
+def test_prefixes_are_shortened_until_pairs_at_the_threshold_are_found(spark):
+    rng = random.Random(2)
+    df = spark.createDataFrame([(" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(50, 400))),) for _ in range(300)] + [(None,), ("one",)], "text string").repartition(3)
+    depth = N.prefix_depth(df)
+    assert 1 < depth < N.prefix_depth(df, 0.95) <= N.DEPTH and N.prefix_depth(df, recall=0.9) > depth
+    assert N.prefix_depth(df.limit(0)) == N.DEPTH
+    rng, missed = np.random.default_rng(3), 0
+    for _ in range(2000):
+        both, a, b = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (160, 20, 20))  # 160 of 200
+        one, two = (N.packed(N.labels(N.minhashes(np.concatenate([both, x]))), depth)[0] for x in (a, b))
         missed += not (one == two).any()
     assert missed <= 1
 
 
+def test_labels_sort_as_their_values():
+    rng = np.random.default_rng(1)
+    label = rng.integers(0, 256, (500, 16)).astype(np.uint8)
+    for depth in (3, 8, 11, 16):
+        high, low = N.packed(label, depth)
+        assert [tuple(x) for x in label[np.lexsort((low, high))][:, :depth]] == sorted(tuple(x) for x in label[:, :depth])
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_prefixes_hold_together_across_partitions(spark, parts):
+    rng = random.Random(parts)
+    rows = [(rng.randint(0, 2), rng.choice([5, 5, 5, rng.randint(-99, 99)]), rng.randint(0, 1), rng.randint(0, 300)) for _ in range(400)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = N.chains(spark.createDataFrame(rows, "tree int, high long, low long, node long")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+    def classes(pairs):
+        parent = {}
+        find = lambda x: x if parent.setdefault(x, x) == x else find(parent[x])
+        for a, b in pairs:
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+        return {x: find(x) for x in range(301)}
+
+    first = {}
+    want = [(first.setdefault(r[:3], r[3]), r[3]) for r in rows]
+    assert classes(want) == classes([(r.a, r.b) for r in got])
+
+
 def test_overlaps_are_exact():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 300, n, dtype=np.uint64)) for n in (1, 5, 80, 200, 200, 0)]
