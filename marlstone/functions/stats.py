@@ -6,16 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def sxy(x: Column, y: Column) -> Column:
-    """Sum of products of deviations, over rows where both are known."""
-    return F.covar_pop(x, y) * F.regr_count(y, x)
-
-
-def standardized(x: Column, mean: Column, sd: Column) -> Column:
-    """(x - mean) / sd; null where sd is 0 or null."""
-    return (x - mean) / F.nullif(sd, F.lit(0.0))
-
-
 def min_max(x: Column, least: Column, most: Column) -> Column:
     """x on the scale from least (0) to most (1); null where these are equal."""
     return (x - least) / F.nullif(most - least, F.lit(0.0))

@@ -1,4 +1,4 @@
-"""The bootstrap over entities, all replicates in one pass."""
+"""The bootstrap over entities, all replicates at once."""
 
 from __future__ import annotations
 
@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marlstone.functions.stats import draw
+from marlstone.operators.regression import demeaned
 
 
 def draws(entities: DataFrame, replicates: int, seed: int) -> DataFrame:
     """(replicate, entity, times): each replicate draws as many entities as there are, with replacement.
 
     Draws come from MD5, so they are the same wherever and however often they
-    are made. Entities are numbered by their order.
+    are made. Entities are numbered by their order, in one window over one
+    number an entity.
     """
     numbered = entities.select("entity").distinct().withColumn("number", F.row_number().over(Window.orderBy("entity")) - 1)
     n = entities.select("entity").distinct().count()
@@ -23,15 +25,20 @@ def draws(entities: DataFrame, replicates: int, seed: int) -> DataFrame:
     return made.groupBy("replicate", "number").agg(F.count("*").alias("times")).join(numbered, "number").select("replicate", "entity", "times")
 
 
-def mediated(rows: DataFrame, y: str, x: str, mediator: str, replicates: int, seed: int) -> DataFrame:
-    """(replicate, a, b, indirect): the mediation's product of coefficients in each replicate, for demeaned rows.
+def mediated(panel: DataFrame, y: str, x: str, mediator: str, replicates: int, seed: int) -> DataFrame:
+    """(replicate, a, b, indirect): the mediation's product of coefficients, fitted anew to each replicate's entities.
 
-    An entity's sums of products are taken once; a replicate is a weighted sum
-    of those, so rows are read once whatever the number of replicates.
+    A replicate is the panel of the drawn entities, each counted as often as it
+    was drawn, so entity and period means are its own. All replicates are
+    fitted at once, as weighted panels side by side: the rows are the panel's
+    times the replicates.
     """
+    used = panel.dropna(subset=[y, x, mediator]).select("entity", "period", y, x, mediator)
+    size = used.agg(F.count("*").alias("n"), F.count_distinct("entity").alias("e"), F.count_distinct("period").alias("t")).first()
+    drawn = draws(used, replicates, seed).join(used, "entity")
+    rows = demeaned(drawn, [y, x, mediator], size["n"] == size["e"] * size["t"], weight="times", within=["replicate"])
     pairs = {"xx": (x, x), "xm": (x, mediator), "mm": (mediator, mediator), "xy": (x, y), "my": (mediator, y)}
-    sums = rows.groupBy("entity").agg(*(F.sum(F.col(a) * F.col(b)).alias(k) for k, (a, b) in pairs.items()))
-    weighted = draws(rows, replicates, seed).join(sums, "entity").groupBy("replicate").agg(*(F.sum(F.col(k) * F.col("times")).alias(k) for k in pairs))
+    weighted = rows.groupBy("replicate").agg(*(F.sum(F.col(a) * F.col(b) * F.col("times")).alias(k) for k, (a, b) in pairs.items()))
     first = F.col("xm") / F.nullif(F.col("xx"), F.lit(0.0))
     det = F.nullif(F.col("xx") * F.col("mm") - F.col("xm") * F.col("xm"), F.lit(0.0))
     second = (F.col("xx") * F.col("my") - F.col("xm") * F.col("xy")) / det

@@ -7,20 +7,58 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marlstone.functions.stats import min_max
+from marlstone.sources import materialize
 
 
-def summary(df: DataFrame, value: Column, by: list[Column], places: int = 4) -> DataFrame:
-    """n, nulls, mean, sd, least, quartiles and most of ``value`` for each group, rounded to ``places``.
+#: Ranks that the sketch may be off by, as a share of a group's rows.
+SKETCH = 10_000
+
+
+def quantiles(df: DataFrame, value: Column, by: list[Column], shares: list[float]) -> DataFrame:
+    """For each group (columns of ``by``) and each of ``shares``: (..., share, quantile), exact and interpolated; null values are left out.
 
-    Quartiles are exact (interpolated). One aggregate: what is shuffled of a
-    group is its counts of distinct values.
+    A mergeable sketch brackets each quantile. Then rows are counted below the
+    bracket, and by value within it, so that of a group's rows only the
+    values of a bracket, a few of SKETCH, meet in one window. Rows are read
+    twice. The brackets are one row a group; where these are few, adaptive
+    execution broadcasts them.
     """
-    q = F.percentile(value, [0.25, 0.5, 0.75])
+    keys = df.select(*by).columns
+    named = df.where(value.isNotNull()).select(*by, value.cast("double").alias("v"))
+    marks = [min(max(q + side * 3 / SKETCH, 0.0), 1.0) for q in shares for side in (-1, 1)]
+    bracket = named.groupBy(*keys).agg(F.count("*").alias("rows"), F.percentile_approx("v", marks, SKETCH).alias("marks"), F.min("v").alias("least"), F.max("v").alias("most"))
+    # the bracket of a small group is all of it
+    mark = lambda i, end: F.when(F.col("rows") <= SKETCH, F.col(end)).otherwise(F.get("marks", F.lit(i)))
+    asked = F.explode(F.array(*(F.struct(F.lit(q).alias("share"), mark(2 * i, "least").alias("low"), mark(2 * i + 1, "most").alias("high")) for i, q in enumerate(shares))))
+    bracket = materialize(bracket.select(*(F.col(k).alias(f"of_{i}") for i, k in enumerate(keys)), "rows", asked.alias("b")).select("*", "b.*").drop("b"), "brackets")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"of_{i}"))
+    met = named.join(bracket, same & (F.col("v") <= F.col("high"))) if keys else named.join(F.broadcast(bracket), F.col("v") <= F.col("high"))  # a row for each share
+    at = F.when(F.col("v") >= F.col("low"), F.col("v"))
+    counts = met.groupBy(*keys, "rows", "share", at.alias("v")).agg(F.count("*").alias("n"))
+    upto = Window.partitionBy(*keys, "share").orderBy(F.asc_nulls_first("v"))
+    counts = counts.withColumn("upto", F.sum("n").over(upto))
+    rank = (F.col("rows") - 1) * F.col("share")
+    holds = lambda r: F.max(F.when((F.col("upto") > r) & (F.col("upto") - F.col("n") <= r), F.col("v")))
+    found = counts.groupBy(*keys, "rows", "share").agg(holds(F.floor(rank)).alias("low"), holds(F.ceil(rank)).alias("high"))
+    return found.select(*keys, "share", (F.col("low") + (F.col("high") - F.col("low")) * (rank - F.floor(rank))).alias("quantile"))
+
+
+def summary(df: DataFrame, value: Column, by: list[Column], places: int = 4) -> DataFrame:
+    """n, nulls, mean, sd, least, quartiles and most of ``value`` for each group, rounded to ``places``; quartiles are exact (interpolated)."""
     found = df.groupBy(*by).agg(
-        F.count(value).alias("n"), F.count_if(value.isNull()).alias("nulls"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("least"), q.alias("q"), F.max(value).alias("most")
+        F.count(value).alias("n"), F.count_if(value.isNull()).alias("nulls"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("least"), F.max(value).alias("most")
     )
-    parts = {"mean": "mean", "sd": "sd", "least": "least", "q1": "q[0]", "median": "q[1]", "q3": "q[2]", "most": "most"}
-    return found.withColumns({k: F.round(F.expr(v), places) for k, v in parts.items()}).drop("q")
+    keys = df.select(*by).columns
+    named = {0.25: "q1", 0.5: "median", 0.75: "q3"}
+    parts = [F.max(F.when(F.col("share") == q, F.col("quantile"))).alias(name) for q, name in named.items()]
+    q = quantiles(df, value, by, list(named)).groupBy(*(F.col(k).alias(f"of_{i}") for i, k in enumerate(keys))).agg(*parts)
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"of_{i}"))
+    both = found.join(q, same, "left")
+    return both.select(*keys, "n", "nulls", *(F.round(c, places).alias(c) for c in ("mean", "sd", "least", "q1", "median", "q3", "most")))
 
 
 def histogram(df: DataFrame, value: Column, least: float, most: float, bins: int, by: list[Column] | None = None) -> DataFrame:

@@ -6,26 +6,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Ranges of time that a key's rows are cut into for an as-of join.
+CELLS = 64
+
 
 def as_of(left: DataFrame, right: DataFrame, key: list[str], at: str, values: list[str]) -> DataFrame:
     """``left`` with the ``values`` of the last row of ``right`` with its key and a time not after its own.
 
     Both sides are put in one order by key and time, and each left row takes the
-    last right row before it: one shuffle by key, one sort, no pairs. Of right
+    last right row before it: one sort, no pairs. Times are numbers. Of right
     rows at one time the greatest counts. Rows with a null key or time find
-    nothing. A key with very many rows is one window, which can spill.
+    nothing. ``values`` must not be columns of ``left``, whose own names may
+    be any.
+
+    A key with very many rows is spread over cells: CELLS ranges of time between
+    the ends of all times. The last right row of each key and cell, found with
+    partial maxima, is carried into the cells after it, so that each cell can
+    be searched by itself; only these, CELLS a key at most, meet in one window.
     """
-    mine = left.select(F.struct(*left.columns).alias("row"), *key, F.col(at).alias("as_of_at"), F.lit(1).alias("side"), F.lit(None).alias("found"))
-    found = F.struct(*values)
-    theirs = right.select(F.lit(None).alias("row"), *key, F.col(at).alias("as_of_at"), F.lit(0).alias("side"), found.alias("found")).where(F.col("as_of_at").isNotNull())
-    both = mine.unionByName(theirs)
-    order = Window.partitionBy(*key).orderBy("as_of_at", "side", "found").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last("found", ignorenulls=True).over(order)
-    known = F.col("as_of_at").isNotNull()
-    for k in key:
+    keys = [F.col(k).alias(f"key_{i}") for i, k in enumerate(key)]
+    names = [f"key_{i}" for i in range(len(key))]
+    found = F.struct(*(F.col(v).alias(f"value_{i}") for i, v in enumerate(values)))
+    mine = left.select(F.struct(*(F.col(c).alias(f"left_{i}") for i, c in enumerate(left.columns))).alias("row"), *keys, F.col(at).alias("at"), F.lit(1).alias("side"), F.lit(None).alias("found"))
+    theirs = right.select(F.lit(None).alias("row"), *keys, F.col(at).alias("at"), F.lit(0).alias("side"), found.alias("found")).where(F.col("at").isNotNull())
+    known = F.col("at").isNotNull()
+    for k in names:
         known = known & F.col(k).isNotNull()
-    joined = both.withColumn("found", F.when(known, last)).where("side = 1")
-    return joined.select("row.*", *(F.col(f"found.{v}").alias(v) for v in values))
+    ends = right.agg(F.min(at).cast("double").alias("least"), F.max(at).cast("double").alias("most")).first()
+    least, most = ends["least"] or 0.0, ends["most"] or 0.0
+    width = (most - least) / CELLS or 1.0
+    cell = F.greatest(F.lit(0), F.least(F.lit(CELLS - 1), F.floor((F.col("at").cast("double") - least) / width))).cast("int")
+    both = mine.unionByName(theirs).withColumn("cell", cell)
+    # what each cell begins with: the last right row of the cells before it
+    top = F.max(F.when(F.col("side") == 0, F.struct("at", "found"))).alias("top")
+    tops = both.where(known).groupBy(*names, "cell").agg(top, F.max("side").alias("has_left"))
+    before = Window.partitionBy(*names).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tops.withColumn("top", F.last("top", ignorenulls=True).over(before)).where("has_left = 1 AND top IS NOT NULL")
+    both = both.unionByName(carried.select(F.lit(None).alias("row"), *names, F.col("top.at").alias("at"), F.lit(0).alias("side"), F.col("top.found").alias("found"), "cell"))
+    order = Window.partitionBy(*names, "cell").orderBy("at", "side", "found").rowsBetween(Window.unboundedPreceding, 0)
+    joined = both.withColumn("found", F.when(known, F.last("found", ignorenulls=True).over(order))).where("side = 1")
+    return joined.select(*(F.col(f"row.left_{i}").alias(c) for i, c in enumerate(left.columns)), *(F.col(f"found.value_{i}").alias(v) for i, v in enumerate(values)))
 
 
 def interval(points: DataFrame, spans: DataFrame, key: list[str], at: str, first: str, length: int) -> DataFrame:
@@ -43,12 +63,18 @@ def interval(points: DataFrame, spans: DataFrame, key: list[str], at: str, first
 
 
 def sessions(df: DataFrame, key: list[str], at: str, gap: int) -> DataFrame:
-    """Adds ``session``, counted from 1 by key: a row more than ``gap`` after the one before begins a new one."""
+    """Adds ``session``, counted from 1 by key: a row more than ``gap`` after the one before begins a new one.
+
+    A column ``session`` of ``df`` is replaced. A key's rows are one window, which can spill.
+    """
     order = Window.partitionBy(*key).orderBy(at)
-    new = F.col(at) - F.lag(at).over(order) > gap
-    return df.withColumn("begins", F.when(F.coalesce(new, F.lit(True)), 1).otherwise(0)).withColumn("session", F.sum("begins").over(order)).drop("begins")
+    new = F.coalesce(F.col(at) - F.lag(at).over(order) > gap, F.lit(True))
+    plain = df.drop("session") if "session" not in {*key, at} else df
+    row = plain.select(F.struct(*(F.col(c).alias(f"c_{i}") for i, c in enumerate(plain.columns))).alias("row"), *(F.col(k).alias(f"key_{i}") for i, k in enumerate(key)), F.col(at).alias("at"), new.cast("int").alias("begins"))
+    by = Window.partitionBy(*(f"key_{i}" for i in range(len(key)))).orderBy("at")
+    return row.select(*(F.col(f"row.c_{i}").alias(c) for i, c in enumerate(plain.columns)), F.sum("begins").over(by).alias("session"))
 
 
 def top(df: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
-    """The first ``k`` rows of each group, with ``rank``; ties are broken by ``order``. Spark limits groups before the shuffle too."""
+    """The first ``k`` rows of each group, with ``rank``, which replaces a column of that name; ties are broken by ``order``. Spark limits groups before the shuffle too."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)

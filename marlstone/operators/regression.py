@@ -39,7 +39,7 @@ def fit(df: DataFrame, y: str, x: list[str], intercept: bool = True, absorbed: i
     The sums of products are one aggregate; the driver solves a system of as
     many equations as there are regressors. ``absorbed`` degrees of freedom
     are taken off for effects removed before. A regressor that the others
-    determine gets the coefficient of least norm.
+    determine gets the coefficient of least norm, of columns brought to one length.
     """
     known = df.dropna(subset=[y, *x] + ([weight] if weight else []))
     columns = ([F.lit(1.0)] if intercept else []) + [F.col(c).cast("double") for c in x] + [F.col(y).cast("double")]
@@ -53,7 +53,8 @@ def fit(df: DataFrame, y: str, x: list[str], intercept: bool = True, absorbed: i
     for i in range(k):
         for j in range(i + 1):
             m[i, j] = m[j, i] = sums[f"s{i}_{j}"]
-    inverse = np.linalg.pinv(m[:-1, :-1], hermitian=True)
+    unit = 1 / np.sqrt(np.where(np.diag(m) > 0, np.diag(m), 1.0))[:-1]  # columns of like length keep the inverse exact
+    inverse = np.linalg.pinv(m[:-1, :-1] * np.outer(unit, unit), hermitian=True) * np.outer(unit, unit)
     b = inverse @ m[:-1, -1]
     n = round(sums["n"])
     rest = max(0.0, m[-1, -1] - b @ m[:-1, -1])
@@ -63,28 +64,33 @@ def fit(df: DataFrame, y: str, x: list[str], intercept: bool = True, absorbed: i
     return Fit(dict(zip(names, map(float, b), strict=True)), dict(zip(names, map(float, se), strict=True)), n, float(1 - rest / total) if total > 0 else float("nan"))
 
 
-def demeaned(panel: DataFrame, columns: list[str], balanced: bool, rounds: int = 50, tolerance: float = 1e-10, keep: list[str] | None = None) -> DataFrame:
-    """``columns`` without entity and period means.
+def demeaned(
+    panel: DataFrame, columns: list[str], balanced: bool, rounds: int = 50, tolerance: float = 1e-10, keep: list[str] | None = None, weight: str | None = None, within: list[str] | None = None
+) -> DataFrame:
+    """``columns`` without entity and period means, weighted by ``weight``.
 
-    A balanced panel takes one pass. In an unbalanced one, means of entities
-    and of periods are taken off in turn until those of entities are all within
-    ``tolerance`` of 0 against the column's spread; lineage is cut every round.
-    Means are aggregates with partial sums joined back, so an entity of any
-    size is spread over tasks.
+    A balanced panel whose weights are the same in all periods takes one pass.
+    In any other, means of entities and of periods are taken off in turn until
+    those of entities are all within ``tolerance`` of 0 against the column's
+    spread; lineage is cut every round. Means are aggregates with partial sums
+    joined back, so an entity of any size is spread over tasks. ``within``:
+    columns that part the rows into panels of their own, all done at once.
     """
-    kept = ["entity", "period", *(keep or [])]
+    within = within or []
+    kept = list(dict.fromkeys([*within, "entity", "period", *(keep or []), *([weight] if weight else [])]))
+    mean = lambda c: F.sum(F.col(c) * F.col(weight)) / F.sum(weight) if weight else F.avg(c)
 
     def without(df: DataFrame, key: str) -> DataFrame:
-        means = df.groupBy(key).agg(*(F.avg(c).alias(f"mean_{c}") for c in columns))
-        return df.join(means, key).select(*kept, *((F.col(c) - F.col(f"mean_{c}")).alias(c) for c in columns))
+        means = df.groupBy(*within, key).agg(*(mean(c).alias(f"mean_{c}") for c in columns))
+        return df.join(means, [*within, key]).select(*kept, *((F.col(c) - F.col(f"mean_{c}")).alias(c) for c in columns))
 
-    rows = panel.dropna(subset=columns).select(*kept, *(F.col(c).cast("double").alias(c) for c in columns))
+    rows = panel.dropna(subset=[*columns, *([weight] if weight else [])]).select(*kept, *(F.col(c).cast("double").alias(c) for c in columns))
     rows = without(without(rows, "entity"), "period")
     if balanced:
         return rows
     rows = materialize(rows, "demeaned")
     for _ in range(rounds):
-        means = rows.groupBy("entity").agg(*(F.avg(c).alias(c) for c in columns))
+        means = rows.groupBy(*within, "entity").agg(*(mean(c).alias(c) for c in columns))
         left = means.agg(*(F.max(F.abs(c)).alias(c) for c in columns)).first()
         spread = rows.agg(*(F.sqrt(F.avg(F.col(c) * F.col(c))).alias(c) for c in columns)).first()
         if all((left[c] or 0) <= tolerance * max(spread[c] or 0, 1e-300) for c in columns):
@@ -93,12 +99,40 @@ def demeaned(panel: DataFrame, columns: list[str], balanced: bool, rounds: int =
     return rows
 
 
+def _size(used: DataFrame) -> tuple[int, int, int]:
+    found = used.agg(F.count("*"), F.count_distinct("entity"), F.count_distinct("period")).first()
+    return found[0], found[1], found[2]
+
+
 def two_way(panel: DataFrame, y: str, x: list[str], weight: str | None = None) -> Fit:
-    """Two-way fixed effects: least squares after entity and period means are taken off, with degrees of freedom for these."""
+    """Two-way fixed effects: least squares after entity and period means are taken off, with degrees of freedom for these.
+
+    With a ``weight``, means and sums of products are weighted alike; rows of a null or zero weight are left out.
+    """
     used = panel.dropna(subset=[y, *x])
-    size = used.agg(F.count("*").alias("n"), F.count_distinct("entity").alias("e"), F.count_distinct("period").alias("t")).first()
-    rows = demeaned(used, [y, *x], size["n"] == size["e"] * size["t"], keep=[weight] if weight else [])
-    return fit(rows, y, x, intercept=False, absorbed=max(0, size["e"] + size["t"] - 1), weight=weight)
+    if weight:
+        used = used.where(F.col(weight) > 0)
+    n, entities, periods = _size(used)
+    rows = demeaned(used, [y, *x], weight is None and n == entities * periods, weight=weight)
+    return fit(rows, y, x, intercept=False, absorbed=max(0, entities + periods - 1), weight=weight)
+
+
+def instrumented(panel: DataFrame, y: str, x: str, instrument: str) -> Fit:
+    """The effect of ``x`` on ``y`` with two-way effects, where ``x`` moves with the error: ``instrument`` stands in for it.
+
+    The ratio of the instrument's products with y and x, and its standard error.
+    """
+    used = panel.dropna(subset=[y, x, instrument])
+    n, entities, periods = _size(used)
+    rows = demeaned(used, list(dict.fromkeys([y, x, instrument])), n == entities * periods)
+    pairs = {"zy": (instrument, y), "zx": (instrument, x), "zz": (instrument, instrument), "xx": (x, x), "xy": (x, y), "yy": (y, y)}
+    s = rows.agg(*(F.sum(F.col(a) * F.col(b)).alias(k) for k, (a, b) in pairs.items())).first()
+    if not n or not s["zx"]:
+        return Fit({x: float("nan")}, {x: float("nan")}, n, float("nan"))
+    b = s["zy"] / s["zx"]
+    rest, free = s["yy"] - 2 * b * s["xy"] + b * b * s["xx"], n - 1 - max(0, entities + periods - 1)
+    se = float(np.sqrt(max(0.0, rest) / free * s["zz"]) / abs(s["zx"])) if free > 0 else float("nan")
+    return Fit({x: b}, {x: se}, n, float(1 - rest / s["yy"]) if s["yy"] else float("nan"))
 
 
 @dataclass
@@ -119,8 +153,8 @@ def mediation(panel: DataFrame, y: str, x: str, mediator: str, controls: list[st
     """The product of coefficients, each from a fit with two-way fixed effects over the same rows."""
     controls = controls or []
     used = panel.dropna(subset=[y, x, mediator, *controls])
-    size = used.agg(F.count("*").alias("n"), F.count_distinct("entity").alias("e"), F.count_distinct("period").alias("t")).first()
-    rows = demeaned(used, [y, x, mediator, *controls], size["n"] == size["e"] * size["t"])
+    n, entities, periods = _size(used)
+    rows = demeaned(used, [y, x, mediator, *controls], n == entities * periods)
     first = fit(rows, mediator, [x, *controls], intercept=False)
     second = fit(rows, y, [x, mediator, *controls], intercept=False)
     whole = fit(rows, y, [x, *controls], intercept=False)

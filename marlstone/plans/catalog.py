@@ -59,23 +59,12 @@ NATION_PANEL = f"SELECT entity, period, round(price, 4) AS price, round(balance,
 
 
 def panel_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = panel.lagged(_panel(spark, sf_dir).where((F.col("entity") + F.col("period")) % 5 != 0), "price")
-    return found.select("entity", "period", F.round("price_lag1", 4).alias("price_lag1"))
-
-
-PANEL_LAG = f"""
-WITH p AS (SELECT * FROM ({PANEL}) WHERE (entity + period) % 5 <> 0)
-SELECT a.entity, a.period, round(b.price, 4) AS price_lag1 FROM p a LEFT JOIN p b ON a.entity = b.entity AND a.period = b.period + 1
-"""
-
-
-def panel_lag_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lag of every row of the panel; ``panel_lag`` leaves rows out to make gaps."""
+    """The lag of every row of the panel."""
     found = panel.lagged(_panel(spark, sf_dir), "price")
     return found.select("entity", "period", F.round("price_lag1", 4).alias("price_lag1"))
 
 
-PANEL_LAG_WHOLE = f"""
+PANEL_LAG = f"""
 WITH p AS ({PANEL})
 SELECT a.entity, a.period, round(b.price, 4) AS price_lag1 FROM p a LEFT JOIN p b ON a.entity = b.entity AND a.period = b.period + 1
 """
@@ -171,19 +160,20 @@ SELECT round(a * 1000, 5) AS a, round(b / 1000, 5) AS b, round(direct, 5) AS dir
 
 
 def mediation_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = materialize(_panel(spark, sf_dir), "panel")
-    rows = materialize(regression.demeaned(found, ["price", "balance", "urgent"], panel.balance(found).first()["balanced"]), "demeaned")
-    found = bootstrap.mediated(rows, "price", "balance", "urgent", replicates=200, seed=7)
+    found = bootstrap.mediated(materialize(_panel(spark, sf_dir), "panel"), "price", "balance", "urgent", replicates=200, seed=7)
     return bootstrap.interval(found, "indirect").select("n", *(F.round(c, 5).alias(c) for c in ("low", "median", "high")))
 
 
+#: Entity means come off first, and then each replicate's own period means; right where the panel is balanced.
 MEDIATION_BOOTSTRAP = f"""
-{DEMEANED}, e AS (SELECT entity, row_number() OVER (ORDER BY entity) - 1 AS number FROM (SELECT DISTINCT entity FROM d)),
+WITH p AS ({PANEL}), o AS (SELECT entity, period, price - avg(price) OVER e AS y, balance - avg(balance) OVER e AS x, urgent - avg(urgent) OVER e AS m FROM p WINDOW e AS (PARTITION BY entity)),
+e AS (SELECT entity, row_number() OVER (ORDER BY entity) - 1 AS number FROM (SELECT DISTINCT entity FROM o)),
 c AS (SELECT count(*) AS n FROM e),
 draws AS (SELECT r.range AS replicate, CAST('0x' || substr(md5('7|' || r.range || '|' || i.range), 1, 8) AS BIGINT) % c.n AS number
           FROM c, range(200) r, range((SELECT n FROM c)) i),
-s AS (SELECT entity, sum(x * x) AS xx, sum(x * m) AS xm, sum(m * m) AS mm, sum(x * y) AS xy, sum(m * y) AS my FROM d GROUP BY 1),
-w AS (SELECT replicate, sum(xx) AS xx, sum(xm) AS xm, sum(mm) AS mm, sum(xy) AS xy, sum(my) AS my FROM draws JOIN e USING (number) JOIN s USING (entity) GROUP BY 1),
+b AS (SELECT replicate, o.* FROM draws JOIN e USING (number) JOIN o USING (entity)),
+d AS (SELECT replicate, y - avg(y) OVER t AS y, x - avg(x) OVER t AS x, m - avg(m) OVER t AS m FROM b WINDOW t AS (PARTITION BY replicate, period)),
+w AS (SELECT replicate, sum(x * x) AS xx, sum(x * m) AS xm, sum(m * m) AS mm, sum(x * y) AS xy, sum(m * y) AS my FROM d GROUP BY 1),
 f AS (SELECT xm / nullif(xx, 0) * (xx * my - xm * xy) / nullif(xx * mm - xm * xm, 0) AS indirect FROM w)
 SELECT count(indirect) AS n, round(quantile_cont(indirect, 0.025), 5) AS low, round(quantile_cont(indirect, 0.5), 5) AS median, round(quantile_cont(indirect, 0.975), 5) AS high FROM f
 """
@@ -202,6 +192,29 @@ def robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robust.table_of(fits, rows, 4)
 
 
+def _one_regressor(name: str, rows: str) -> str:
+    """SQL for the rows of a plain fit of price on balance."""
+    return f"""
+SELECT '{name}' AS variant, unnest(['intercept', 'balance']) AS term, unnest([b0, b]) AS coefficient, unnest([sqrt(s2 * (1 / n + mx * mx / xx)), sqrt(s2 / xx)]) AS error, n
+FROM (SELECT *, (yy - b * b * xx) / (n - 2) AS s2 FROM (SELECT regr_intercept(price, balance) AS b0, regr_slope(price, balance) AS b, regr_sxx(price, balance) AS xx, regr_syy(price, balance) AS yy, avg(balance) AS mx, count(*) AS n FROM {rows}))"""
+
+
+ROBUSTNESS = f"""
+{DEMEANED},
+v AS ({_one_regressor('ols', 'p')} UNION ALL {_one_regressor('busy cells', 'p WHERE orders >= 5')} UNION ALL {_one_regressor('early years', 'p WHERE period < 1999')}
+UNION ALL
+SELECT 'two controls', unnest(['intercept', 'balance', 'urgent']), unnest([my - bx * mx - bm * mm, bx, bm]),
+       unnest([sqrt(s2 * (1 / n + (mx * mx * smm - 2 * mx * mm * sxm + mm * mm * sxx) / det)), sqrt(s2 * smm / det), sqrt(s2 * sxx / det)]), n
+FROM (SELECT *, (syy - bx * sxy - bm * smy) / (n - 3) AS s2 FROM (SELECT *, (smm * sxy - sxm * smy) / det AS bx, (sxx * smy - sxm * sxy) / det AS bm FROM (
+      SELECT *, sxx * smm - sxm * sxm AS det FROM (SELECT count(*) AS n, avg(price) AS my, avg(balance) AS mx, avg(urgent) AS mm, regr_syy(price, balance) AS syy, regr_sxx(price, balance) AS sxx,
+      regr_sxx(price, urgent) AS smm, regr_sxy(urgent, balance) AS sxm, regr_sxy(price, balance) AS sxy, regr_sxy(price, urgent) AS smy FROM p))))
+UNION ALL
+SELECT 'two-way effects', 'balance', b, sqrt((yy - b * b * xx) / (n - 1 - k) / xx), n
+FROM (SELECT sum(x * y) / sum(x * x) AS b, count(*) AS n, sum(x * x) AS xx, sum(y * y) AS yy, count(DISTINCT entity) + count(DISTINCT period) - 1 AS k FROM d))
+SELECT variant, term, round(coefficient, 4) AS coefficient, round(error, 4) AS error, n FROM v
+"""
+
+
 def region_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     rows = _panel(spark, sf_dir).join(F.broadcast(nation.select(F.col("n_nationkey").alias("entity"), "r_name")), "entity")  # 25 rows at every scale
@@ -302,7 +315,6 @@ QUERIES: dict[str, Query] = {
     "segment_gap": segment_gap,
     "nation_panel": nation_panel,
     "panel_lag": panel_lag,
-    "panel_lag_whole": panel_lag_whole,
     "panel_balance": panel_balance,
     "price_summary": price_summary,
     "price_histogram": price_histogram,
@@ -322,12 +334,10 @@ QUERIES: dict[str, Query] = {
     "price_cube": price_cube,
     "top_orders": top_orders,
 }
-#: ``robustness`` has none: it is a table of fits, and those are covered by the others' and by tests.
 ORACLES: dict[str, str] = {
     "segment_gap": SEGMENT_GAP,
     "nation_panel": NATION_PANEL,
     "panel_lag": PANEL_LAG,
-    "panel_lag_whole": PANEL_LAG_WHOLE,
     "panel_balance": PANEL_BALANCE,
     "price_summary": PRICE_SUMMARY,
     "price_histogram": PRICE_HISTOGRAM,
@@ -338,6 +348,7 @@ ORACLES: dict[str, str] = {
     "two_way_effects": TWO_WAY,
     "mediation_effects": MEDIATION,
     "mediation_bootstrap": MEDIATION_BOOTSTRAP,
+    "robustness": ROBUSTNESS,
     "event_windows": EVENT_WINDOWS,
     "last_events": LAST_EVENTS,
     "last_view": LAST_VIEW,

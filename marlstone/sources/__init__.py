@@ -1,6 +1,6 @@
-"""Table readers and the shared folder in which a job keeps what it must read again."""
+"""Readers and writers, and the shared folder in which a job keeps what it must read again."""
 
-from marlstone.sources.shared import materialize, shared_path
-from marlstone.sources.tables import table
+from marlstone.sources.shared import clear, materialize, shared_path
+from marlstone.sources.tables import read_files, table, write_files
 
-__all__ = ["materialize", "shared_path", "table"]
+__all__ = ["clear", "materialize", "read_files", "shared_path", "table", "write_files"]

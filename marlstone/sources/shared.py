@@ -7,6 +7,7 @@ in tests in local mode, a temporary folder of the driver stands in for it.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -52,10 +53,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Removes all that was written to the shared folder for ``spark`` so far. Frames that read it can't be used any more.
+
+    A session that lives on calls this when it is done with a query's result.
+    """
+    for made in [m for m in _made if m[0] is spark]:
+        remove(*made)
+        _made.remove(made)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _made:
-        try:
+        with contextlib.suppress(Exception):  # what can't be removed keeps nothing else from being
             remove(spark, path)
-        except Exception:  # noqa: BLE001  the session is gone, and its cluster with it
-            return

@@ -1,5 +1,6 @@
 """Structured Streaming plans over the events table."""
 
+from marlstone.streaming.stateful import since_last
 from marlstone.streaming.windows import event_stream, windowed
 
-__all__ = ["event_stream", "windowed"]
+__all__ = ["event_stream", "since_last", "windowed"]

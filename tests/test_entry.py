@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from marlstone.plans import catalog
+from marlstone.plans import catalog, registry
 from marlstone.streaming import event_stream, windowed
 
 DATA = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01"))
@@ -30,22 +30,21 @@ def rounded(rows):
     return sorted(tuple(map(value, r)) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, duck, name):
-    found = catalog.QUERIES[name](spark, str(DATA))
+    found = registry.QUERIES[name](spark, str(DATA))
     columns = sorted(found.columns)
     rows = found.select(*columns).collect()
     assert rows
-    if name in catalog.ORACLES:
-        want = duck.execute(catalog.ORACLES[name])
-        assert sorted(d[0] for d in want.description) == columns
-        order = ", ".join(f'"{c}"' for c in columns)
-        assert rounded(rows) == rounded(duck.execute(f"SELECT {order} FROM ({catalog.ORACLES[name]})").fetchall())
+    want = duck.execute(registry.ORACLES[name])
+    assert sorted(d[0] for d in want.description) == columns
+    order = ", ".join(f'"{c}"' for c in columns)
+    assert rounded(rows) == rounded(duck.execute(f"SELECT {order} FROM ({registry.ORACLES[name]})").fetchall())
 
 
 def test_contract(spark):
     assert entry.entry(spark).count() > 0
-    assert set(catalog.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(registry.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_stream_gives_the_table_s_windows(spark, tmp_path):

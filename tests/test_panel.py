@@ -64,23 +64,45 @@ def test_mediation_adds_up(spark):
     assert got.total == pytest.approx(got.direct + got.indirect, rel=1e-6)
 
 
-def test_bootstrap_is_a_plain_resampling(spark):
-    rows = regression.demeaned(frame(spark, made()), ["x", "m", "y"], balanced=True)
-    got = {r.replicate: r for r in bootstrap.mediated(rows, "y", "x", "m", 20, 3).collect()}
+@pytest.mark.parametrize("drop", [0.0, 0.25])
+def test_bootstrap_fits_each_replicate_anew(spark, drop):
+    """Against dummy-variable fits of the drawn entities, each as often as it was drawn."""
+    made_rows = made(drop=drop)
+    rows = frame(spark, made_rows)
+    got = {r.replicate: r for r in bootstrap.mediated(rows, "y", "x", "m", 12, 3).collect()}
     times = {}
-    for r in bootstrap.draws(rows, 20, 3).collect():
+    for r in bootstrap.draws(rows, 12, 3).collect():
         times.setdefault(r.replicate, {})[r.entity] = r.times
-    local = rows.collect()
     for k, drawn in times.items():
         assert sum(drawn.values()) == 12
-        w = np.array([drawn.get(r.entity, 0) for r in local], float)
-        x, m, y = (np.array([r[c] for r in local]) for c in "xmy")
-        a = (w * x * m).sum() / (w * x * x).sum()
-        z = np.stack([x, m], 1)
-        b = np.linalg.solve(z.T @ (z * w[:, None]), z.T @ (w * y))[1]
-        assert got[k].a == pytest.approx(a) and got[k].b == pytest.approx(b)
-    ends = bootstrap.interval(bootstrap.mediated(rows, "y", "x", "m", 20, 3), "indirect").first()
-    assert ends.n == 20 and ends.low <= ends.median <= ends.high
+        # a copy of an entity is an entity of its own; its effect is the same, so copies can share one
+        copies = [r for r in made_rows for _ in range(drawn.get(r[0], 0))]
+        a, _ = by_dummies(copies, [2], 3)
+        b, _ = by_dummies(copies, [2, 3], 4)
+        assert got[k].a == pytest.approx(a[0], rel=1e-6) and got[k].b == pytest.approx(b[1], rel=1e-6)
+    ends = bootstrap.interval(bootstrap.mediated(rows, "y", "x", "m", 12, 3), "indirect").first()
+    assert ends.n == 12 and ends.low <= ends.median <= ends.high
+
+
+@pytest.mark.parametrize("drop", [0.0, 0.3])
+def test_weighted_two_way_effects(spark, drop):
+    rows = made(drop=drop)
+    got = regression.two_way(frame(spark, rows).withColumn("w", 1 + F.col("entity") * F.col("period") % 3), "y", ["x", "m"], weight="w")
+    repeated = [r for r in rows for _ in range(1 + r[0] * r[1] % 3)]
+    assert list(got.coefficients.values()) == pytest.approx(by_dummies(repeated, [2, 3], 4)[0], rel=1e-6)
+
+
+def test_an_instrument_undoes_what_moves_both(spark):
+    rng, rows = random.Random(5), []
+    for i in range(40):
+        for p in range(12):
+            z, u = rng.gauss(0, 1), rng.gauss(0, 1)
+            rows.append((i, p, 2 * z + u + i, z, 3 * (2 * z + u + i) - 4 * u + rng.gauss(0, 0.1)))
+    df = frame(spark, rows)
+    got = regression.instrumented(df, "y", "x", "m")
+    assert got.coefficients["x"] == pytest.approx(3, abs=4 * got.errors["x"]) and got.errors["x"] < 0.2
+    assert abs(regression.two_way(df, "y", ["x"]).coefficients["x"] - 3) > 0.5
+    assert np.isnan(regression.instrumented(df.limit(0), "y", "x", "m").coefficients["x"])
 
 
 def test_lag_balance_and_keys(spark):
@@ -103,6 +125,20 @@ def test_comparison_and_description(spark):
     assert sorted(map(tuple, i.collect())) == [(1, 0.0), (2, 0.6)]
 
 
+@pytest.mark.parametrize("by", [["g"], []])
+def test_quantiles_are_exact(spark, by):
+    rng = random.Random(1)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, 5.0, 5.0, rng.gauss(0, 9)])) for _ in range(3000)] + [("one", 7.0), ("none", None)] + [("many", rng.gauss(0, 9)) for _ in range(30_000)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    shares = [0.0, 0.1, 0.5, 0.99, 1.0]
+    got = {(r["g"] if by else "all", r.share): r["quantile"] for r in describe.quantiles(df, F.col("v"), [F.col(c) for c in by], shares).collect()}
+    values = {}
+    for g, v in rows:
+        if v is not None:
+            values.setdefault(g if by else "all", []).append(v)
+    assert got == {(g, q): pytest.approx(np.quantile(v, q)) for g, v in values.items() for q in shares}
+
+
 def test_cleaning(spark):
     df = spark.createDataFrame([(1, 1, "3"), (1, 2, "x"), (2, 1, None)], "k int, t int, v string")
     assert sorted(map(tuple, clean.latest(df, ["k"], ["t"]).collect())) == [(1, 2, "x"), (2, 1, None)]
@@ -121,7 +157,7 @@ def test_the_whole_panel_is_lagged(spark, monkeypatch):
     p = frame(spark, made(n=5, t=6)).withColumnRenamed("x", "price")
     rows = {(r.entity, r.period): r.price for r in p.collect()}
     monkeypatch.setattr(catalog, "_panel", lambda spark, sf_dir: p)
-    got = {(r.entity, r.period): r.price_lag1 for r in catalog.QUERIES["panel_lag_whole"](spark, "").collect()}
+    got = {(r.entity, r.period): r.price_lag1 for r in catalog.QUERIES["panel_lag"](spark, "").collect()}
     assert got.keys() == rows.keys()
     for (entity, period), lag in got.items():
         assert lag == (None if period == 0 else pytest.approx(rows[entity, period - 1], abs=1e-4))
