@@ -1,11 +1,14 @@
 """Quality rules: plain limits, and outliers by robust multivariate distance.
 
 Statistics of each text are turned into vectors. For each language and source
-a minimum-covariance-determinant estimate of their centre and spread is found
-by concentration steps: the (n + p + 1) / 2 of n rows, by p statistics, that are
-nearest to the present estimate give the next one, so that nearly half the rows
-of a cell can be junk. Texts far from it, by Mahalanobis distance,
-are rejected. All of it is built-in functions and aggregates.
+a minimum-covariance-determinant estimate of their centre and spread is found:
+from several starts, which outliers do not carry away, concentration steps are
+made until no determinant falls any more, and the least is kept. In a step the
+(n + p + 1) / 2 of n rows, by p statistics, that are nearest to the present
+estimate give the next one, so nearly half the rows of a cell can be junk.
+Texts far from the estimate, by Mahalanobis distance, are rejected. All of it
+is built-in functions and aggregates, whose sums are exact: the result is the
+same however rows are partitioned.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from marlstone.llm.native import let, words
 from marlstone.sources import materialize
@@ -36,8 +40,16 @@ D = len(FEATURES)
 #: Added to each variance: differences below these are not held against a text, and
 #: a statistic that is the same in every text of a cell does not make the spread singular.
 LEAST_SPREAD = {"log_words": 0.25, "log_word_chars": 0.08, "symbol_share": 0.05, "dup_line_share": 0.1, "repeat_share": 0.1}
-#: How many concentration steps are made.
-STEPS = 3
+#: Concentration steps go on until no log determinant falls by more than this, which comes by itself; at this many they are broken off.
+FALL, MOST_STEPS = 1e-3, 200
+#: Starts, all from medians: statistics taken as independent, and correlated as their hyperbolic tangents or directions are.
+STARTS = ("apart", "tanh", "sign")
+#: Correlations of a start are drawn towards 0 by this.
+SHRINK = 0.95
+#: Values are rounded to this grid before they are summed, and for medians to a coarser one, which bounds how many differ.
+GRID, COARSE = 1 << 16, 1 << 8
+#: Distances are told apart to this part of their logarithm where the nearest rows are cut off.
+CUTS = 32
 #: Cells (language and source) with fewer rows use the estimate from all rows of their language, and rare languages that from all rows.
 CELL_ROWS = 100
 #: Upper 1e-6 quantile of chi-squared with 5 degrees of freedom: beyond any ordinary text.
@@ -123,6 +135,28 @@ def _distance(x: list[Column], centre: list[Column], spread: dict[tuple[int, int
     return sum((v * v for v in z[1:]), z[0] * z[0])
 
 
+def _with_factor(df: DataFrame, spread: dict[tuple[int, int], Column], floors: list[Column]) -> DataFrame:
+    """Adds the Cholesky factor l_ij of a covariance, and ``log_det``, that of its determinant."""
+    for i in range(D):
+        for j in range(i + 1):
+            value = spread[i, j]
+            for k in range(j):
+                value = value - F.col(f"l_{i}{k}") * F.col(f"l_{j}{k}")
+            # rounding can take a variance of 0 below it; the floor stays
+            value = F.sqrt(F.greatest(value, floors[i] / 2)) if i == j else value / F.col(f"l_{j}{j}")
+            df = df.withColumn(f"l_{i}{j}", value)
+    return df.withColumn("log_det", sum((2 * F.ln(f"l_{i}{i}") for i in range(1, D)), 2 * F.ln("l_00")))
+
+
+_PAIRS = [(i, j) for i in range(D) for j in range(i + 1)]
+_ESTIMATE = [*(f"c_{i}" for i in range(D)), *(f"l_{i}{j}" for i, j in _PAIRS)]
+
+
+def _exact(value: Column) -> Column:
+    """A sum of values on a grid of 1 / GRID^2, the same in any order."""
+    return (F.sum(F.round(value * GRID**2).cast("decimal(20,0)")) / GRID**2).cast("double")
+
+
 def _factored(moments: DataFrame) -> DataFrame:
     """From a cell's n, n_all, sums s_i and sums of products p_ij: its centre c_i, the Cholesky factor l_ij of its covariance, and scale.
 
@@ -134,59 +168,85 @@ def _factored(moments: DataFrame) -> DataFrame:
     out = out.withColumn("scale", 1 / F.get(F.lit(CONSISTENCY), place))
     floors = [F.lit(LEAST_SPREAD[f] ** 2) * F.col("scale") for f in FEATURES]
     out = out.withColumns({f"c_{i}": F.col(f"s_{i}") / n for i in range(D)})
-    for i in range(D):
-        for j in range(i + 1):
-            value = F.col(f"p_{i}{j}") / n - F.col(f"c_{i}") * F.col(f"c_{j}") + (floors[i] if i == j else F.lit(0.0))
-            for k in range(j):
-                value = value - F.col(f"l_{i}{k}") * F.col(f"l_{j}{k}")
-            # rounding can take a variance of 0 below it; the floor stays
-            value = F.sqrt(F.greatest(value, floors[i] / 2)) if i == j else value / F.col(f"l_{j}{j}")
-            out = out.withColumn(f"l_{i}{j}", value)
-    return out.select("cell", "scale", *(f"c_{i}" for i in range(D)), *(f"l_{i}{j}" for i in range(D) for j in range(i + 1)))
+    spread = {(i, j): F.col(f"p_{i}{j}") / n - F.col(f"c_{i}") * F.col(f"c_{j}") + (floors[i] if i == j else F.lit(0.0)) for i, j in _PAIRS}
+    out = _with_factor(out, spread, floors).withColumn("log_det", F.col("log_det") - D * F.ln("scale"))
+    return out.select("cell", "start", "scale", "log_det", *_ESTIMATE)
 
 
 def _measured(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    """``rows`` with ``d2``, by the estimate of their cell."""
-    d2 = _distance([F.col(f) for f in FEATURES], [F.col(f"c_{i}") for i in range(D)], {(i, j): F.col(f"l_{i}{j}") for i in range(D) for j in range(i + 1)})
+    """``rows`` with ``d2``, by the estimates of their cell."""
+    d2 = _distance([F.col(f) for f in FEATURES], [F.col(f"c_{i}") for i in range(D)], {(i, j): F.col(f"l_{i}{j}") for i, j in _PAIRS})
     return rows.join(estimate, "cell").withColumn("d2", d2)
 
 
 def _kept(cells: DataFrame, name: str) -> DataFrame:
-    """A table of one row for each cell, written as one file: Spark then sees its true size, and
+    """A table of a few rows for each cell, written as one file: Spark then sees its true size, and
     need not deal all rows out by cell, where the largest would land in one task, to join with it."""
     return materialize(cells.repartition(1), name)
 
 
+def _starts(vectors: DataFrame) -> DataFrame:
+    """The estimates to start from: medians, with the spread of median deviations and each of STARTS' correlations."""
+    names = list(FEATURES)
+    median = lambda value: F.percentile(F.round(value * COARSE) / COARSE, 0.5)
+    middle = _kept(vectors.groupBy("cell").agg(*(median(F.col(f)).alias(f"c_{i}") for i, f in enumerate(names))), "mcd-middle")
+    away = vectors.join(middle, "cell").groupBy("cell").agg(*(median(F.abs(F.col(f) - F.col(f"c_{i}"))).alias(f"a_{i}") for i, f in enumerate(names)))
+    width = {f"w_{i}": F.sqrt(F.pow(F.col(f"a_{i}") * 1.4826, 2) + LEAST_SPREAD[f] ** 2) for i, f in enumerate(names)}
+    middle = _kept(middle.join(away, "cell").withColumns(width).drop(*(f"a_{i}" for i in range(D))), "mcd-widths")
+    z = [(F.col(f) - F.col(f"c_{i}")) / F.col(f"w_{i}") for i, f in enumerate(names)]
+    length = F.sqrt(sum((v * v for v in z[1:]), z[0] * z[0]))
+    made = {"tanh": [F.tanh(v) for v in z], "sign": [F.when(length > 0, v / length).otherwise(F.lit(0.0)) for v in z]}
+    sums = [_exact(y[i] * y[j]).alias(f"{k}_{i}{j}") for k, y in made.items() for i, j in _PAIRS]
+    found = middle.join(vectors.join(middle, "cell").groupBy("cell").agg(*sums), "cell")
+    out = []
+    for start in STARTS:
+        spread = {}
+        for i, j in _PAIRS:
+            own = F.sqrt(F.col(f"{start}_{i}{i}") * F.col(f"{start}_{j}{j}")) if start in made else None
+            like = F.lit(1.0) if i == j else F.lit(0.0) if own is None else SHRINK * F.coalesce(F.try_divide(F.col(f"{start}_{i}{j}"), own), F.lit(0.0))
+            spread[i, j] = like * F.col(f"w_{i}") * F.col(f"w_{j}")
+        floors = [F.lit(LEAST_SPREAD[f] ** 2) for f in names]
+        out.append(_with_factor(found, spread, floors).select("cell", F.lit(start).alias("start"), F.lit(1.0).alias("scale"), "log_det", *_ESTIMATE))
+    return _kept(out[0].unionByName(out[1]).unionByName(out[2]), "mcd-start")
+
+
+def _concentrated(vectors: DataFrame, estimate: DataFrame, step: int) -> DataFrame:
+    """The estimates from the rows that are nearest to ``estimate``: half of a cell's, and as many more as are told apart from these by nothing."""
+    names = list(FEATURES)
+    measured = _measured(vectors, estimate).withColumn("ring", F.floor(F.ln(F.col("d2") + 1e-9) * CUTS).cast("int"))
+    of_cell = Window.partitionBy("cell", "start")
+    rings = measured.groupBy("cell", "start", "ring").agg(F.count("*").alias("n"))
+    rings = rings.withColumns({"upto": F.sum("n").over(of_cell.orderBy("ring")), "n_all": F.sum("n").over(of_cell)})
+    within = rings.where(2 * F.col("upto") >= F.least(F.col("n_all") + D + 1, 2 * F.col("n_all"))).groupBy("cell", "start", "n_all").agg(F.min("ring").alias("last_ring"))
+    near = measured.join(_kept(within, f"mcd-within-{step}"), ["cell", "start"]).where("ring <= last_ring")
+    sums = {f"s_{i}": _exact(F.col(f)) for i, f in enumerate(names)} | {f"p_{i}{j}": _exact(F.col(names[i]) * F.col(names[j])) for i, j in _PAIRS}
+    moments = near.groupBy("cell", "start", "n_all").agg(F.count("*").alias("n"), *(v.alias(k) for k, v in sums.items()))
+    return _kept(_factored(moments), f"mcd-{step}")
+
+
 def robust_estimates(vectors: DataFrame) -> DataFrame:
-    """Centre and spread of each cell by concentration steps, and a factor ``scale`` for squared distances.
+    """Centre and spread of each cell with the least determinant, and a factor ``scale`` for squared distances.
 
     ``vectors`` has cell and the FEATURES; it is read twice a step, so it should
-    be a written table. It starts from medians and median deviations from them, which
-    junk in less than half the rows does not carry away. Each step is an
-    aggregate for the distance that (n + D + 1) / 2 of n rows keep within, and one
-    for the moments of those rows, both with partial sums, so that a cell of
-    any size is no burden to one task. Estimates are one row for each cell.
+    be a written table. Each step is an aggregate for the distance that
+    (n + D + 1) / 2 of n rows keep within, and one for the moments of those
+    rows, both with partial sums, so that a cell of any size is no burden to
+    one task. Estimates are three rows for each cell; the driver asks only
+    whether any is left whose determinant fell.
     """
-    names = list(FEATURES)
-    middle = _kept(vectors.groupBy("cell").agg(*(F.percentile_approx(f, 0.5, 1000).alias(f"c_{i}") for i, f in enumerate(names))), "mcd-middle")
-    away = [F.percentile_approx(F.abs(F.col(f) - F.col(f"c_{i}")), 0.5, 1000).alias(f"a_{i}") for i, f in enumerate(names)]
-    away = vectors.join(middle, "cell").groupBy("cell").agg(*away)
-    first = {}
-    for i, f in enumerate(names):
-        for j in range(i + 1):
-            first[f"l_{i}{j}"] = F.sqrt(F.pow(F.col(f"a_{i}") * 1.4826, 2) + LEAST_SPREAD[f] ** 2) if i == j else F.lit(0.0)
-    estimate = _kept(middle.join(away.select("cell", *(v.alias(k) for k, v in first.items())), "cell"), "mcd-start")
-    for step in range(STEPS):
-        measured = _measured(vectors, estimate)
-        within = measured.groupBy("cell").agg(F.count("*").alias("n_all"), F.percentile_approx("d2", SHARES, 1000).alias("by_share"))
-        place = F.ceil(500 * F.lit(D + 1) / F.col("n_all")).cast("int")
-        within = within.select("cell", "n_all", F.get("by_share", F.least(place, F.lit(len(SHARES) - 1))).alias("within"))
-        near = measured.join(_kept(within, f"mcd-within-{step}"), "cell").where("d2 <= within")
-        sums = {f"s_{i}": F.sum(f) for i, f in enumerate(names)}
-        products = {f"p_{i}{j}": F.sum(F.col(f) * F.col(names[j])) for i, f in enumerate(names) for j in range(i + 1)}
-        moments = near.groupBy("cell", "n_all").agg(F.count("*").alias("n"), *(v.alias(k) for k, v in (sums | products).items()))
-        estimate = _kept(_factored(moments), f"mcd-{step}")
-    return estimate
+    vectors = vectors.select("cell", *((F.round(F.col(f) * GRID) / GRID).alias(f) for f in FEATURES))
+    estimate = _concentrated(vectors, _starts(vectors), 0).withColumn("fell", F.lit(True))
+    for step in range(1, MOST_STEPS):
+        if estimate.where("fell").isEmpty():
+            break
+        # where the determinant does not fall, the estimate before stays
+        after = _concentrated(vectors, estimate.drop("fell"), step)
+        both = estimate.alias("a").join(after.alias("b"), ["cell", "start"])
+        fell = F.col("b.log_det") < F.col("a.log_det") - FALL
+        chosen = [F.when(fell, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c) for c in ("scale", "log_det", *_ESTIMATE)]
+        estimate = _kept(both.select("cell", "start", *chosen, fell.alias("fell")), f"mcd-chosen-{step}")
+    best = F.min(F.struct("log_det", "start", "scale", *_ESTIMATE)).alias("best")
+    return _kept(estimate.groupBy("cell").agg(best).select("cell", "best.scale", *(f"best.{c}" for c in _ESTIMATE)), "mcd-best")
 
 
 def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep: list[str] | None = None) -> DataFrame:

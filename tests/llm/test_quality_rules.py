@@ -84,6 +84,74 @@ def test_rare_sources_and_languages_are_measured_by_all_rows_of_the_level_above(
     assert {r.doc_id for r in Q.judge(spark.createDataFrame(rows[:301], SCHEMA)).collect() if not r.kept} == {300}
 
 
+def plain_estimates(cells):
+    """Each cell's centre, covariance and scale, by the same steps on whole arrays."""
+    grid = lambda v, g: np.floor(v * g + 0.5) / g
+    least = np.array(list(Q.LEAST_SPREAD.values()))
+    distance = lambda x, c, v: np.einsum("ij,jk,ik->i", x - c, np.linalg.inv(v), x - c)
+
+    def step(x, centre, spread):
+        ring = np.floor(np.log(distance(x, centre, spread) + 1e-9) * Q.CUTS)
+        last = np.sort(ring)[-(-min(len(x) + Q.D + 1, 2 * len(x)) // 2) - 1]
+        near = x[ring <= last]
+        scale = 1 / Q.CONSISTENCY[min(max(int(len(near) * 1000 / len(x) + 0.5) - 500, 0), 500)]
+        centre = near.mean(0)
+        spread = near.T @ near / len(near) - np.outer(centre, centre) + np.diag(least**2 * scale)
+        return centre, spread, scale, np.linalg.slogdet(spread)[1] - Q.D * np.log(scale)
+
+    now = {}
+    for name, x in cells.items():
+        x = cells[name] = grid(x, Q.GRID)
+        middle = np.percentile(grid(x, Q.COARSE), 50, axis=0)
+        width = np.sqrt((np.percentile(grid(np.abs(x - middle), Q.COARSE), 50, axis=0) * 1.4826) ** 2 + least**2)
+        z = (x - middle) / width
+        length = np.linalg.norm(z, axis=1, keepdims=True)
+        for start, y in (("apart", None), ("tanh", np.tanh(z)), ("sign", np.divide(z, length, out=np.zeros_like(z), where=length > 0))):
+            like = np.eye(Q.D)
+            if y is not None:
+                own = np.sqrt(np.diag(y.T @ y))
+                like = np.where(np.eye(Q.D) > 0, 1, Q.SHRINK * np.divide(y.T @ y, np.outer(own, own), out=np.zeros((Q.D, Q.D)), where=np.outer(own, own) > 0))
+            now[name, start] = step(x, middle, like * np.outer(width, width))
+    fell = True
+    while fell:
+        after = {k: step(cells[k[0]], *v[:2]) for k, v in now.items()}
+        better = {k: v for k, v in after.items() if v[3] < now[k][3] - Q.FALL}
+        now, fell = now | better, bool(better)
+    best = {}
+    for (name, _), v in sorted(now.items(), key=lambda kv: (kv[1][3], kv[0][1])):
+        best.setdefault(name, v)
+    return {k: (v[0], v[1], v[2], lambda x, v=v: distance(x, v[0], v[1])) for k, v in best.items()}
+
+
+def test_verdicts_are_those_of_a_plain_version(spark):
+    rng, rows = random.Random(12), []
+    for i in range(900):
+        words = ["".join(rng.choices("abcdefghijkl", k=rng.randint(2, 9))) for _ in range(int(rng.lognormvariate(5.3, 0.5)) + 50)]
+        if rng.random() < 0.3:
+            words = [w + "#" * (rng.random() < rng.choice([0.05, 0.1, 0.3])) for w in words]
+        if rng.random() < 0.2:
+            words += words[: rng.randint(1, len(words))] * rng.randint(1, 2)
+        line = rng.choice([5, 12, 80])
+        rows.append((i, "\n".join(" ".join(words[j : j + line]) for j in range(0, len(words), line)), "en", rng.choice(["s1", "s2", "s2", None]), "", 0))
+    got = Q.judge(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()
+    again = Q.judge(spark.createDataFrame(rows[::-1], SCHEMA).repartition(2)).collect()
+    key = lambda r: (r.doc_id, r.kept, r.d2)
+    assert sorted(map(key, got), key=str) == sorted(map(key, again), key=str)  # to the last bit
+    of, vectors = {}, {}
+    for r in got:
+        if not r.base_failed:
+            v = [np.log(r.n_words), np.log(r.word_chars / r.n_words), np.sqrt(r.n_symbols / r.word_chars), np.sqrt(r.n_dup_lines / (r.n_lines + 10)), np.sqrt(r.n_repeat_words / (r.n_words + 200))]
+            of[r.doc_id] = np.array(v)
+            vectors.setdefault(rows[r.doc_id][3], []).append(v)
+    estimates = plain_estimates({k: np.array(v) for k, v in vectors.items()})
+    for r in got:
+        if not r.base_failed:
+            _, _, scale, distance = estimates[rows[r.doc_id][3]]
+            d2 = float(distance(of[r.doc_id][None])[0] * scale)
+            assert r.d2 == pytest.approx(d2, rel=1e-6) and r.kept == (d2 <= Q.CHI2_CUT)
+    assert 5 < sum(not r.kept for r in got if not r.base_failed) < 450
+
+
 @pytest.mark.parametrize("share", [0.3, 0.4])
 def test_junk_in_large_parts_of_a_cell_goes(spark, share):
     rng = random.Random(8)
