@@ -6,16 +6,19 @@ suffixes that can repeat are sorted, and all of these are:
 
 1. Texts that are equal as a whole repeat as a whole, and a task looks at one
    of them only. Each text is cut into zones (see ``anchors``): runs of windows
-   that share an anchor. Zones whose anchor occurs once hold no repeated window. Zones that
-   are equal as a whole are repeated as a whole. Of zones that share an anchor
-   and differ, one of each kind goes on, with its bytes.
+   that share an anchor. Sampled splitters range-partition zones by anchor,
+   hash and text, so that no anchor, and no passage, must lie in one bucket;
+   buckets are sorted, and their first and last runs are compared across
+   boundaries. Zones whose anchor occurs once hold no repeated window. Copies
+   of a zone are repeated as a whole, and one of them stands for all. Of zones
+   that share an anchor and differ, one of each kind goes on, with its bytes.
 2. Sampled splitters range-partition these by the leading bytes of the suffix
    at their anchor. Each bucket sorts the suffixes of its zones, cut to WINDOW
    bytes, by multikey quicksort, eight bytes a key; equal neighbours repeat.
 3. An anchor with very many different zones is not left to one bucket: its
-   suffixes are range-partitioned one by one, ties broken by their places, so
-   that equal ones may lie in several buckets, which compare across their
-   boundaries.
+   suffixes are range-partitioned one by one, by their bytes, ties broken by
+   their places, so that equal ones may lie in several buckets, which compare
+   across their boundaries.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -43,6 +47,8 @@ SORTED_AT_ONCE = 200_000
 REMEMBERED = 200_000
 #: Zones are emitted in batches of about so many.
 ROWS = 20_000
+#: Splitters come from about so many texts; zones are dealt to so many buckets for each shuffle partition.
+SAMPLED_TEXTS, SPREAD = 8_000, 4
 
 # A zone's place in one number: 25 bits of its text's length, the first window, the number of windows. Rows that repeat
 # an id are told apart by that length and by the whole hash of the text, in a column of its own.
@@ -56,6 +62,76 @@ def _rows(columns: dict[str, list | np.ndarray], kinds: dict[str, pa.DataType])
 _LONG = pa.int64()
 
 
+def _keys(anchor: np.ndarray, zone: np.ndarray, text_hash: np.ndarray) -> np.ndarray:
+    """Strings of bytes in the order of anchor, zone and text_hash."""
+    three = np.stack([anchor, zone, text_hash], axis=1).view(np.uint64) ^ np.uint64(1 << 63)
+    return three.astype(">u8").view("S24").ravel()
+
+
+def _dealt(splitters: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Zones, each with the bucket that the splitters give it."""
+        cuts = np.array(splitters.value, "S24")
+        for batch in _zones(batches):
+            anchor, zone, text_hash = (batch.column(k).to_numpy() for k in (0, 1, 4))
+            bucket = np.searchsorted(cuts, _keys(anchor, zone, text_hash), side="right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), *batch.columns], names=["bucket", *batch.schema.names])
+
+    return run
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted buckets of zones to those that are repeated as a whole (``whole``) and those that must be compared (with their anchor).
+
+    Of a kind of zone one row is compared. The first and last kinds of a bucket may go on in
+    others (``beside``), so one row of each comes again as ``edge``. ``kinds``: of the anchor, in the bucket.
+    """
+    held: list[pa.RecordBatch] = []
+
+    def finish() -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        anchor, zone = rows.column("anchor").to_numpy(), rows.column("zone").to_numpy()
+        new = np.ones(len(anchor), bool)
+        new[1:] = (anchor[1:] != anchor[:-1]) | (zone[1:] != zone[:-1])
+        first, kind = np.flatnonzero(new), new.cumsum() - 1  # each kind's first row, each row's kind
+        n_kind = np.bincount(kind)
+        begins = np.ones(len(first), bool)
+        begins[1:] = anchor[first][1:] != anchor[first][:-1]
+        of = begins.cumsum() - 1  # each kind's anchor
+        kinds, single = np.bincount(of), np.bincount(of, n_kind == 1) > 0
+        beside = np.zeros(len(kinds), bool)
+        beside[[0, -1]] = single[[0, -1]] = True  # they may go on
+        compared = (kinds[of] > 1) & single[of]
+        at = np.flatnonzero((n_kind[kind] > 1) | (new & compared[kind]))
+        ends = np.unique([0, first[-1]])
+        for at, edge in ((at, False), (ends, True)):
+            if len(at):
+                part = rows.take(pa.array(at))
+                mine = kind[at]
+                values = pa.array(anchor[at], mask=None if edge else ~(new[at] & compared[mine]))
+                columns = [part.column(k).combine_chunks() for k in ("doc_id", "text_hash", "place")]
+                count = kinds[of[mine]]
+                if edge and len(at) > 1 and of[mine[0]] == of[mine[1]]:
+                    count[1] = 0  # one anchor's kinds count once
+                flags = [pa.array(n_kind[mine] > 1), pa.array(beside[of[mine]]), pa.array(count), pa.array(np.full(len(at), edge))]
+                yield pa.RecordBatch.from_arrays([*columns, values, part.column("zone").combine_chunks(), *flags], names=["doc_id", "text_hash", "place", "anchor", "zone", "whole", "beside", "kinds", "edge"])
+
+    bucket = None
+    for batch in batches:
+        number = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1).tolist(), len(number)]
+        for a, b in zip(cuts, cuts[1:]):  # noqa: B905
+            if a == b:
+                continue
+            if number[a] != bucket:
+                if held:
+                    yield from finish()
+                held, bucket = [], number[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield from finish()
+
+
 def _zones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, text and its hash to the zones of texts that the task has not seen;
     a zone in which windows may be equal, in periodic text, comes in pieces, of REACH windows at most, that are compared as zones are."""
@@ -103,8 +179,8 @@ def _start(place: int) -> int:
 
 
 def _with_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text, a list of (place, anchor, whole, hot) and the text's hash to a row for each zone, with the leading bytes of its anchor and its own bytes."""
-    names = ("doc_id", "place", "anchor", "whole", "hot", "lead", "body", "text_hash")
+    """doc_id, text, a list of (place, anchor, hot) and the text's hash to a row for each zone, with the leading bytes of its anchor and its own bytes."""
+    names = ("doc_id", "place", "anchor", "hot", "lead", "body", "text_hash")
     for batch in batches:
         rows: list[tuple] = []
         for doc_id, text, wanted, text_hash in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
@@ -113,7 +189,7 @@ def _with_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 place, anchor = zone["place"], zone["anchor"]
                 body = bytes(raw[_start(place) : _start(place) + (place & 127) + WINDOW - 1])
                 at = int(np.argmax(anchors.hashes(np.frombuffer(body, np.uint8), anchors.GRAM).view(np.int64) == anchor))
-                rows.append((doc_id.as_py(), place, anchor, zone["whole"], zone["hot"], int.from_bytes(body[at : at + 8], "big") - (1 << 63), body, text_hash))
+                rows.append((doc_id.as_py(), place, anchor, zone["hot"], int.from_bytes(body[at : at + 8], "big") - (1 << 63), body, text_hash))
                 if len(rows) >= ROWS:
                     yield _listed(rows, names, batch.schema.field(0).type)
                     rows = []
@@ -122,7 +198,7 @@ def _with_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _listed(rows: list[tuple], names: tuple[str, ...], id_type: pa.DataType) -> pa.RecordBatch:
-    kinds = {"doc_id": id_type, "place": _LONG, "anchor": _LONG, "whole": pa.bool_(), "hot": pa.bool_(), "lead": _LONG, "body": pa.binary(), "text_hash": _LONG}
+    kinds = {"doc_id": id_type, "place": _LONG, "anchor": _LONG, "hot": pa.bool_(), "lead": _LONG, "body": pa.binary(), "text_hash": _LONG}
     return _rows(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)), {n: kinds[n] for n in names})
 
 
@@ -158,12 +234,12 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _sorted_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bucket of zones, sorted by anchor, to the runs of repeated windows of those that are not repeated as a whole."""
+    """A bucket of zones, sorted by anchor, to the runs of repeated windows in them."""
     held: list[tuple] = []
     windows, last = 0, None
 
     def finish(id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-        bodies = [z[4] for z in held]
+        bodies = [z[3] for z in held]
         size = np.array([len(b) for b in bodies])
         begin = size.cumsum() - size
         n = size - (WINDOW - 1)
@@ -173,8 +249,7 @@ def _sorted_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         flags = repeated(np.frombuffer(b"".join(bodies), np.uint8), at, group[of])
         out = []
         for zone, part in zip(held, np.split(flags, n.cumsum()[:-1]), strict=True):
-            if not zone[3]:
-                out += [(zone[0], zone[1], _start(zone[1]) + a, b + WINDOW - 1, zone[5]) for a, b in _runs(part)]
+            out += [(zone[0], zone[1], _start(zone[1]) + a, b + WINDOW - 1, zone[4]) for a, b in _runs(part)]
         if out:
             a, b, c, d, e = map(list, zip(*out, strict=True))
             yield _rows({"doc_id": a, "place": b, "first": c, "n": d, "text_hash": e}, {"doc_id": id_type, "place": _LONG, "first": _LONG, "n": _LONG, "text_hash": _LONG})
@@ -188,45 +263,46 @@ def _sorted_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 held, windows = [], 0
             held.append(zone)
             last = zone[2]
-            windows += len(zone[4]) - (WINDOW - 1)
+            windows += len(zone[3]) - (WINDOW - 1)
     if held:
         yield from finish(id_type)
 
 
 def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Zones to their suffixes: the 128-bit hash of each, and its place."""
+    """Zones to their suffixes: WINDOW bytes of each, and its place."""
     for batch in batches:
         for doc_id, place, body, text_hash in zip(batch.column(0), *(c.to_pylist() for c in batch.columns[1:]), strict=True):
-            view, n = memoryview(body), len(body) - WINDOW + 1
-            keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(view[i : i + WINDOW]) for i in range(n)), ">i8").astype(np.int64).reshape(n, 2)
-            first = np.arange(n) + _start(place)
-            yield pa.RecordBatch.from_arrays([pa.repeat(doc_id, n), pa.repeat(pa.scalar(place), n), pa.array(first), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), pa.repeat(pa.scalar(text_hash, _LONG), n)], names=["doc_id", "place", "first", "k1", "k2", "text_hash"])
+            n = len(body) - WINDOW + 1
+            windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(body, np.uint8), WINDOW)
+            suffix = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1, dtype=np.int32) * WINDOW).tobytes()), pa.py_buffer(windows.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.repeat(doc_id, n), pa.repeat(pa.scalar(place), n), pa.array(np.arange(n) + _start(place)), suffix, pa.repeat(pa.scalar(text_hash, _LONG), n)], names=["doc_id", "place", "first", "suffix", "text_hash"])
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted suffixes to those with an equal neighbour. The bucket's first and last are given too, as ``edge``, for its neighbours to see."""
+    """Sorted suffixes to those with an equal neighbour. The bucket's first and last are given too, as ``edge`` and with their bytes, for its neighbours to see."""
     before: pa.RecordBatch | None = None
     mate, part = False, None
 
     def out(rows: pa.RecordBatch, edge: bool) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*rows.columns, pa.array([edge] * len(rows))], names=[*rows.schema.names, "edge"])
+        seen = rows.column(3) if edge else pa.nulls(len(rows), pa.binary())
+        return pa.RecordBatch.from_arrays([*rows.columns[:3], seen, rows.column(4), pa.array([edge] * len(rows))], names=[*rows.schema.names, "edge"])
 
     for batch in batches:
         if not len(batch):
             continue
-        keys = np.stack([batch.column(3).to_numpy(), batch.column(4).to_numpy()], 1)
-        same = (keys[1:] == keys[:-1]).all(1)
+        suffix = batch.column(3).to_pylist()
+        same = np.fromiter((x == y for x, y in zip(suffix, suffix[1:])), bool, len(suffix) - 1)  # noqa: B905
         to_next, to_last = np.append(same, False), np.insert(same, 0, False)
         if before is None:
             yield out(batch.slice(0, 1), True)
-        elif (keys[0] == part).all():
+        elif suffix[0] == part:
             to_last[0] = True
             if not mate:
                 yield out(before, False)
         hit = np.flatnonzero(to_next | to_last)
         if len(hit):
             yield out(batch.take(pa.array(hit)), False)
-        before, part, mate = batch.slice(len(batch) - 1, 1), keys[-1], bool(to_last[-1])
+        before, part, mate = batch.slice(len(batch) - 1, 1), suffix[-1], bool(to_last[-1])
     if before is not None:
         yield out(before, True)
 
@@ -271,13 +347,22 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     Shuffled are: a row of four numbers for each zone, of about fifty windows;
     the text, to the zones that must be compared; their bytes; and the text
-    again, to its spans. No group is held by one task: what one anchor can
-    bring to a bucket is bounded by HOT_ZONES.
+    again, to its spans. No group is held by one task: zones are cut into
+    buckets by anchor, hash and text, and what one anchor can bring to a bucket
+    of suffixes is bounded by HOT_ZONES.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     return _spans(docs).mapInArrow(_cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
+def _splitters(texts: DataFrame, zone: str, buckets: int) -> list[bytes]:
+    """Cuts of the zones' keys into ``buckets``, from those of about SAMPLED_TEXTS texts, which go to the driver in part."""
+    sampled = texts.sample(min(1.0, SAMPLED_TEXTS / max(1, texts.count())), 1).mapInArrow(_zones, zone)
+    found = sampled.where(F.pmod(F.xxhash64("zone", "place", "text_hash"), F.lit(8)) == 0).select("anchor", "zone", "text_hash").toArrow()
+    keys = np.sort(_keys(*(c.to_numpy() for c in found.columns)))
+    return np.unique(keys[[len(keys) * i // buckets for i in range(1, buckets)]]).tolist() if len(keys) else []
+
+
 def _spans(docs: DataFrame) -> DataFrame:
     """doc_id, text and the spans to remove (null where there are none) of every row."""
     spark = docs.sparkSession
@@ -288,37 +373,43 @@ def _spans(docs: DataFrame) -> DataFrame:
 
     # texts that are equal as a whole; only their ids and hashes are dealt out
     lengths = texts.select("doc_id", "whole_hash", F.octet_length("text").cast("long").alias("n")).where(F.col("n") >= WINDOW)
-    several = lengths.groupBy("whole_hash", "n").agg(F.count("*").alias("copies")).where("copies > 1")
+    several = materialize(lengths.groupBy("whole_hash", "n").agg(F.count("*").alias("copies")).where("copies > 1"), "repeat-copies")
     copied = lengths.join(several, ["whole_hash", "n"]).select("doc_id", F.shiftleft(F.col("n").bitwiseAND((1 << LENGTH_BITS) - 1), 38).alias("place"), F.lit(0).cast("long").alias("first"), "n", F.col("whole_hash").alias("text_hash"))
 
-    zones = texts.mapInArrow(_zones, f"anchor long, zone long, doc_id {kind}, place long, text_hash long")
-    alike = zones.withColumn("n_anchor", F.count("*").over(Window.partitionBy("anchor"))).where("n_anchor > 1")
-    same = Window.partitionBy("anchor", "zone")
-    alike = alike.withColumns({"n_zone": F.count("*").over(same), "nth": F.row_number().over(same.orderBy("doc_id", "text_hash", "place"))})
-    all_of = Window.partitionBy("anchor")
-    alike = alike.withColumns({"kinds": F.count(F.when(F.col("nth") == 1, 1)).over(all_of), "single": F.max(F.col("n_zone") == 1).over(all_of)})
-    compare = (F.col("nth") == 1) & (F.col("kinds") > 1) & F.col("single")
-    alike = alike.select("doc_id", "text_hash", "place", F.when(compare, F.col("anchor")).alias("anchor"), (F.col("n_zone") > 1).alias("whole"), (F.col("kinds") > HOT_ZONES).alias("hot"))
-    alike = materialize(alike.where("whole OR anchor IS NOT NULL"), "repeat-zones")
+    zone = f"anchor long, zone long, doc_id {kind}, place long, text_hash long"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    splitters = spark.sparkContext.broadcast(_splitters(texts, zone, SPREAD * buckets))
+    dealt = texts.mapInArrow(_dealt(splitters), f"bucket int, {zone}").repartition(buckets, "bucket").sortWithinPartitions("bucket", "anchor", "zone", "text_hash", "doc_id", "place")
+    marked = materialize(dealt.mapInArrow(_marked, f"doc_id {kind}, text_hash long, place long, anchor long, zone long, whole boolean, beside boolean, kinds long, edge boolean"), "repeat-zones")
+    splitters.unpersist()
+    # two rows a bucket, of which those of one anchor meet: whether their kinds of zones go on in other buckets, and beside which others
+    of_anchor, of_kind = Window.partitionBy("anchor"), Window.partitionBy("anchor", "zone")
+    edges = marked.where("edge").withColumns({"whole": F.col("whole") | (F.count("*").over(of_kind) > 1), "several": F.min("zone").over(of_anchor) < F.max("zone").over(of_anchor)})
+    edges = materialize(edges.withColumns({"of": F.col("anchor"), "all_kinds": F.sum("kinds").over(of_anchor)}).withColumn("anchor", F.when(F.col("several"), F.col("anchor"))), "repeat-edges")
+    spread = F.broadcast(edges.where(F.col("all_kinds") > HOT_ZONES).select(F.col("of").alias("spread_anchor")).distinct())  # two rows a bucket at most
+    alike = marked.where("NOT edge").unionByName(edges.where("whole OR anchor IS NOT NULL").select(*marked.columns))
+    alike = alike.join(spread, F.col("beside") & (F.col("anchor") == F.col("spread_anchor")), "left")
+    hot = F.when(F.col("beside"), F.col("spread_anchor").isNotNull()).otherwise(F.col("kinds") > HOT_ZONES)
+    alike = alike.select("doc_id", "text_hash", "place", "anchor", "whole", hot.alias("hot"))
 
     of_text = (F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"), F.shiftright("place", 38).alias("of_length"))
-    wanted = alike.where("anchor IS NOT NULL").groupBy(*of_text).agg(F.collect_list(F.struct("place", "anchor", "whole", "hot")).alias("zones"))
+    wanted = alike.where("anchor IS NOT NULL").groupBy(*of_text).agg(F.collect_set(F.struct("place", "anchor", "hot")).alias("zones"))
     own = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("whole_hash") == F.col("of_hash")) & (own_length == F.col("of_length"))
-    bodies = texts.join(wanted, own).select("doc_id", "text", "zones", "whole_hash").mapInArrow(_with_bytes, f"doc_id {kind}, place long, anchor long, whole boolean, hot boolean, lead long, body binary, text_hash long")
+    bodies = texts.join(wanted, own).select("doc_id", "text", "zones", "whole_hash").mapInArrow(_with_bytes, f"doc_id {kind}, place long, anchor long, hot boolean, lead long, body binary, text_hash long")
     bodies = materialize(bodies, "repeat-bodies")
 
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    zone = ("doc_id", "place", "anchor", "whole", "body", "text_hash")
+    zone = ("doc_id", "place", "anchor", "body", "text_hash")
     in_buckets = bodies.where("NOT hot").repartitionByRange(buckets, "lead", "anchor").sortWithinPartitions("lead", "anchor").select(*zone)
     spans = in_buckets.mapInArrow(_sorted_bucket, f"doc_id {kind}, place long, first long, n long, text_hash long")
     if not bodies.where("hot").isEmpty():
-        places = bodies.where("hot").select("doc_id", "place", "body", "text_hash").mapInArrow(_one_by_one, f"doc_id {kind}, place long, first long, k1 long, k2 long, text_hash long")
-        in_order = ("k1", "k2", "doc_id", "text_hash", "place", "first")
-        found = places.repartitionByRange(buckets, *in_order).sortWithinPartitions(*in_order).mapInArrow(_neighbours, f"doc_id {kind}, place long, first long, k1 long, k2 long, text_hash long, edge boolean")
+        suffix = f"doc_id {kind}, place long, first long, suffix binary, text_hash long"
+        places = bodies.where("hot").select("doc_id", "place", "body", "text_hash").mapInArrow(_one_by_one, suffix)
+        in_order = ("suffix", "doc_id", "text_hash", "place", "first")
+        found = places.repartitionByRange(buckets, *in_order).sortWithinPartitions(*in_order).mapInArrow(_neighbours, f"{suffix}, edge boolean")
         found = materialize(found, "repeat-neighbours")
-        edges = found.where("edge").withColumn("n", F.size(F.collect_set(F.struct("doc_id", "text_hash", "place", "first")).over(Window.partitionBy("k1", "k2")))).where("n > 1")
-        suffix = ("doc_id", "text_hash", "place", "first")
-        hits = found.where("NOT edge").select(*suffix).unionByName(edges.select(*suffix))
+        edges = found.where("edge").withColumn("n", F.size(F.collect_set(F.struct("doc_id", "text_hash", "place", "first")).over(Window.partitionBy("suffix")))).where("n > 1")
+        where = ("doc_id", "text_hash", "place", "first")
+        hits = found.where("NOT edge").select(*where).unionByName(edges.select(*where))
         spans = spans.unionByName(hits.withColumn("n", F.lit(WINDOW).cast("long")))
     whole = alike.where("whole").select("doc_id", "text_hash", "place", F.expr(f"shiftright(place, {WIDE}) & {(1 << 31) - 1}L").alias("first"), F.expr(f"(place & {(1 << WIDE) - 1}L) + {WINDOW - 1}L").alias("n"))
     gathered = whole.unionByName(copied).unionByName(spans).groupBy(*of_text).agg(F.collect_list(F.struct("first", "n")).alias("spans"))

@@ -50,9 +50,11 @@ def texts():
     return made
 
 
-@pytest.mark.parametrize("hot", [2000, 3, 0])
-def test_every_window_counts(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "spread"), [(2000, 4), (3, 1), (0, 4), (2000, 300)])
+def test_every_window_counts(spark, monkeypatch, hot, spread):
+    """Also with so many buckets that anchors and kinds of zones lie in several."""
     monkeypatch.setattr(S, "HOT_ZONES", hot)
+    monkeypatch.setattr(S, "SPREAD", spread)
     all_texts = texts()
     rows = [(i if i % 9 else None, t, "x", i) for i, t in enumerate(all_texts)] + [(500, all_texts[20], "x", 0), (500, all_texts[20], "x", 1), (500, all_texts[30], "x", 2)]
     df = spark.createDataFrame(rows, "doc_id long, text string, zone string, place int").repartition(4)
@@ -96,3 +98,21 @@ def test_texts_of_one_id_with_like_hashes_are_apart(spark, monkeypatch, hot):
     got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in S.remove_repeats(df).collect()]
     want = [(r[0], *p) for r, p in zip(rows, plain([r[1] for r in rows]), strict=True)]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_many_texts_of_one_id(spark):
+    """Unique texts under null ids, beside as many duplicated ones: none of the first loses a byte."""
+    made = lambda k: " ".join(hashlib.sha512(f"{k} {j}".encode()).hexdigest() for j in range(2))
+    rows = [(None, made(("one", k))) for k in range(4000)] + [(None, made(("two", k))) for k in range(2000) for _ in range(2)]
+    got = S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).groupBy("n_removed").count().collect()
+    assert {r.n_removed: r["count"] for r in got} == {0: 4000, len(rows[0][1]): 4000}
+
+
+def test_texts_over_several_chunks(spark):
+    """Texts of several chunks, with one passage early in the one and late in the other, and a chunk's end within it."""
+    rng = random.Random(5)
+    made = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage = made(700)
+    texts = [made(A.CHUNK - 300) + "1" + passage + "2" + made(A.CHUNK), made(2 * A.CHUNK + 99) + "3" + passage + "4" + made(50), made(900)]
+    got = {r.doc_id: (r.n_removed, r.n_spans, bytes(r.kept)) for r in S.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: ((700, 1, t.replace(passage, "").encode()) if passage in t else (0, 0, t.encode())) for i, t in enumerate(texts)}
