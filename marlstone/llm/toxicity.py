@@ -22,12 +22,10 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import boosting
 from marlstone.llm.batches import small_batches
+from marlstone.sources import materialize
 
 #: At most so many labelled rows are learned from: those with the least hashes of their ids.
 MOST_LABELLED = 12_000
-#: At most so many terms of toxic texts are weighed, those in the most places first.
-MOST_TERMS = 60_000
-MOST_LEXICON = 5_000
 #: A term must follow so many different words in toxic texts: copies of one text show one place only.
 LEAST_PLACES = 3
 STEMS = (4, 5, 6)
@@ -113,7 +111,8 @@ class Describer:
         both = np.maximum(word, stem)
         strong = both >= STRONG
         hits = np.flatnonzero(strong | (behind >= STRONG))
-        second = np.array([i for i, t in enumerate(tokens) if t in self.address or t.strip(EDGES) in self.address]) if len(hits) else np.zeros(0)
+        address = self.address
+        second = np.array([i for i, t in enumerate(tokens) if t in address or (t[-1] in EDGES or t[0] in EDGES) and t.strip(EDGES) in address])
         near = 0.0
         if len(hits) and len(second):
             at = np.searchsorted(second, hits)
@@ -144,7 +143,7 @@ class Describer:
 
 @dataclass
 class Model:
-    """What scoring needs; its size is bounded by MOST_LEXICON and the trees."""
+    """What scoring needs; its size is bounded by the words of MOST_LABELLED texts, and the trees."""
 
     lexicon: Lexicon
     trees: boosting.Trees | None
@@ -158,15 +157,14 @@ class Model:
 
 
 def weigh(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> Lexicon:
-    """The lexicon from each term's number of places in toxic texts and of clean texts with it. Ties go by the term."""
+    """The lexicon from each term's number of places in toxic texts and of clean texts with it."""
     found = {}
     for term, (t, c) in counts.items():
         if t >= LEAST_PLACES:
             weight = float(np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1)))
             if weight >= WEAK:
                 found[term] = weight
-    top = sorted(found, key=lambda k: (-found[k] * np.sqrt(counts[k][0]), k))[:MOST_LEXICON]
-    return Lexicon({t: STRONG for t in SEED_TERMS if t not in counts} | {t: found[t] for t in top})
+    return Lexicon({t: STRONG for t in SEED_TERMS if t not in counts} | found)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -175,11 +173,17 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text, toxic and fold of a bounded number of labelled rows. An id with several labels is toxic if one of them says so."""
+    """text, toxic, fold (of 2) and part (of FOLDS) of a bounded number of labelled rows, written once.
+
+    An id with several labels is toxic if one of them says so. Folds and parts
+    go by the text, so that equal texts are in the same.
+    """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
     # MOST_LABELLED rows of two numbers bound what is broadcast
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int").alias("fold"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    dealt = lambda k, n: F.pmod(F.xxhash64("text", F.lit(k)), F.lit(n)).cast("int")
+    return materialize(rows.select("text", "toxic", dealt(1, 2).alias("fold"), dealt(2, FOLDS).alias("part")), "toxicity-labelled")
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,8 +193,8 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, fold in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             words = [bare(t) for t in text.lower().split()]
             for before, word in zip(["", *words], words):  # noqa: B905
-                if 1 < len(word) <= 40:
-                    out.update((t, before[:40], fold) for t in terms(word))
+                if len(word) > 1:
+                    out.update((t, before, fold) for t in terms(word))
             if len(out) > 100_000:
                 yield _triples(out)
                 out = set()
@@ -208,10 +212,12 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     Two halves of them give a lexicon each, and rows are described to the trees
     by the other half's lexicon, so that no text's own words speak for it;
     scoring uses the lexicon of both. The trees that give the scores for the
-    calibration have not seen the rows they score. Where labels are missing or
-    all alike, the model scores every text by the rate of toxic labels.
+    calibration have not seen the rows they score, nor copies of them. Where
+    labels are missing or all alike, the model scores every text by the rate of
+    toxic labels.
 
-    The driver gets MOST_TERMS counts and MOST_LABELLED rows of numbers.
+    The driver gets the counts of those terms that LEAST_PLACES places have,
+    and MOST_LABELLED rows of numbers.
     """
     small_batches(docs.sparkSession)
     rows = _labelled(docs, labels)
@@ -224,14 +230,14 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     places = rows.where("toxic > 0").select("text", "fold").mapInArrow(_places, "term string, before string, fold int").distinct()
     by_fold = [F.count(F.when(F.col("fold") == k, 1)).cast("int").alias(f"t{k}") for k in (0, 1)]
     counted = places.groupBy("term").agg(*by_fold).where(F.col("t0") + F.col("t1") >= LEAST_PLACES)
-    seen = {r.term: [r.t0, r.t1, 0, 0] for r in counted.orderBy(F.desc(F.col("t0") + F.col("t1")), "term").limit(MOST_TERMS).collect()}
+    seen = {r.term: [r.t0, r.t1, 0, 0] for r in counted.collect()}
     wanted = docs.sparkSession.sparkContext.broadcast(frozenset(seen))
 
     def clean_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, keep = Counter(), wanted.value
         for batch in batches:
             for text, fold in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = {t for w in {bare(x) for x in text.lower().split()} if 1 < len(w) <= 40 for t in terms(w)} & keep
+                found = {t for w in {bare(x) for x in text.lower().split()} if len(w) > 1 for t in terms(w)} & keep
                 total.update((t, fold) for t in found)
         yield pa.RecordBatch.from_pydict({"term": pa.array([t for t, _ in total], pa.string()), "fold": pa.array([f for _, f in total], pa.int32()), "n": pa.array(list(total.values()), pa.int64())})
 
@@ -246,17 +252,17 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         by = [Describer(halves[1]), Describer(halves[0])]
         for batch in batches:
             x = [by[f](t) for t, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_pydict({"toxic": batch.column(2), "x": pa.array(x, pa.list_(pa.float64()))})
+            yield pa.RecordBatch.from_pydict({"toxic": batch.column(2), "part": batch.column(3), "x": pa.array(x, pa.list_(pa.float64()))})
 
-    table = rows.select("text", "fold", "toxic").mapInArrow(described, "toxic int, x array<double>").toArrow()
+    table = rows.select("text", "fold", "toxic", "part").mapInArrow(described, "toxic int, part int, x array<double>").toArrow()
     x = np.array(table.column("x").to_pylist())
     y = (table.column("toxic").to_numpy() > 0).astype(float)
-    order = np.lexsort([*x.T, y])  # whatever order rows came in
-    x, y = x[order], y[order]
-    part = np.arange(len(y)) % FOLDS
+    part = table.column("part").to_numpy()
+    order = np.lexsort([*x.T, y, part])  # whatever order rows came in
+    x, y, part = x[order], y[order], part[order]
     unseen = np.zeros(len(y))
     for k in range(FOLDS):
-        if (part != k).any():
+        if (part != k).any() and (part == k).any():
             unseen[part == k] = boosting.fit(x[part != k], y[part != k]).raw(x[part == k])
     return Model(whole, boosting.fit(x, y), boosting.isotonic(unseen, y), toxic / (toxic + clean))
 

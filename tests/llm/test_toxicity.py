@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from marlstone.llm import boosting, toxicity
@@ -61,6 +62,15 @@ def test_the_features_say_what_their_names_do():
     assert f("z0rk here")["disguised_hits"] == 0.5 and f("zorking it")["strong_stem_density"] == 0.5
     assert f("LOUD text")["capitals"] == 0.5 and f("a!!")["exclamations"] == pytest.approx(2 / 3)
     assert f("") == dict.fromkeys(toxicity.FEATURES, 0.0)
+    assert f("you are (you) and Your, friend")["second_person"] == 0.5 and f("w" * 200 + " zork")["strong_word_density"] == 0.5
+
+
+def test_terms_of_any_number_and_length_are_learned():
+    counts = {f"term{i}": (5, 0) for i in range(9000)} | {"l" * 300: (4, 0), "common": (9, 500)}
+    found = toxicity.weigh(counts, 100, 1000).weights
+    assert set(counts) - set(found) == {"common"}
+    batch = pa.RecordBatch.from_pydict({"text": ["x " + "l" * 300], "fold": pa.array([1], pa.int32())})
+    assert "l" * 300 in next(toxicity._places(iter([batch]))).column(0).to_pylist()
 
 
 def test_isotonic_regression_and_trees():
