@@ -3,6 +3,7 @@
 Each record is one gzip member. The reader takes a file in chunks, inflates
 them incrementally, frames records by their Content-Length and verifies their
 digests, so it holds one chunk and the headers, whatever a record's length.
+Headers may be of any length, as a URL may be.
 """
 
 from __future__ import annotations
@@ -20,11 +21,10 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.llm.batches import small_batches
 from marlstone.sources import materialize, shared_path
 
 CHUNK = 1 << 16
-#: No header block of a record may be longer.
-MAX_HEADER = 1 << 20
 #: A file is closed, and the next begun, once it has this many bytes.
 FILE_BYTES = 256 << 20
 #: Payloads below this many bytes are never written as revisits.
@@ -118,10 +118,8 @@ def read_records(stream: BinaryIO, keep_payload: bool = False) -> Iterator[dict]
         if chunk is not None:
             buffer += chunk
             if head is None:
-                end = buffer.find(b"\r\n\r\n")
+                end = buffer.find(b"\r\n\r\n", max(0, len(buffer) - len(chunk) - 3))
                 if end < 0:
-                    if len(buffer) > MAX_HEADER:
-                        raise WarcError("a header block is too long")
                     continue
                 head, warc = _headers(bytes(buffer[:end]))
                 if not head.startswith("WARC/") or not warc.get("content-length", "").isdigit():
@@ -135,10 +133,8 @@ def read_records(stream: BinaryIO, keep_payload: bool = False) -> Iterator[dict]
             block.update(taken)
             if http is not None:
                 http += taken
-                end = http.find(b"\r\n\r\n")
+                end = http.find(b"\r\n\r\n", max(0, len(http) - len(taken) - 3))
                 if end < 0:
-                    if len(http) > MAX_HEADER:
-                        raise WarcError("an HTTP header block is too long")
                     continue
                 taken, http = bytes(http[end + 4 :]), None
             payload.update(taken)
@@ -179,9 +175,12 @@ def mark_revisits(pages: DataFrame) -> DataFrame:
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")
     ).withColumn("digest", F.sha1("payload"))
     large = F.octet_length("payload") >= REVISIT_BYTES
-    copied = rows.where(large).groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("digest", "first_id")
+    copied = rows.where(large).groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
+    copied = materialize(copied.select(F.col("digest").alias("of_digest"), "first_id"), "warc-copied")  # an exchange of its own, so that copies of one payload can be split
     refers = F.when(large & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
-    return rows.join(copied, "digest", "left").select("page_id", "url", "payload", refers.alias("refers_to"))
+    # small payloads, which many pages can share, find nothing and are spread by row
+    key = F.when(large, F.col("digest")).otherwise(F.concat(F.lit("#"), F.xxhash64("page_id", "url").cast("string")))
+    return rows.withColumn("key", key).join(copied, F.col("key") == F.col("of_digest"), "left").select("page_id", "url", "payload", refers.alias("refers_to"))
 
 
 def write_archives(marked: DataFrame, folder: str) -> DataFrame:
@@ -215,6 +214,7 @@ def write_archives(marked: DataFrame, folder: str) -> DataFrame:
         if out is not None:
             yield close()
 
+    small_batches(marked.sparkSession)
     return materialize(marked.mapInArrow(write, MANIFEST), "warc-manifest")
 
 
@@ -243,10 +243,22 @@ def read_archives(manifest: DataFrame, folder: str, keep_payload: bool = False)
     return manifest.select("path").repartition(max(1, manifest.count()), "path").mapInArrow(read, RECORDS)
 
 
+def broken_revisits(records: DataFrame) -> DataFrame:
+    """(refers_to, payload_digest, payload_bytes) that revisits state and no response has under that id. Copies are counted first."""
+    stated = records.where("record_type = 'revisit'").select("refers_to", "payload_digest", "payload_bytes").distinct()
+    there = records.where("record_type = 'response'").select(F.col("record_id").alias("refers_to"), "payload_digest", "payload_bytes").distinct()
+    return stated.join(there, stated.columns, "left_anti")
+
+
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Writes a record per page, reads the archives back and returns what the records say."""
+    """Writes a record per page, reads the archives back and returns what the records say.
+
+    Raises WarcError where a revisit's length or digest is not that of the response it refers to.
+    """
     folder = shared_path(spark, "warc")
-    records = read_archives(write_archives(mark_revisits(pages), folder), folder)
+    records = materialize(read_archives(write_archives(mark_revisits(pages), folder), folder).drop("payload"), "warc-records")
+    if not broken_revisits(records).isEmpty():
+        raise WarcError("a revisit does not have the digest of the response it refers to")
     return records.select(
         F.when(F.col("record_id") != "null", F.col("record_id")).cast("long").alias("page_id"),
         "payload_bytes",

@@ -41,6 +41,23 @@ def test_round_trip(stream):
     assert base64.b32encode(hashlib.sha1(parts[0]).digest()) in one.decompress(data) and one.eof and one.unused_data
 
 
+def test_headers_of_any_length(spark):
+    url = "http://x/" + "é" * 1_500_000
+    record, = W.read_records(io.BytesIO(W.encode_record("1", url, b"page")))
+    assert record["target_uri"] == url and record["payload_digest"] == hashlib.sha1(b"page").hexdigest()
+    rows = [(1, url, "h" * 3_000_000), (2, None, "h" * 3_000_000), (3, "short", None)]
+    got = W.round_trip(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.record_type, r.target_uri == rows[r.page_id - 1][1]) for r in got) == [(1, 3_000_000, "revisit", True), (2, 3_000_000, "response", True), (3, 0, "response", True)]
+
+
+def test_revisits_are_checked_against_their_responses(spark):
+    schema = "record_type string, record_id string, refers_to string, payload_digest string, payload_bytes long"
+    good = [("response", "1", None, "d", 5), ("revisit", "2", "1", "d", 5)]
+    assert W.broken_revisits(spark.createDataFrame(good, schema)).isEmpty()
+    for bad in (("revisit", "3", "1", "e", 5), ("revisit", "3", "1", "d", 6), ("revisit", "3", "2", "d", 5)):
+        assert W.broken_revisits(spark.createDataFrame([*good, bad], schema)).count() == 1
+
+
 def test_damage_is_found():
     good = W.encode_record("1", "u", b"some payload" * 50)
     plain = zlib.decompress(good, 31)
