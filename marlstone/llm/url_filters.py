@@ -1,9 +1,10 @@
 """URL filters by host suffix and path prefix.
 
 Each URL is expanded into the expressions that a rule could have: a suffix of
-its host, cut at a dot, followed by a prefix of its path. Expressions and rules
-meet in an equi-join on the first bytes of their SHA-256; the whole digest then
-confirms a hit, and the longest rule that fits decides.
+its host, cut at a dot, followed by a prefix of its path. Suffixes and the
+rules' hosts, and then expressions and rules, meet in equi-joins on the first
+bytes of their SHA-256; the whole digest confirms a hit, and the longest rule
+that fits decides.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.sources import materialize
+
 #: Hex digits of the digest that the join uses; 8 are 4 bytes.
 PREFIX_HEX = 8
 
@@ -42,32 +45,32 @@ def filter_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str
     fit; an empty table of rules gives every row the default.
 
     Each distinct pair of host and path is matched once, however many rows have
-    it. Only the shapes of rules (labels in the host, characters in the path)
-    are expanded, so a URL gives one row for each shape at most, and the shapes
-    do not grow with ``df``.
+    it. A host's suffixes meet the rules' hosts first; the path is then cut
+    only to the lengths that rules of these hosts have, so a URL gives one
+    expression for each length of its own hosts' rules at most, however many
+    rules there are. Nothing of rules or URLs goes to the driver.
     """
     host, path = host_and_path(F.col(url))
     named = df.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
     rules = rules.where("host IS NOT NULL AND path IS NOT NULL")
-    shapes = rules.select(F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("chars")).distinct().collect()
-    if not shapes:
-        return named.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+    short = lambda c: F.left(c, F.lit(PREFIX_HEX))
 
-    wanted = F.array(*(F.struct(F.lit(s.labels).alias("labels"), F.lit(s.chars).alias("chars")) for s in shapes))
-    expression = F.expr(
-        "filter(transform(shapes, s -> if(s.labels <= size(split(host, '[.]')) AND s.chars <= length(path),"
-        " concat(substring_index(host, '.', -s.labels), left(path, s.chars)), NULL)), e -> e IS NOT NULL)"
-    )
-    expanded = (
-        named.select("host", "path").distinct().withColumn("shapes", wanted).select("host", "path", F.explode(expression).alias("expression"))
-        .withColumn("digest", F.sha2("expression", 256)).withColumn("short", F.left("digest", F.lit(PREFIX_HEX)))
-    )
+    pairs = named.select("host", "path").distinct()
+    suffixes = F.expr("transform(sequence(1, size(split(host, '[.]'))), n -> substring_index(host, '.', -n))")
+    suffixed = pairs.select("host").distinct().select("host", F.explode(suffixes).alias("suffix")).withColumn("digest", F.sha2("suffix", 256)).withColumn("short", short("digest"))
+    of_host = rules.groupBy(F.col("host").alias("rule_host")).agg(F.collect_set(F.length("path")).alias("lengths"))
+    of_host = of_host.withColumn("rule_digest", F.sha2("rule_host", 256)).withColumn("rule_short", short("rule_digest"))
+    fits = suffixed.join(of_host, F.col("short") == F.col("rule_short")).where("digest = rule_digest").groupBy(F.col("host").alias("of_host")).agg(F.collect_list(F.struct("suffix", "lengths")).alias("fits"))
+    fits = materialize(fits, "url-hosts")  # an exchange of its own, so that a host with very many paths can be split
+    cut = F.expr("flatten(transform(fits, f -> transform(filter(f.lengths, n -> n <= length(path)), n -> concat(f.suffix, left(path, n)))))")
+    expanded = pairs.join(fits, F.col("host") == F.col("of_host")).select("host", "path", F.explode(cut).alias("expression"))
+    expanded = expanded.withColumn("digest", F.sha2("expression", 256)).withColumn("short", short("digest"))
     listed = rules.select(
         F.concat("host", "path").alias("rule"),
         F.length("host").alias("host_chars"),
         "verdict",
         F.sha2(F.concat("host", "path"), 256).alias("rule_digest"),
-    ).withColumn("rule_short", F.left("rule_digest", F.lit(PREFIX_HEX)))
+    ).withColumn("rule_short", short("rule_digest"))
     hits = expanded.join(listed, F.col("short") == F.col("rule_short")).where("digest = rule_digest")
     best = F.max(F.struct(F.length("rule").alias("chars"), "host_chars", "verdict", "rule"))
     decided = hits.groupBy("host", "path").agg(best.alias("best"))
