@@ -16,10 +16,11 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 #: The whole runs that are long enough: a run matched from its start is as long as can be.
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-#: Parts that tell nothing alone. An opaque value has upper and lower case and a digit.
-OPAQUE = r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[0-9])[A-Za-z0-9+/]{32,88}={0,2}(?![A-Za-z0-9+/_=.-])"
-IDENTITY = r"""(?i:\b(?:client_?id|user_?name|user|login|account_?id|account)["']?\x20*[:=]\x20*["']?)[A-Za-z0-9@._+-]{3,}"""
-ENDPOINT = r"""(?i:\b(?:(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|s3)://|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?))[A-Za-z0-9][^\s"'<>,;|]{3,}"""
+#: Parts that tell nothing alone. An opaque value is a whole run of such characters, in base 64, with upper and lower case and a digit.
+RUN = r"[A-Za-z0-9+/_=.-]{32,}"
+OPAQUE = (r"^[A-Za-z0-9+/]{32,}={0,2}$", r"[A-Z]", r"[a-z]", r"[0-9]")
+IDENTITY = r"""(?i:(?<![A-Za-z0-9_])(?:client_?id|user_?name|user|login|account_?id|account)["']?\x20*[:=]\x20*["']?)[A-Za-z0-9@._+-]{3,}"""
+ENDPOINT = r"""(?i:(?<![A-Za-z0-9_])(?:(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|s3)://|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?))[A-Za-z0-9][^\x20\x09-\x0D"'<>,;|]{3,}"""
 
 KINDS = ("assign", "access", "hex", "linked_secret", "linked_identity", "linked_endpoint")
 #: Two parts are in one scope when at most this many characters lie between them.
@@ -31,8 +32,8 @@ def _quote(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _spans(pattern: str, kind: int, keep: str = "") -> str:
-    """Sorted, disjoint spans of a pattern in ``body``: structs of start, kind and end. ``keep``: a test of the i-th match."""
+def _spans(pattern: str, kind: int, keep: str = "", group: int = 0) -> str:
+    """Sorted, disjoint spans of a pattern in ``body``: structs of start, kind and end. ``keep``: a test of a match's ``group``, ``value``."""
     sql = _quote(pattern)
     found = let(
         "hits",
@@ -48,7 +49,7 @@ def _spans(pattern: str, kind: int, keep: str = "") -> str:
         ),
     )
     if keep:
-        found = let("spans", found, let("values", f"regexp_extract_all(body, {sql}, 2)", f"filter(spans, (s, i) -> {keep})"))
+        found = let("spans", found, let("taken", f"regexp_extract_all(body, {sql}, {group})", f"filter(spans, (s, i) -> {keep.format(value='get(taken, i)')})"))
     bare = f"transform({found}, s -> named_struct('start', s.start, 'kind', s.kind, 'end', s.end))"
     return f"CASE WHEN body RLIKE {sql} THEN {bare} ELSE {NONE} END"
 
@@ -74,21 +75,23 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     as linked_identity or linked_endpoint where a secret (an assignment, a
     linkable opaque value) and a part of the remaining kind both are. A weak
     part that overlaps a strong span is never reported, as that is already. A
-    null text counts as empty. Every row is returned, and a ``secrets`` column
-    of ``df`` is replaced.
+    null text counts as empty. Every row is returned, with all its columns but
+    one named ``secrets``, which is replaced.
     """
-    base = df.withColumn("body", F.coalesce(F.col(text), F.lit("")))
+    row, others = F.struct(*(F.col(f"`{c}`") for c in df.columns)), [c for c in df.columns if c != "secrets"]
+    base = df.select(row.alias("row"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     base = base.withColumns(
         {
-            "s_assign": F.expr(_spans(ASSIGN, 0, f"length(get(values, i)) >= {LEAST_VALUE}")),
+            "s_assign": F.expr(_spans(ASSIGN, 0, f"length({{value}}) >= {LEAST_VALUE}", 2)),
             "s_access": F.when(F.col("body").contains("AKIA"), F.expr(_spans(ACCESS, 1))).otherwise(F.expr(NONE)),
             "s_hex": F.expr(_spans(HEX, 2)),
         }
     )
+    opaque = " AND ".join(f"{{value}} RLIKE {_quote(test)}".replace("{32,}", "{{32,}}").replace("{0,2}", "{{0,2}}") for test in OPAQUE)
     # weak parts are looked for only where a part that they could be linked to can be
     named = "body RLIKE '(?i:client_?id|user|login|account)'"
     base = base.withColumn("w_identity", F.expr(f"CASE WHEN {named} THEN {_spans(IDENTITY, 4)} ELSE {NONE} END"))
-    base = base.withColumn("w_secret", F.expr(f"CASE WHEN size(s_access) + size(w_identity) > 0 THEN {_spans(OPAQUE, 3)} ELSE {NONE} END"))
+    base = base.withColumn("w_secret", F.expr(f"CASE WHEN size(s_access) + size(w_identity) > 0 THEN {_spans(RUN, 3, opaque)} ELSE {NONE} END"))
     base = base.withColumn("w_endpoint", F.expr(f"CASE WHEN size(s_access) + size(w_identity) > 0 AND size(s_assign) + size(w_secret) > 0 THEN {_spans(ENDPOINT, 5)} ELSE {NONE} END"))
 
     near = lambda *kinds: "(" + " OR ".join(_near("p", k, SCOPE) for k in kinds) + ")"
@@ -101,7 +104,7 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     }
     kept = ", ".join(f"CASE WHEN size({k}) > 0 THEN filter({k}, p -> {test}) ELSE {NONE} END" for k, test in linked.items())
     found = base.withColumn("secrets", F.expr(f"sort_array(concat(s_assign, s_access, s_hex, {kept}))"))
-    return found.drop("body", "s_assign", "s_access", "s_hex", "w_identity", "w_secret", "w_endpoint")
+    return found.select(*(F.col("row")[c].alias(c) for c in others), "secrets")
 
 
 def listed(spans: Column | str, most: int = len(KINDS)) -> Column:
