@@ -12,6 +12,7 @@ Documents are shuffled only within their shard.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +27,10 @@ from marlstone.sources import materialize
 #: Weights of the sources in order, repeating; the mix's size over that of all sources; the most passes over a source.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 #: A block is about so many words, and so many documents, at most; a shard about so many words.
-BLOCK_WORDS, BLOCK_DOCS, SHARD_WORDS, MOST_SHARDS = 100_000, 10_000, 50_000_000, 1 << 14
+BLOCK_WORDS, BLOCK_DOCS, SHARD_WORDS = 100_000, 10_000, 50_000_000
 SEED = 20_240_101
+#: The tree is split as far as so many nodes in one task, and each of these in one of its own. A shard is sorted in so many ranges of keys.
+TOP, RANGES = 256, 32
 
 
 def count_words(text: str) -> Column:
@@ -57,13 +60,13 @@ def targets(sources: DataFrame) -> DataFrame:
     return found.withColumn("target", F.least(MOST * F.col("source_size").cast("double"), F.coalesce(final, F.lit(0.0)) * F.col("weight"))).drop("stop", "level")
 
 
-def split(counts: np.ndarray, shards: int, seed: int) -> Iterator[np.ndarray]:
-    """How many blocks of each source each of ``shards`` (a power of two) gets; sums are exact.
+def split(counts: np.ndarray, shards: int, seed: int, node: int = 1) -> Iterator[np.ndarray]:
+    """How many blocks of each source each of ``shards`` (a power of two) below ``node`` gets; sums are exact.
 
     Only the counts on the way to the present leaf are held. Each node draws
-    from a generator seeded with its own number.
+    from a generator seeded with its own number, so subtrees can be split apart.
     """
-    stack = [(counts.astype(np.int64), shards, 1)]
+    stack = [(counts.astype(np.int64), shards, node)]
     while stack:
         here, leaves, node = stack.pop()
         if leaves == 1:
@@ -80,28 +83,47 @@ def split(counts: np.ndarray, shards: int, seed: int) -> Iterator[np.ndarray]:
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, sample: int) -> int:
-    """A hypergeometric draw; numpy bounds good and bad by 1e9, beyond which the normal law is as exact as the draw."""
+    """A hypergeometric draw; beyond numpy's bound of 1e9 by inversion of the law, to the precision of doubles."""
     if not good or not sample:
         return 0
     if not bad:
         return sample
     if max(good, bad) < 10**9:
         return int(rng.hypergeometric(good, bad, sample))
-    n = good + bad
-    mean = sample * good / n
-    drawn = round(rng.normal(mean, (mean * (bad / n) * ((n - sample) / max(1, n - 1))) ** 0.5))
-    return min(max(drawn, sample - bad, 0), good, sample)
+    # outwards from the mode, each number's probability follows from its neighbour's
+    least, most = max(0, sample - bad), min(good, sample)
+    mode = min(max((sample + 1) * (good + 1) // (good + bad + 2), least), most)
+    ways = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    p = math.exp(ways(good, mode) + ways(bad, sample - mode) - ways(good + bad, sample))
+    low = high = mode
+    p_low = p_high = p
+    rest = rng.random() - p
+    while rest > 0 and (p_low > 1e-30 or p_high > 1e-30):
+        if high < most:
+            p_high *= (good - high) / (high + 1) * ((sample - high) / (bad - sample + high + 1))
+            high, rest = high + 1, rest - p_high
+            if rest <= 0:
+                return high
+        else:
+            p_high = 0.0
+        if low > least:
+            p_low *= low / (good - low + 1) * ((bad - sample + low) / (sample - low + 1))
+            low, rest = low - 1, rest - p_low
+            if rest <= 0:
+                return low
+        else:
+            p_low = 0.0
+    return mode
 
 
 def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", with_text: bool = True) -> DataFrame:
     """Every row with size, source_size, target, taken and draws.
 
     ``size`` is the text's words. ``taken`` is how many of them the mix takes,
-    repeats counted, at most MOST times ``size``; by source their sum is the
-    target, rounded. ``draws`` lists them: structs of shard, words and a key to
-    sort a shard by. Words short of the size, which one document of a source
-    has at most, are the text's first ones. Rows agree from run to run, however
-    they are partitioned. Null sources are one source; a null text has no
+    repeats counted: ``size``, or 0 or MOST times that. By source their sum
+    is within half a document of the target. ``draws`` lists them: structs of
+    shard and a key to sort a shard by. Texts are always taken whole. Rows
+    agree from run to run, however they are partitioned. Null sources are one source; a null text has no
     words. Columns of ``docs`` with these names are replaced. Without
     ``with_text`` only id_column is kept of ``docs``, and no text is shuffled.
 
@@ -110,7 +132,7 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source:
     """
     made = ["size", "source_size", "target", "taken", "draws", "mix_key", "mix_hash", "mix_block"]
     docs = docs.drop(*made)
-    keyed = {"size": count_words(text), "mix_key": F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("null")), "mix_hash": F.xxhash64(id_column, text, F.lit(SEED))}
+    keyed = {"size": count_words(text), "mix_key": F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("null")), "mix_hash": _draw(F.concat(F.lit(f"{SEED}|"), F.coalesce(F.col(id_column).cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col(text), F.lit(""))))}
     skinny = materialize(docs.select(id_column, F.col(source).alias("source"), text).withColumns(keyed).drop(text), "mix-sizes")
     sums = skinny.groupBy("source", "mix_key").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     blocks_of = F.ceil(F.greatest(F.col("source_size") / BLOCK_WORDS, F.col("n") / BLOCK_DOCS)).cast("long").alias("blocks")
@@ -121,16 +143,18 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source:
 
     block = F.pmod("mix_hash", "blocks").alias("mix_block")
     sized = skinny.join(sources, "mix_key").groupBy("mix_key", block).agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("passes").alias("passes"))
-    permuted = Window.partitionBy("mix_key").orderBy(F.xxhash64("mix_block", F.lit(SEED)), "mix_block")
+    permuted = Window.partitionBy("mix_key").orderBy(_draw(F.concat(F.lit(f"{SEED}|"), F.col("mix_block").cast("string"))), "mix_block")
     before = F.coalesce(F.sum("words").over(permuted.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     extra = F.greatest(F.lit(0), F.least(F.col("words"), F.col("rest") - before)).cast("long")
-    blocks = sized.withColumns({"extra": extra, "position": F.row_number().over(permuted) - 1}).select("mix_key", "mix_block", "words", "passes", "extra", "position")
+    # the blocks that a last pass reaches come first, so that the numbers of drawn blocks have no gaps
+    blocks = sized.withColumns({"extra": extra, "reached": before < F.col("rest"), "position": F.row_number().over(permuted) - 1}).select("mix_key", "mix_block", "words", "passes", "extra", "reached", "position")
     blocks = materialize(blocks.withColumn("in_source", F.count("*").over(Window.partitionBy("mix_key"))), "mix-blocks")
 
     # each drawn block has a number among its source's: pass by pass, in permuted order
-    drawn = blocks.select("mix_key", "mix_block", "extra", "words", F.explode(F.expr("filter(sequence(0, 2), p -> p < passes OR (p = passes AND extra > 0))")).alias("pass"), (F.col("pass") * F.col("in_source") + F.col("position")).cast("long").alias("number"))
+    drawn = blocks.select("mix_key", "mix_block", "words", F.explode(F.expr("filter(sequence(0, 2), p -> p < passes OR (p = passes AND reached))")).alias("pass"), (F.col("pass") * F.col("in_source") + F.col("position")).cast("long").alias("number"))
     drawn_of = drawn.groupBy("mix_key").agg(F.count("*").alias("drawn"), F.sum(F.col("words")).alias("words"))
-    dealt = drawn_of.orderBy("mix_key").coalesce(1).mapInPandas(_dealer(SHARD_WORDS), "mix_key string, shard int, first long, n long")
+    nodes = drawn_of.coalesce(1).mapInPandas(_tops(SHARD_WORDS), "mix_key string, node long, shards long, first long, n long")
+    dealt = nodes.repartition(min(TOP, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "node").sortWithinPartitions("node", "mix_key").mapInPandas(_leaves, "mix_key string, shard long, first long, n long")
     ranges = dealt.where("n > 0").select("mix_key", "shard", F.explode(F.expr("sequence(first, first + n - 1)")).alias("number"))
     shards = drawn.join(ranges, ["mix_key", "number"]).groupBy("mix_key", "mix_block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("shards"))
     plan = blocks.select("mix_key", "mix_block", "passes", "extra").join(shards, ["mix_key", "mix_block"], "left")
@@ -138,16 +162,18 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source:
     rows = (docs.withColumns(keyed) if with_text else skinny.drop("source")).join(sources.select("mix_key", "blocks", "source_size", "target"), "mix_key").withColumn("mix_block", block)
     rows = rows.join(plan, ["mix_key", "mix_block"])
     within = Window.partitionBy("mix_key", "mix_block").orderBy("mix_hash", "size").rowsBetween(Window.unboundedPreceding, -1)
-    more = F.greatest(F.lit(0), F.least(F.col("size"), F.col("extra") - F.coalesce(F.sum("size").over(within), F.lit(0)))).cast("long")
-    one = "named_struct('shard', d.shard, 'words', if(d.pass < passes, size, more), 'key', xxhash64(mix_hash, d.pass))"
-    draws = F.expr(f"coalesce(filter(transform(shards, d -> {one}), d -> d.words > 0), array())")
+    # the document at which the quota runs out is taken if that comes nearer to it
+    taken = 2 * F.coalesce(F.sum("size").over(within), F.lit(0)) + F.col("size") <= 2 * F.col("extra")
+    more = F.when(taken, F.col("size")).otherwise(F.lit(0)).cast("long")
+    one = "named_struct('shard', d.shard, 'key', xxhash64(mix_hash, d.pass))"
+    draws = F.expr(f"coalesce(transform(filter(shards, d -> size > 0 AND (d.pass < passes OR more > 0)), d -> {one}), array())")
     return rows.withColumn("more", more).withColumns({"taken": F.col("passes") * F.col("size") + F.col("more"), "draws": draws}).select(
         *(docs.columns if with_text else [id_column]), "size", "source_size", "target", "taken", "draws"
     )
 
 
-def _dealer(shard_words: int):
-    """A function for one task, which reads one row a source: ranges of each source's drawn blocks for each shard."""
+def _tops(shard_words: int):
+    """A function for one task, which reads one row a source: how many of each source's drawn blocks go to each of TOP nodes at most."""
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = list(frames)
@@ -156,26 +182,49 @@ def _dealer(shard_words: int):
             return
         counts, total = table["drawn"].to_numpy(), int(table["words"].sum())
         shards = 1
-        while shards * shard_words < total and shards < MOST_SHARDS:
+        while shards * shard_words < total:
             shards *= 2
-        first = np.zeros(len(table), np.int64)
-        for shard, got in enumerate(split(counts, shards, SEED)):
-            yield pd.DataFrame({"mix_key": table["mix_key"], "shard": np.int32(shard), "first": first, "n": got})
+        first, tops = np.zeros(len(table), np.int64), min(shards, TOP)
+        for i, got in enumerate(split(counts, tops, SEED)):
+            yield pd.DataFrame({"mix_key": table["mix_key"], "node": np.int64(tops + i), "shards": np.int64(shards // tops), "first": first, "n": got})
             first = first + got
 
     return deal
 
 
-def written_out(mixed: DataFrame, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
-    """A row for each draw, with ``shard``, sorted within shards: the mix itself.
+def _leaves(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of nodes, sorted by node and source, to each shard's range of each source's drawn blocks."""
+    held: list[pd.DataFrame] = []
 
-    A draw of fewer words than the text has keeps the text up to the end of
-    its last word, and ``n_chars``, where there is such a column, follows it.
+    def finish() -> Iterator[pd.DataFrame]:
+        table = pd.concat(held)
+        node, shards, first = int(table["node"].iloc[0]), int(table["shards"].iloc[0]), table["first"].to_numpy()
+        begin = (node - (1 << (node.bit_length() - 1))) * shards
+        for i, got in enumerate(split(table["n"].to_numpy(), shards, SEED, node)):
+            yield pd.DataFrame({"mix_key": table["mix_key"].to_numpy(), "shard": np.int64(begin + i), "first": first, "n": got})
+            first = first + got
+
+    for frame in frames:
+        for node, part in frame.groupby("node", sort=False):
+            if held and int(held[0]["node"].iloc[0]) != node:
+                yield from finish()
+                held = []
+            held.append(part)
+    if held:
+        yield from finish()
+
+
+def _draw(key: Column) -> Column:
+    """A number from 0 to 2^60 - 1 by MD5, the same in any SQL engine."""
+    return F.conv(F.left(F.md5(key.cast("binary")), F.lit(15)), 16, 10).cast("long")
+
+
+def written_out(mixed: DataFrame) -> DataFrame:
+    """A row for each draw, with ``shard``: the mix itself. Every text is whole.
+
+    A shard is sorted by its draws' keys, in RANGES ranges of keys, which
+    follow each other and may lie in different partitions.
     """
-    parts = rf"split(`{text}`, '(?<=[^\\x20\\x09-\\x0D])(?=[\\x20\\x09-\\x0D])')"  # each has one word, and the gap before it
-    head = F.expr(f"CASE WHEN cut THEN array_join(slice({parts}, 1, CAST(draw.words AS INT)), '') ELSE `{text}` END")
-    rows = mixed.withColumn("draw", F.explode("draws")).withColumn("cut", F.col("draw.words") < F.col("size")).withColumn(text, head)
-    if n_chars in mixed.columns:
-        rows = rows.withColumn(n_chars, F.when(F.col("cut"), F.length(text).cast("long")).otherwise(F.col(n_chars)))
-    rows = rows.withColumns({"shard": F.col("draw.shard"), "shard_key": F.col("draw.key")}).drop("draw", "draws", "cut", "size", "source_size", "target", "taken")
-    return rows.repartition("shard", F.pmod("shard_key", F.lit(16))).sortWithinPartitions("shard", "shard_key").drop("shard_key")
+    rows = mixed.withColumn("draw", F.explode("draws"))
+    rows = rows.withColumns({"shard": F.col("draw.shard"), "shard_key": F.col("draw.key")}).drop("draw", "draws", "size", "source_size", "target", "taken")
+    return rows.repartition("shard", F.shiftright("shard_key", 64 - (RANGES - 1).bit_length())).sortWithinPartitions("shard", "shard_key").drop("shard_key")

@@ -11,7 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
-from marlstone.llm import toxicity
+from marlstone.llm import secret_scans, toxicity
 from tests.llm import test_mixing, test_ngram_join, test_secret_scans
 
 DATA = Path("/root/testdata/sf0.001")
@@ -42,15 +42,18 @@ def test_stages(spark):
 
     safe = stages["secret_scans"](spark, single, str(DATA)).cache()
     before = {r.doc_id: r for r in single.collect()}
+    spans = {r.doc_id: [(s.start, s.end) for s in r.secrets] for r in secret_scans.scan(single).collect()}
+    for r in single.collect():  # base spans by a plain search; linked ones have their own test against SQL
+        assert {(a, b) for a, _, b in test_secret_scans.plain(r.text)} <= set(spans[r.doc_id])
     assert safe.columns == COLUMNS and safe.count() == len(before)
     for r in safe.collect():
         old, at, out = before[r.doc_id], 0, []
-        for a, _, b in test_secret_scans.plain(old.text):
+        for a, b in spans[r.doc_id]:
             if a >= at:
                 out += [(old.text or "")[at:a], "[secret]"]
             at = max(at, b)
         want = None if old.text is None else "".join(out) + old.text[at:]
-        assert "linked" in str(r) or r.text == want
+        assert r.text == want
         assert r.n_chars == (old.n_chars if r.text == old.text else len(r.text))
 
     mixed = stages["mixing"](spark, safe, str(DATA)).cache()
@@ -61,9 +64,10 @@ def test_stages(spark):
         texts[r.doc_id] = r.text
     for r in mixed.collect():
         taken[r.source] += len(test_mixing.WORD.findall(r.text))
-        assert texts[r.doc_id].startswith(r.text)
+        assert texts[r.doc_id] == r.text
     want = test_mixing.plain_targets(dict(sizes))
-    assert {k: v for k, v in taken.items() if v} == {k: round(v) for k, v in want.items() if round(v)}
+    largest = max(len(test_mixing.WORD.findall(t or "")) for t in texts.values())
+    assert all(abs(taken[k] - v) <= largest / 2 + 1 for k, v in want.items())
 
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     final = stages["bpe"](spark, mixed, str(DATA))
@@ -80,3 +84,16 @@ def test_run_is_all_stages(spark):
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and got.count() > 100
     assert rows(got) == rows(P.run(spark, str(DATA)))
     assert P.ORACLE_SQL is None
+
+
+def test_stages_on_empty_tables_and_clashing_columns(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    more = ", secrets string, body string, size string, draws int, shard int, score string, class_id int, row_key string, key int, first int"
+    text = " ".join(f"w{i}" for i in range(80))
+    full = [(i, t, "en", "s", len(t), *("clash", "kept", "x", 1, 2, "y", 3, "z", 4, 5)) for i, t in enumerate([text, text, "token=abcdefgh " + text])]
+    for rows, columns in (([], schema), (full[:0], schema + more), (full, schema + more)):
+        docs = spark.createDataFrame(rows, columns)
+        for name, stage in P.STAGES:
+            docs = stage(spark, docs, str(DATA))
+            assert docs.count() == 0 if not rows else docs.count() > 0, name
+        assert docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
