@@ -221,7 +221,7 @@ def _concentrated(vectors: DataFrame, estimate: DataFrame, step: int) -> DataFra
     near = measured.join(_kept(within, f"mcd-within-{step}"), ["cell", "start"]).where("ring <= last_ring")
     sums = {f"s_{i}": _exact(F.col(f)) for i, f in enumerate(names)} | {f"p_{i}{j}": _exact(F.col(names[i]) * F.col(names[j])) for i, j in _PAIRS}
     moments = near.groupBy("cell", "start", "n_all").agg(F.count("*").alias("n"), *(v.alias(k) for k, v in sums.items()))
-    return _kept(_factored(moments), f"mcd-{step}")
+    return _factored(moments)
 
 
 def robust_estimates(vectors: DataFrame) -> DataFrame:
@@ -235,7 +235,7 @@ def robust_estimates(vectors: DataFrame) -> DataFrame:
     whether any is left whose determinant fell.
     """
     vectors = vectors.select("cell", *((F.round(F.col(f) * GRID) / GRID).alias(f) for f in FEATURES))
-    estimate = _concentrated(vectors, _starts(vectors), 0).withColumn("fell", F.lit(True))
+    estimate = _kept(_concentrated(vectors, _starts(vectors), 0), "mcd-first").withColumn("fell", F.lit(True))
     for step in range(1, MOST_STEPS):
         if estimate.where("fell").isEmpty():
             break
