@@ -12,12 +12,13 @@ shingles themselves.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -206,17 +207,17 @@ def chains(leaves: DataFrame) -> DataFrame:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Group, node, copies, blocks and text to the node's shingles in place of the text."""
+    """A node's columns, of which text is the last, with its shingles in place of the text."""
     for batch in batches:
         at = 0
         while at < len(batch):  # slices, as a set is larger than its text can be
             end, held, out = at, 0, []
             while end < len(batch) and held < 1 << 22:
-                out.append(shingles(bytes(batch.column(4)[end].as_buffer())).tobytes())
+                out.append(shingles(bytes(batch.columns[-1][end].as_buffer())).tobytes())
                 held += len(out[-1])
                 end += 1
             part = batch.slice(at, end - at)
-            yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(out, pa.binary())], names=["comp", "node", "copies", "blocks", "found"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(out, pa.binary())], names=[*batch.schema.names[:-1], "found"])
             at = end
 
 
@@ -292,7 +293,8 @@ def _comparer(threshold: float):
                 hit = near.any(axis=1)
                 if hit.any():
                     linked, root = (near @ copies).round().astype(np.int64), nodes[roots(near)]
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes[hit]), pa.array(linked[hit]), pa.array(root[hit]), pa.array([group[0][7] > 1] * int(hit.sum()))], names=names)
+                    several = np.array([r[7] for r in group])
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[hit]), pa.array(linked[hit]), pa.array(root[hit]), pa.array(several[hit])], names=names)
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -305,6 +307,31 @@ def _comparer(threshold: float):
     return compare
 
 
+def _size_rank(threshold: float) -> Column:
+    """Sets as similar as ``threshold`` are of one rank of size or of neighbouring ones, as their sizes are as alike as they."""
+    return F.floor(F.ln("size") / (math.log(1 / threshold) * 1.0001)).cast("int") if threshold < 1 else F.col("size").cast("int")
+
+
+def _blocks(candidates: DataFrame, threshold: float) -> DataFrame:
+    """For each group and rank of size: its blocks, from ``begin`` on, and those from ``low`` up to ``high`` that they are compared with.
+
+    A group that one block holds is one block. The blocks of a larger one hold one rank each.
+    """
+    whole = F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    ranks = candidates.groupBy("comp", "rank").agg(whole, F.count("*").alias("n"), F.sum("size").alias("shingles"))
+    of_group = Window.partitionBy("comp")  # a few ranks a group
+    small = (F.sum("n").over(of_group) <= BLOCK_TEXTS) & (F.sum("shingles").over(of_group) <= BLOCK_SHINGLES)
+    ranks = ranks.withColumn("small", small).withColumn("blocks", F.when(F.col("small"), 1).otherwise(F.col("blocks")))
+    in_order = of_group.orderBy("rank")
+    upto = F.sum("blocks").over(in_order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    ranks = ranks.withColumn("end", upto).withColumn("begin", F.col("end") - F.col("blocks"))
+    below = F.when(F.lag("rank").over(in_order) == F.col("rank") - 1, F.lag("begin").over(in_order))
+    above = F.when(F.lead("rank").over(in_order) == F.col("rank") + 1, F.lead("end").over(in_order))
+    ranks = ranks.withColumns({"low": F.coalesce(below, F.col("begin")), "high": F.coalesce(above, F.col("end"))})
+    alone = lambda c, v: F.when(F.col("small"), v).otherwise(F.col(c)).cast("int").alias(c)
+    return ranks.select("comp", "rank", "blocks", alone("begin", 0), alone("low", 0), alone("high", 1))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """doc_id, text_hash, class_id, copies, n_links and first of every row of ``docs``.
 
@@ -319,8 +346,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     its class_id is null. Rows that repeat an id are texts of their own.
 
     Every pair that shares a tree's prefix is compared, whatever the group's
-    size; a large one is compared in pairs of blocks, so that a task holds
-    2 * BLOCK_TEXTS sets at most. Sets are named by 64-bit hashes.
+    size; a large one is compared in pairs of blocks of sets of like sizes, so
+    that a task holds 2 * BLOCK_TEXTS sets at most. Sets are named by 64-bit
+    hashes.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -336,15 +364,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 
     by_node = members.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("one"), F.first("size").alias("size"))
     by_node = materialize(by_node, "forest-nodes")
-    candidates = by_node.join(groups.select("node", F.col("root").alias("comp")), "node")
-    sizes = candidates.groupBy("comp").agg(F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    candidates = candidates.join(sizes, "comp").select("comp", "node", "copies", "blocks", F.col("one.doc_id").alias("of_id"), F.col("one.text_hash").alias("of_hash"))
+    candidates = by_node.join(groups.select("node", F.col("root").alias("comp")), "node").withColumn("rank", _size_rank(threshold))
+    candidates = candidates.join(materialize(_blocks(candidates, threshold), "forest-blocks"), ["comp", "rank"]).withColumn("mine", F.col("begin") + F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
+    candidates = candidates.select("comp", "node", "copies", "mine", "low", "high", F.col("one.doc_id").alias("of_id"), F.col("one.text_hash").alias("of_hash"))
     own = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash"))
-    chosen = texts.join(candidates, own).select("comp", "node", "copies", "blocks", "text")
-    found = chosen.mapInArrow(_sets, "comp long, node long, copies long, blocks int, found binary")
-    mine = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
-    dealt = found.withColumn("mine", mine).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = dealt.select("comp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "copies", "found", "blocks")
+    chosen = texts.join(candidates, own).select("comp", "node", "copies", "mine", "low", "high", "text")
+    found = chosen.mapInArrow(_sets, "comp long, node long, copies long, mine int, low int, high int, found binary")
+    dealt = found.withColumn("other", F.explode(F.expr("sequence(low, high - 1)")))
+    dealt = dealt.select("comp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "copies", "found", (F.col("high") - F.col("low") > 1).alias("several"))
     compared = dealt.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_comparer(threshold), "node long, linked long, root long, several boolean")
     compared = materialize(compared, "forest-links")
 

@@ -130,6 +130,24 @@ def test_prefixes_hold_together_across_partitions(spark, parts):
     assert classes(want) == classes([(r.a, r.b) for r in got])
 
 
+def test_sets_that_can_be_alike_meet_in_blocks(spark, monkeypatch):
+    """Every pair of sizes within the threshold is of ranks that are compared, and each block is as small as it should be."""
+    monkeypatch.setattr(N, "BLOCK_TEXTS", 10)
+    rng = random.Random(3)
+    rows = [(c, i, rng.choice([1, 4, 5, 16, 20, 25, rng.randint(1, 4000)])) for c, n in ((1, 300), (2, 10), (3, 11)) for i in range(n)]
+    df = spark.createDataFrame(rows, "comp long, node long, size long").withColumn("rank", N._size_rank(0.8))
+    got = df.join(N._blocks(df, 0.8), ["comp", "rank"]).collect()
+    assert len(got) == len(rows) and {(r.blocks, r.begin, r.low, r.high) for r in got if r.comp == 2} == {(1, 0, 0, 1)}
+    for r in got:
+        assert r.low <= r.begin < r.begin + r.blocks <= r.high or r.comp == 2
+        for o in got:
+            if o.comp == r.comp and min(r["size"], o["size"]) >= 0.8 * max(r["size"], o["size"]):
+                assert r.low <= o.begin and o.begin + o.blocks <= r.high
+    large = {(r.begin, r.blocks): sum(o.begin == r.begin for o in got if o.comp == 1) for r in got if r.comp == 1}
+    assert all(n <= 10 * blocks for (_, blocks), n in large.items())
+    assert sum(r.high - r.low for r in got if r.comp == 1) < 300 * max(r.high for r in got if r.comp == 1) / 2
+
+
 def test_overlaps_are_exact():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 300, n, dtype=np.uint64)) for n in (1, 5, 80, 200, 200, 0)]
