@@ -29,8 +29,8 @@ WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 #: A block is about so many words, and so many documents, at most; a shard about so many words.
 BLOCK_WORDS, BLOCK_DOCS, SHARD_WORDS = 100_000, 10_000, 50_000_000
 SEED = 20_240_101
-#: The tree is split as far as so many nodes in one task, and each of these in one of its own. A shard is sorted in so many ranges of keys.
-TOP, RANGES = 256, 32
+#: The tree is split as far as so many nodes in one task, and each of these in one of its own.
+TOP = 256
 
 
 def count_words(text: str) -> Column:
@@ -122,7 +122,7 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source:
     ``size`` is the text's words. ``taken`` is how many of them the mix takes,
     repeats counted: ``size``, or 0 or MOST times that. By source their sum
     is within half a document of the target. ``draws`` lists them: structs of
-    shard and a key to sort a shard by. Texts are always taken whole. Rows
+    shard, the number of shards and a key to sort a shard by. Texts are always taken whole. Rows
     agree from run to run, however they are partitioned. Null sources are one source; a null text has no
     words. Columns of ``docs`` with these names are replaced. Without
     ``with_text`` only id_column is kept of ``docs``, and no text is shuffled.
@@ -154,9 +154,9 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source:
     drawn = blocks.select("mix_key", "mix_block", "words", F.explode(F.expr("filter(sequence(0, 2), p -> p < passes OR (p = passes AND reached))")).alias("pass"), (F.col("pass") * F.col("in_source") + F.col("position")).cast("long").alias("number"))
     drawn_of = drawn.groupBy("mix_key").agg(F.count("*").alias("drawn"), F.sum(F.col("words")).alias("words"))
     nodes = drawn_of.coalesce(1).mapInPandas(_tops(SHARD_WORDS), "mix_key string, node long, shards long, first long, n long")
-    dealt = nodes.repartition(min(TOP, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "node").sortWithinPartitions("node", "mix_key").mapInPandas(_leaves, "mix_key string, shard long, first long, n long")
-    ranges = dealt.where("n > 0").select("mix_key", "shard", F.explode(F.expr("sequence(first, first + n - 1)")).alias("number"))
-    shards = drawn.join(ranges, ["mix_key", "number"]).groupBy("mix_key", "mix_block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("shards"))
+    dealt = nodes.repartition(min(TOP, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "node").sortWithinPartitions("node", "mix_key").mapInPandas(_leaves, "mix_key string, shard long, of long, first long, n long")
+    ranges = dealt.where("n > 0").select("mix_key", "shard", "of", F.explode(F.expr("sequence(first, first + n - 1)")).alias("number"))
+    shards = drawn.join(ranges, ["mix_key", "number"]).groupBy("mix_key", "mix_block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard", "of"))).alias("shards"))
     plan = blocks.select("mix_key", "mix_block", "passes", "extra").join(shards, ["mix_key", "mix_block"], "left")
 
     rows = (docs.withColumns(keyed) if with_text else skinny.drop("source")).join(sources.select("mix_key", "blocks", "source_size", "target"), "mix_key").withColumn("mix_block", block)
@@ -165,7 +165,7 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source:
     # the document at which the quota runs out is taken if that comes nearer to it
     taken = 2 * F.coalesce(F.sum("size").over(within), F.lit(0)) + F.col("size") <= 2 * F.col("extra")
     more = F.when(taken, F.col("size")).otherwise(F.lit(0)).cast("long")
-    one = "named_struct('shard', d.shard, 'key', xxhash64(mix_hash, d.pass))"
+    one = "named_struct('shard', d.shard, 'of', d.of, 'key', xxhash64(mix_hash, d.pass))"
     draws = F.expr(f"coalesce(transform(filter(shards, d -> size > 0 AND (d.pass < passes OR more > 0)), d -> {one}), array())")
     return rows.withColumn("more", more).withColumns({"taken": F.col("passes") * F.col("size") + F.col("more"), "draws": draws}).select(
         *(docs.columns if with_text else [id_column]), "size", "source_size", "target", "taken", "draws"
@@ -199,9 +199,10 @@ def _leaves(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def finish() -> Iterator[pd.DataFrame]:
         table = pd.concat(held)
         node, shards, first = int(table["node"].iloc[0]), int(table["shards"].iloc[0]), table["first"].to_numpy()
-        begin = (node - (1 << (node.bit_length() - 1))) * shards
+        tops = 1 << (node.bit_length() - 1)
+        begin = (node - tops) * shards
         for i, got in enumerate(split(table["n"].to_numpy(), shards, SEED, node)):
-            yield pd.DataFrame({"mix_key": table["mix_key"].to_numpy(), "shard": np.int64(begin + i), "first": first, "n": got})
+            yield pd.DataFrame({"mix_key": table["mix_key"].to_numpy(), "shard": np.int64(begin + i), "of": np.int64(tops * shards), "first": first, "n": got})
             first = first + got
 
     for frame in frames:
@@ -222,9 +223,13 @@ def _draw(key: Column) -> Column:
 def written_out(mixed: DataFrame) -> DataFrame:
     """A row for each draw, with ``shard``: the mix itself. Every text is whole.
 
-    A shard is sorted by its draws' keys, in RANGES ranges of keys, which
-    follow each other and may lie in different partitions.
+    A shard is sorted by its draws' keys. Partitions hold ranges of shards and
+    keys that follow each other: as keys are uniform and shards alike in size,
+    they are cut evenly, without sampling.
     """
+    parts = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = mixed.withColumn("draw", F.explode("draws"))
-    rows = rows.withColumns({"shard": F.col("draw.shard"), "shard_key": F.col("draw.key")}).drop("draw", "draws", "size", "source_size", "target", "taken")
-    return rows.repartition("shard", F.shiftright("shard_key", 64 - (RANGES - 1).bit_length())).sortWithinPartitions("shard", "shard_key").drop("shard_key")
+    rows = rows.withColumns({"shard": F.col("draw.shard"), "shards": F.col("draw.of"), "shard_key": F.col("draw.key")})
+    at = F.expr(f"CAST(least({parts - 1}, floor((shard + shard_key / {2.0**64!r} + 0.5) / shards * {parts})) AS INT)")
+    rows = rows.drop("draw", "draws", "size", "source_size", "target", "taken")
+    return rows.repartitionById(parts, at).sortWithinPartitions("shard", "shard_key").drop("shard_key", "shards")

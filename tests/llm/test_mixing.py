@@ -83,7 +83,10 @@ def test_written_mix(spark):
         for d in r.draws:
             want[d.shard].append((str(r.doc_id), r.text))
     got = defaultdict(list)
-    for r in M.written_out(mixed).collect():
+    out = M.written_out(mixed)
+    parts = [r.shard for r in out.withColumn("part", F.spark_partition_id()).orderBy("part").select("shard").collect()]
+    assert sorted(parts) == parts  # partitions follow each other
+    for r in out.collect():
         got[r.shard].append((str(r.doc_id), r.text))
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
 
