@@ -41,7 +41,7 @@ D = len(FEATURES)
 #: a statistic that is the same in every text of a cell does not make the spread singular.
 LEAST_SPREAD = {"log_words": 0.25, "log_word_chars": 0.08, "symbol_share": 0.05, "dup_line_share": 0.1, "repeat_share": 0.1}
 #: Concentration steps go on until no log determinant falls by more than this, which comes by itself; at this many they are broken off.
-FALL, MOST_STEPS = 1e-3, 200
+FALL, MOST_STEPS = 1e-2, 200
 #: Starts, all from medians: statistics taken as independent, and correlated as their hyperbolic tangents or directions are.
 STARTS = ("apart", "tanh", "sign")
 #: Correlations of a start are drawn towards 0 by this.
