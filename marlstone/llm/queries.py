@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, mixing, ngram_join, order_minhash, quality_rules, secret_scans, suffix_dedup, toxicity, url_filters, warc
+from marlstone.llm import bpe, decontamination, mixing, ngram_join, order_minhash, quality_rules, secret_scans, suffix_dedup, toxicity, url_filters, warc
 from marlstone.sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -180,5 +180,26 @@ SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(removed
 FROM d JOIN whole USING (rid) LEFT JOIN n USING (rid)
 """
 
-QUERIES: dict[str, Query] = {"op1_toxicity": op1_toxicity, "op2_mixing": op2_mixing, "op3_warc": op3_warc, "op4_ngram_join": op4_ngram_join, "op5_order_minhash": op5_order_minhash, "op6_url_filters": op6_url_filters, "op7_bpe": op7_bpe, "op8_quality_rules": op8_quality_rules, "op9_secret_scans": op9_secret_scans, "op10_suffix_dedup": op10_suffix_dedup}
-ORACLES: dict[str, str] = {"op2_mixing": OP2, "op3_warc": OP3, "op4_ngram_join": OP4, "op6_url_filters": OP6, "op9_secret_scans": OP9, "op10_suffix_dedup": OP10}
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: Every window of the items against every window of the documents, word by word.
+OP12 = f"""
+WITH items AS (SELECT row_number() OVER () AS no, item_id, {_WORDS} AS w FROM benchmark),
+sized AS (SELECT *, least(len(w), 10) AS size FROM items WHERE len(w) > 0),
+grams AS MATERIALIZED (SELECT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS i FROM sized)),
+d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+windows AS (SELECT rid, i, size, array_to_string(w[i:i + size - 1], ' ') AS gram FROM (SELECT rid, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM sized))),
+met AS MATERIALIZED (SELECT rid, i, windows.size, item_id FROM windows JOIN grams ON windows.size = grams.size AND windows.gram = grams.gram),
+hit AS (SELECT rid, count(*) AS n FROM (SELECT DISTINCT rid, unnest(range(i, i + size)) AS at FROM met) GROUP BY 1),
+named AS (SELECT rid, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS id FROM met WHERE item_id IS NOT NULL) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(named.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN named USING (rid)
+"""
+
+QUERIES: dict[str, Query] = {"op1_toxicity": op1_toxicity, "op2_mixing": op2_mixing, "op3_warc": op3_warc, "op4_ngram_join": op4_ngram_join, "op5_order_minhash": op5_order_minhash, "op6_url_filters": op6_url_filters, "op7_bpe": op7_bpe, "op8_quality_rules": op8_quality_rules, "op9_secret_scans": op9_secret_scans, "op10_suffix_dedup": op10_suffix_dedup, "op12_decontamination": op12_decontamination}
+ORACLES: dict[str, str] = {"op2_mixing": OP2, "op3_warc": OP3, "op4_ngram_join": OP4, "op6_url_filters": OP6, "op9_secret_scans": OP9, "op10_suffix_dedup": OP10, "op12_decontamination": OP12}
