@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, decontamination, mixing, ngram_join, order_minhash, quality_rules, secret_scans, suffix_dedup, toxicity, url_filters, warc
+from marlstone.llm import bpe, decontamination, hard_negatives, mixing, ngram_join, order_minhash, quality_rules, secret_scans, suffix_dedup, toxicity, url_filters, warc
 from marlstone.sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -201,5 +201,23 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hit, c
 FROM d LEFT JOIN hit USING (rid) LEFT JOIN named USING (rid)
 """
 
-QUERIES: dict[str, Query] = {"op1_toxicity": op1_toxicity, "op2_mixing": op2_mixing, "op3_warc": op3_warc, "op4_ngram_join": op4_ngram_join, "op5_order_minhash": op5_order_minhash, "op6_url_filters": op6_url_filters, "op7_bpe": op7_bpe, "op8_quality_rules": op8_quality_rules, "op9_secret_scans": op9_secret_scans, "op10_suffix_dedup": op10_suffix_dedup, "op12_decontamination": op12_decontamination}
-ORACLES: dict[str, str] = {"op2_mixing": OP2, "op3_warc": OP3, "op4_ngram_join": OP4, "op6_url_filters": OP6, "op9_secret_scans": OP9, "op10_suffix_dedup": OP10, "op12_decontamination": OP12}
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+#: Every anchor against every row.
+OP13 = """
+WITH rows AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS MATERIALIZED (SELECT a.rid AS anchor, a.vec_id AS anchor_id, r.rid, r.vec_id, r.label = a.label AS same, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score FROM rows a JOIN rows r ON a.rid <> r.rid WHERE a.vec_id % 100 = 0),
+positives AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) AS n FROM scored WHERE same) WHERE n <= 5),
+negatives AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.anchor, p.rid ORDER BY s.score DESC, s.vec_id) AS n, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM positives p JOIN scored s ON p.anchor = s.anchor WHERE NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+SELECT anchor_id, positive_id, CAST(n AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM negatives WHERE n <= 5
+"""
+
+QUERIES: dict[str, Query] = {"op1_toxicity": op1_toxicity, "op2_mixing": op2_mixing, "op3_warc": op3_warc, "op4_ngram_join": op4_ngram_join, "op5_order_minhash": op5_order_minhash, "op6_url_filters": op6_url_filters, "op7_bpe": op7_bpe, "op8_quality_rules": op8_quality_rules, "op9_secret_scans": op9_secret_scans, "op10_suffix_dedup": op10_suffix_dedup, "op12_decontamination": op12_decontamination, "op13_hard_negatives": op13_hard_negatives}
+ORACLES: dict[str, str] = {"op2_mixing": OP2, "op3_warc": OP3, "op4_ngram_join": OP4, "op6_url_filters": OP6, "op9_secret_scans": OP9, "op10_suffix_dedup": OP10, "op12_decontamination": OP12, "op13_hard_negatives": OP13}
