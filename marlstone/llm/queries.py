@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, decontamination, hard_negatives, mixing, ngram_join, order_minhash, quality_rules, secret_scans, suffix_dedup, toxicity, url_filters, warc
+from marlstone.llm import bpe, decontamination, hard_negatives, mixing, ngram_join, order_minhash, quality_rules, secret_scans, suffix_dedup, toxicity, url_filters, warc, whitening
 from marlstone.sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -181,6 +181,10 @@ FROM d JOIN whole USING (rid) LEFT JOIN n USING (rid)
 """
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -219,5 +223,5 @@ negatives AS (
 SELECT anchor_id, positive_id, CAST(n AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM negatives WHERE n <= 5
 """
 
-QUERIES: dict[str, Query] = {"op1_toxicity": op1_toxicity, "op2_mixing": op2_mixing, "op3_warc": op3_warc, "op4_ngram_join": op4_ngram_join, "op5_order_minhash": op5_order_minhash, "op6_url_filters": op6_url_filters, "op7_bpe": op7_bpe, "op8_quality_rules": op8_quality_rules, "op9_secret_scans": op9_secret_scans, "op10_suffix_dedup": op10_suffix_dedup, "op12_decontamination": op12_decontamination, "op13_hard_negatives": op13_hard_negatives}
+QUERIES: dict[str, Query] = {"op1_toxicity": op1_toxicity, "op2_mixing": op2_mixing, "op3_warc": op3_warc, "op4_ngram_join": op4_ngram_join, "op5_order_minhash": op5_order_minhash, "op6_url_filters": op6_url_filters, "op7_bpe": op7_bpe, "op8_quality_rules": op8_quality_rules, "op9_secret_scans": op9_secret_scans, "op10_suffix_dedup": op10_suffix_dedup, "op11_whitening": op11_whitening, "op12_decontamination": op12_decontamination, "op13_hard_negatives": op13_hard_negatives}
 ORACLES: dict[str, str] = {"op2_mixing": OP2, "op3_warc": OP3, "op4_ngram_join": OP4, "op6_url_filters": OP6, "op9_secret_scans": OP9, "op10_suffix_dedup": OP10, "op12_decontamination": OP12, "op13_hard_negatives": OP13}
