@@ -3,8 +3,8 @@
 Candidates come from an LSH forest. Each of TREES trees is a trie of labels, of
 DEPTH MinHash values each, kept as a sorted list: texts that share a prefix
 stand in a row. How long a prefix must be is fitted: it starts at DEPTH and is
-shortened until texts of a sample and copies of them, changed to lie at the
-threshold, are found with the target recall. The lists are range-partitioned,
+shortened until pairs at the threshold are found with the target recall, by law
+and measured on copies of a sample of texts. The lists are range-partitioned,
 and rows of a shared prefix are followed across boundaries. Texts that share a
 prefix form a group, and every pair in it is then compared exactly, by the
 shingles themselves.
@@ -87,36 +87,39 @@ def packed(label: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _trial(threshold: float):
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts to how many there are and, for each prefix length, how many copies at the threshold share one and how many are expected to."""
-        n, found, expected = 0, np.zeros(DEPTH, np.int64), np.zeros(DEPTH)
+        """Texts to how many were copied and, for each prefix length, how many of the copies, at the threshold or just above, share one.
+
+        Sets so small that a change would take them below the threshold are not copied: they would only be compared with themselves.
+        """
+        n, found = 0, np.zeros(DEPTH, np.int64)
         for batch in batches:
             for text in batch.column(0):
                 own = shingles(bytes(text.as_buffer() or b""))
                 changed = int(len(own) * (1 - threshold) / (1 + threshold) + 1e-9)
-                if not len(own):
+                if not changed:
                     continue
                 rng = np.random.default_rng(int(own[0]))
                 copy = np.union1d(rng.permutation(own)[changed:], rng.integers(0, 1 << 63, changed, dtype=np.uint64))
                 same = np.logical_and.accumulate(labels(minhashes(own)) == labels(minhashes(copy)), axis=1)
-                likeness = (len(own) - changed) / (len(own) + changed)
                 n, found = n + 1, found + same.any(axis=0)
-                expected += 1 - (1 - likeness ** np.arange(1, DEPTH + 1)) ** TREES
         depth = pa.array(np.arange(1, DEPTH + 1, dtype=np.int32))
-        yield pa.RecordBatch.from_arrays([depth, pa.repeat(n, DEPTH), pa.array(found), pa.array(expected)], names=["depth", "n", "found", "expected"])
+        yield pa.RecordBatch.from_arrays([depth, pa.repeat(n, DEPTH), pa.array(found)], names=["depth", "n", "found"])
 
     return measure
 
 
 def prefix_depth(texts: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
-    """How many values of a label two texts must share: DEPTH, shortened until copies at the threshold are found with the target recall.
+    """How many values of a label two texts must share: DEPTH, shortened until pairs at the threshold are found with the target recall.
 
-    The copies are of about SAMPLED_TEXTS texts. Both their measured and their
-    expected recall must reach the target, as few misses do not show in a sample.
+    What the law gives for a pair whose similarity is the threshold itself must
+    reach the target, whatever the corpus, so that short texts count as long
+    ones do. So must what is measured, on copies of about SAMPLED_TEXTS texts.
     """
     sampled = texts.select("text").sample(min(1.0, SAMPLED_TEXTS / max(1, texts.count())), 1)
-    seen = sampled.mapInArrow(_trial(threshold), "depth int, n long, found long, expected double").groupBy("depth").agg(F.sum("n"), F.sum("found"), F.sum("expected")).collect()
-    good = [depth for depth, n, found, expected in seen if min(found, expected) >= recall * n]
-    return max(good, default=1) if seen else DEPTH
+    seen = sampled.mapInArrow(_trial(threshold), "depth int, n long, found long").groupBy("depth").agg(F.sum("n"), F.sum("found")).collect()
+    law = [depth for depth in range(1, DEPTH + 1) if 1 - (1 - threshold**depth) ** TREES >= recall]
+    measured = [depth for depth, n, found in seen if found >= recall * n]
+    return min(max(law, default=1), max(measured, default=1)) if seen else max(law, default=1)
 
 
 def _signer(depth: int):
@@ -368,7 +371,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     candidates = candidates.join(materialize(_blocks(candidates, threshold), "forest-blocks"), ["comp", "rank"]).withColumn("mine", F.col("begin") + F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
     candidates = candidates.select("comp", "node", "copies", "mine", "low", "high", F.col("one.doc_id").alias("of_id"), F.col("one.text_hash").alias("of_hash"))
     own = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash"))
-    chosen = texts.join(candidates, own).select("comp", "node", "copies", "mine", "low", "high", "text")
+    # a row that is repeated as a whole brings its set's node once; partial aggregates collapse it before texts are shuffled
+    chosen = texts.join(candidates, own).select("comp", "node", "copies", "mine", "low", "high", "text").dropDuplicates(["node"])
     found = chosen.mapInArrow(_sets, "comp long, node long, copies long, mine int, low int, high int, found binary")
     dealt = found.withColumn("other", F.explode(F.expr("sequence(low, high - 1)")))
     dealt = dealt.select("comp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "copies", "found", (F.col("high") - F.col("low") > 1).alias("several"))
@@ -402,7 +406,9 @@ def keep_first(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     judged = near_duplicates(docs, threshold)
     kept = judged.where("first").groupBy(F.struct(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).alias("key")).agg((F.max("copies") > 1).alias("copied"))
+    kept = materialize(kept, "forest-kept")
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.struct(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("hash")).alias("row_key"))
     rows = rows.join(kept, F.col("row_key.id").eqNullSafe(F.col("key.id")) & (F.col("row_key.hash") == F.col("key.hash")))
-    nth = F.row_number().over(Window.partitionBy("row_key").orderBy("row_key"))
-    return rows.withColumn("nth", nth).where("nth = 1 OR NOT copied").select("row.*")
+    # of rows that repeat an id and a text one stays, with partial aggregates; all others pass as they are, as many as have one id
+    one = rows.where("copied").groupBy("row_key").agg(F.first("row").alias("row")).select("row.*")
+    return rows.where("NOT copied").select("row.*").unionByName(one)

@@ -89,7 +89,9 @@ def test_prefixes_are_shortened_until_pairs_at_the_threshold_are_found(spark):
     df = spark.createDataFrame([(" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(50, 400))),) for _ in range(300)] + [(None,), ("one",)], "text string").repartition(3)
     depth = N.prefix_depth(df)
     assert 1 < depth < N.prefix_depth(df, 0.95) <= N.DEPTH and N.prefix_depth(df, recall=0.9) > depth
-    assert N.prefix_depth(df.limit(0)) == N.DEPTH
+    assert 1 < N.prefix_depth(df.limit(0)) <= depth + 1
+    short = spark.createDataFrame([(" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(1, 12))),) for _ in range(300)], "text string")
+    assert N.prefix_depth(short) <= depth and N.prefix_depth(df.select("text").unionByName(short)) <= depth
     rng, missed = np.random.default_rng(3), 0
     for _ in range(2000):
         both, a, b = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (160, 20, 20))  # 160 of 200
@@ -168,3 +170,48 @@ def test_components(spark):
             parent[max(x, y)] = min(x, y)
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in parent}
+
+
+@pytest.mark.parametrize("block", [1024, 8])
+def test_repeated_rows_beside_near_copies(spark, monkeypatch, block):
+    """Whole rows, null ids among them, many times over, each beside texts that are near it."""
+    monkeypatch.setattr(N, "BLOCK_TEXTS", block)
+    rng, rows = random.Random(8), []
+    for group in range(12):
+        words = [f"g{group}w{i}" for i in range(60)]
+        for k in range(rng.randint(1, 12)):
+            text = " ".join(words[: 60 - k])
+            rows += [(rng.choice([None, group * 20 + k]), text)] * rng.choice([1, 1, 2, 30])
+    n_links, root = plain([t for _, t in rows])
+    classes = {}
+    for (i, _), r in zip(rows, root, strict=True):
+        classes[r] = min((x for x in (classes.get(r), i) if x is not None), default=None)
+    want = sorted(((i, t, classes[r], n) for (i, t), r, n in zip(rows, root, n_links, strict=True)), key=str)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    hashed = {r.h: r.text for r in df.selectExpr("xxhash64(text) AS h", "text").collect()}
+    got = sorted(((r.doc_id, hashed[r.text_hash], r.class_id, r.n_links) for r in N.near_duplicates(df).collect()), key=str)
+    assert got == want
+    kept = N.keep_first(df).collect()
+    assert len(kept) == len(set(root)) and {r.text for r in kept} <= set(hashed.values())
+
+
+@pytest.mark.parametrize("mixed", [False, True])
+def test_short_texts_at_the_threshold_are_found(spark, mixed):
+    """Pairs of 4 to 20 shingles at a similarity of 0.8 exactly, alone and beside long texts."""
+    rng = random.Random(4)
+    some = lambda n: [f"w{rng.randint(0, 10**7)}" for _ in range(n)]
+    rows = []
+    for pair in range(1500):
+        shingles = rng.choice([5, 10, 15, 20])  # the one set has these, the other four fifths of them
+        words = some(shingles + 4)
+        rows += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(words[: len(words) - shingles // 5]))]
+    long = [(10_000 + i, " ".join(some(rng.randint(300, 600)))) for i in range(600 if mixed else 0)]
+    got = {r.doc_id: r.n_links for r in N.near_duplicates(spark.createDataFrame(rows + long, "doc_id long, text string").repartition(4)).collect()}
+    assert sum(got[2 * pair] for pair in range(1500)) >= 0.999 * 1500 and sum(got[i] for i, _ in long) == 0
+
+
+def test_a_text_of_megabytes(spark):
+    rng = random.Random(5)
+    words = [f"w{rng.randint(0, 10**6)}" for _ in range(400_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-20_000])), (3, " ".join(words[:300_000]))]
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [(1, 1, 1), (2, 1, 1), (3, 3, 0)]
