@@ -49,9 +49,12 @@ REMEMBERED = 200_000
 ROWS = 20_000
 #: Splitters come from about so many texts; zones are dealt to so many buckets for each shuffle partition.
 SAMPLED_TEXTS, SPREAD = 8_000, 4
+#: Of their zones so many at most, those of the least hashes, go to the driver.
+SAMPLED_ZONES = 100_000
 
 # A zone's place in one number: 25 bits of its text's length, the first window, the number of windows. Rows that repeat
-# an id are told apart by that length and by the whole hash of the text, in a column of its own.
+# an id are told apart by these bits (of texts over 32 MB the upper ones are dropped) and by the 64-bit hash of the whole
+# text, in a column of its own.
 WIDE, LENGTH_BITS = 7, 25
 
 
@@ -356,9 +359,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def _splitters(texts: DataFrame, zone: str, buckets: int) -> list[bytes]:
-    """Cuts of the zones' keys into ``buckets``, from those of about SAMPLED_TEXTS texts, which go to the driver in part."""
+    """Cuts of the zones' keys into ``buckets``, from SAMPLED_ZONES at most of those of about SAMPLED_TEXTS texts."""
     sampled = texts.sample(min(1.0, SAMPLED_TEXTS / max(1, texts.count())), 1).mapInArrow(_zones, zone)
-    found = sampled.where(F.pmod(F.xxhash64("zone", "place", "text_hash"), F.lit(8)) == 0).select("anchor", "zone", "text_hash").toArrow()
+    found = sampled.select("anchor", "zone", "text_hash").orderBy(F.xxhash64("zone", "place", "text_hash")).limit(SAMPLED_ZONES).toArrow()
     keys = np.sort(_keys(*(c.to_numpy() for c in found.columns)))
     return np.unique(keys[[len(keys) * i // buckets for i in range(1, buckets)]]).tolist() if len(keys) else []
 
@@ -371,10 +374,11 @@ def _spans(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("whole_hash", F.xxhash64("text"))
     own_length = F.octet_length("text").cast("long").bitwiseAND((1 << LENGTH_BITS) - 1)
 
-    # texts that are equal as a whole; only their ids and hashes are dealt out
-    lengths = texts.select("doc_id", "whole_hash", F.octet_length("text").cast("long").alias("n")).where(F.col("n") >= WINDOW)
-    several = materialize(lengths.groupBy("whole_hash", "n").agg(F.count("*").alias("copies")).where("copies > 1"), "repeat-copies")
-    copied = lengths.join(several, ["whole_hash", "n"]).select("doc_id", F.shiftleft(F.col("n").bitwiseAND((1 << LENGTH_BITS) - 1), 38).alias("place"), F.lit(0).cast("long").alias("first"), "n", F.col("whole_hash").alias("text_hash"))
+    # texts that are equal as a whole, by 128 bits of hashes and the length; only their ids and hashes are dealt out, and of rows
+    # that are repeated as a whole one, as its span is that of all
+    lengths = texts.select("doc_id", "whole_hash", F.xxhash64(F.lit(1), "text").alias("more_hash"), F.octet_length("text").cast("long").alias("n")).where(F.col("n") >= WINDOW)
+    several = materialize(lengths.groupBy("whole_hash", "more_hash", "n").agg(F.count("*").alias("copies")).where("copies > 1"), "repeat-copies")
+    copied = lengths.join(several, ["whole_hash", "more_hash", "n"]).distinct().select("doc_id", F.shiftleft(F.col("n").bitwiseAND((1 << LENGTH_BITS) - 1), 38).alias("place"), F.lit(0).cast("long").alias("first"), "n", F.col("whole_hash").alias("text_hash"))
 
     zone = f"anchor long, zone long, doc_id {kind}, place long, text_hash long"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -412,8 +416,9 @@ def _spans(docs: DataFrame) -> DataFrame:
         hits = found.where("NOT edge").select(*where).unionByName(edges.select(*where))
         spans = spans.unionByName(hits.withColumn("n", F.lit(WINDOW).cast("long")))
     whole = alike.where("whole").select("doc_id", "text_hash", "place", F.expr(f"shiftright(place, {WIDE}) & {(1 << 31) - 1}L").alias("first"), F.expr(f"(place & {(1 << WIDE) - 1}L) + {WINDOW - 1}L").alias("n"))
-    gathered = whole.unionByName(copied).unionByName(spans).groupBy(*of_text).agg(F.collect_list(F.struct("first", "n")).alias("spans"))
-    return texts.join(gathered, own, "left").select("doc_id", "text", "spans")
+    gathered = whole.unionByName(copied).unionByName(spans).groupBy(*of_text).agg(F.collect_set(F.struct("first", "n")).alias("spans"))
+    # written, so that the join has exchanges of its own, and a text that very many rows repeat can be split
+    return texts.join(materialize(gathered, "repeat-spans"), own, "left").select("doc_id", "text", "spans")
 
 
 def digests(docs: DataFrame) -> DataFrame:

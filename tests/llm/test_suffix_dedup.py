@@ -116,3 +116,22 @@ def test_texts_over_several_chunks(spark):
     texts = [made(A.CHUNK - 300) + "1" + passage + "2" + made(A.CHUNK), made(2 * A.CHUNK + 99) + "3" + passage + "4" + made(50), made(900)]
     got = {r.doc_id: (r.n_removed, r.n_spans, bytes(r.kept)) for r in S.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got == {i: ((700, 1, t.replace(passage, "").encode()) if passage in t else (0, 0, t.encode())) for i, t in enumerate(texts)}
+
+
+def test_very_many_equal_rows(spark):
+    """A hundred thousand rows of one text and one id, among others, in linear time."""
+    made = lambda k: " ".join(hashlib.sha512(f"{k} {j}".encode()).hexdigest() for j in range(5))
+    equal, part = made("equal"), made("part")
+    rows = spark.range(100_000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", f"'{equal}' AS text")
+    rows = rows.unionByName(spark.createDataFrame([(1, made("one")), (2, "x" + part[:300]), (2, "x" + part[:300]), (3, part[100:] + "y")], "doc_id long, text string"))
+    got = S.remove_repeats(rows).groupBy("doc_id", "n_bytes", "n_removed", "n_spans").count().collect()
+    n = len(equal)
+    assert {tuple(r) for r in got} == {(None, n, n, 1, 100_000), (1, n, 0, 0, 1), (2, 301, 301, 1, 2), (3, n - 99, 200, 1, 1)}
+
+
+def test_a_text_of_megabytes(spark):
+    rng = random.Random(7)
+    long = "".join(rng.choices("abcdefgh ", k=3_000_000))
+    rows = [(1, long), (2, "start" + long[1_000_000:2_500_000] + "end")]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (3_000_000, 1_500_000, 1), 2: (1_500_008, 1_500_000, 1)}
