@@ -40,8 +40,9 @@ D = len(FEATURES)
 #: Added to each variance: differences below these are not held against a text, and
 #: a statistic that is the same in every text of a cell does not make the spread singular.
 LEAST_SPREAD = {"log_words": 0.25, "log_word_chars": 0.08, "symbol_share": 0.05, "dup_line_share": 0.1, "repeat_share": 0.1}
-#: Concentration steps go on until no log determinant falls by more than this, which comes by itself; at this many they are broken off.
-FALL, MOST_STEPS = 1e-2, 200
+#: Concentration steps go on until no determinant falls, by more than rounding can let its logarithm fall. As each takes
+#: another half of the rows, with a lesser determinant, that comes by itself; so many steps without it are an error.
+ROUNDING, MOST_STEPS = 1e-9, 500
 #: Starts, all from medians: statistics taken as independent, and correlated as their hyperbolic tangents or directions are.
 STARTS = ("apart", "tanh", "sign")
 #: Correlations of a start are drawn towards 0 by this.
@@ -242,9 +243,11 @@ def robust_estimates(vectors: DataFrame) -> DataFrame:
         # where the determinant does not fall, the estimate before stays
         after = _concentrated(vectors, estimate.drop("fell"), step)
         both = estimate.alias("a").join(after.alias("b"), ["cell", "start"])
-        fell = F.col("b.log_det") < F.col("a.log_det") - FALL
+        fell = F.col("b.log_det") < F.col("a.log_det") - ROUNDING
         chosen = [F.when(fell, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c) for c in ("scale", "log_det", *_ESTIMATE)]
         estimate = _kept(both.select("cell", "start", *chosen, fell.alias("fell")), f"mcd-chosen-{step}")
+    else:
+        raise RuntimeError(f"determinants still fall after {MOST_STEPS} concentration steps")
     best = F.min(F.struct("log_det", "start", "scale", *_ESTIMATE)).alias("best")
     return _kept(estimate.groupBy("cell").agg(best).select("cell", "best.scale", *(f"best.{c}" for c in _ESTIMATE)), "mcd-best")
 

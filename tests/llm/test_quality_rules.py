@@ -115,7 +115,7 @@ def plain_estimates(cells):
     fell = True
     while fell:
         after = {k: step(cells[k[0]], *v[:2]) for k, v in now.items()}
-        better = {k: v for k, v in after.items() if v[3] < now[k][3] - Q.FALL}
+        better = {k: v for k, v in after.items() if v[3] < now[k][3] - 1e-9}  # a rule of its own
         now, fell = now | better, bool(better)
     best = {}
     for (name, _), v in sorted(now.items(), key=lambda kv: (kv[1][3], kv[0][1])):
@@ -165,3 +165,11 @@ def test_junk_in_large_parts_of_a_cell_goes(spark, share):
         rows.append((i, " ".join(words), "en", "s1", "", 0))
     got = Q.judge(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
     assert {r.doc_id for r in got if not r.kept} == junk
+
+
+def test_steps_without_end_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(Q, "MOST_STEPS", 1)
+    rng = np.random.default_rng(6)
+    rows = [("a", *map(float, x)) for x in rng.normal(size=(200, Q.D))]
+    with pytest.raises(RuntimeError, match="still fall"):
+        Q.robust_estimates(spark.createDataFrame(rows, "cell string, " + ", ".join(f"{f} double" for f in Q.FEATURES)))
