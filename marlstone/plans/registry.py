@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.plans import catalog, effects, relational
+from marlstone.plans import catalog, effects, relational, scale
 
-QUERIES: dict[str, catalog.Query] = catalog.QUERIES | relational.QUERIES | effects.QUERIES
-ORACLES: dict[str, str] = catalog.ORACLES | relational.ORACLES | effects.ORACLES
+QUERIES: dict[str, catalog.Query] = catalog.QUERIES | relational.QUERIES | effects.QUERIES | scale.QUERIES
+ORACLES: dict[str, str] = catalog.ORACLES | relational.ORACLES | effects.ORACLES | scale.ORACLES

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from marlstone.functions.python import cut_words, gini
 from marlstone.sources import read_files, shared_path, table, write_files
-from marlstone.streaming import event_stream, since_last, windowed
+from marlstone.streaming import drained, event_stream, since_last, windowed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,9 +77,9 @@ FROM orders JOIN (VALUES {", ".join(map(str, BANDS))}) b(band, least, below) ON
 
 
 def priority_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A chain of joins, each by the strategy that its sides call for: two large ones by sorting, a small one by broadcast."""
-    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
-    named = lines.join(table(spark, sf_dir, "supplier").hint("shuffle_hash"), F.col("l_suppkey") == F.col("s_suppkey"))
+    """A chain of joins, each by the strategy that its sides call for: Spark broadcasts those that it measures to be small, and sorts the large ones."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    named = lines.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     nation = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))  # 25 rows at every scale
     return named.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_name", "o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
@@ -281,18 +281,16 @@ FROM events, range(2) r(i) GROUP BY 1, 2
 
 
 def purchase_after_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stateful operator on a stream: seconds from each user's last error to a purchase. The stream is read to its end."""
-    out, state = shared_path(spark, "stream-out"), shared_path(spark, "stream-state")
-    found = since_last(event_stream(spark, sf_dir), "error", "purchase")
-    found.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(found.schema).parquet(out)
+    """A stateful operator on a stream: seconds from each user's last error to a purchase. The stream is read to its end; purchases of its last hour still wait."""
+    return drained(since_last(event_stream(spark, sf_dir), "error", "purchase"), "since-last")
 
 
 PURCHASE_AFTER_ERROR = """
-WITH e AS (SELECT event_id, user_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events)
-SELECT p.event_id, p.user_id, p.s - max(x.s) AS seconds
-FROM (SELECT * FROM e WHERE event_type = 'purchase') p LEFT JOIN (SELECT * FROM e WHERE event_type = 'error') x ON p.user_id = x.user_id AND (x.s < p.s OR (x.s = p.s AND x.event_id < p.event_id))
-GROUP BY p.event_id, p.user_id, p.s
+WITH e AS (SELECT event_id, user_id, event_type, epoch_us(ts) // 1000 AS ms FROM events WHERE event_type IN ('error', 'purchase'))
+SELECT p.event_id, p.user_id, p.ms // 1000 - max(x.ms) // 1000 AS seconds
+FROM (SELECT * FROM e WHERE event_type = 'purchase' AND ms <= (SELECT max(ms) FROM e) - 3600000) p
+LEFT JOIN (SELECT * FROM e WHERE event_type = 'error') x ON p.user_id = x.user_id AND (x.ms < p.ms OR (x.ms = p.ms AND x.event_id < p.event_id))
+GROUP BY p.event_id, p.user_id, p.ms
 """
 
 FORMATS = ("csv", "json", "orc", "parquet")

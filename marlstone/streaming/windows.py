@@ -18,3 +18,16 @@ def windowed(events: DataFrame, size: str = "1 day", slide: str | None = None, l
     at = F.window("ts", size, slide) if slide else F.window("ts", size)
     found = events.withWatermark("ts", late).groupBy(at.alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
     return found.select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
+
+
+def sessions(events: DataFrame, gap: str = "1 day", late: str = "1 hour") -> DataFrame:
+    """(user_id, session_start, session_end, n, total): rows of a user that follow each other within ``gap``; the end is that of the gap.
+
+    The same plan for a table and a stream. On a stream the states of sessions
+    that a row joins are merged, a session comes out when the watermark has
+    passed its end, and rows later than ``late`` are dropped. Rows without a
+    user or a time are left out.
+    """
+    known = events.where("user_id IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", late)
+    found = known.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    return found.select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n", "total")

@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from marlstone.operators import joins
+from marlstone.operators import joins, spans
 
 
 def frames(spark):
@@ -37,3 +37,25 @@ def test_sessions_and_top(spark):
     got = sorted((r.k, r.t, r.session) for r in joins.sessions(df, ["k"], "t", 10).collect())
     assert got == [("a", 1, 1), ("a", 5, 1), ("a", 20, 2), ("a", 30, 2), ("b", 3, 1)]
     assert sorted((r.k, r.t, r["rank"]) for r in joins.top(df, ["k"], [F.desc("t")], 2).collect()) == [("a", 20, 2), ("a", 30, 1), ("b", 3, 1)]
+
+
+def test_overlaps(spark):
+    rng = random.Random(9)
+    made = lambda n, name: [(i, rng.choice([1, 1, 1, 2, None]), s, None if rng.random() < 0.02 else s + rng.choice([0, 1, 2, 5, 30, 1000, 100_000, -3])) for i in range(n) for s in [rng.choice([rng.randint(-60, 60), rng.randint(-40_000, 40_000)])]]  # noqa: E731, ARG005
+    left, right = made(150, "a"), made(130, "b")
+    a = spark.createDataFrame(left, "i int, k int, s long, e long").repartition(3)
+    b = spark.createDataFrame(right, "j int, k int, f long, g long")
+    got = sorted((r.i, r.j) for r in spans.overlaps(a, b, ["k"], ("s", "e"), ("f", "g")).collect())
+    want = sorted((i, j) for i, k, s, e in left for j, q, f, g in right if None not in (k, q, e, g) and k == q and s < e and f < g and s < g and f < e)
+    assert got == want and len(want) > 500
+    assert spans.overlaps(a.limit(0), b, ["k"], ("s", "e"), ("f", "g")).collect() == []
+
+
+def test_at_most(spark):
+    rng = random.Random(10)
+    left = [(i, rng.choice([None, *range(12)])) for i in range(70)]
+    right = [(rng.choice([None, *range(12)]), rng.choice([None, 1, 7])) for _ in range(200)]
+    a, b = spark.createDataFrame(left, "i int, v int"), spark.createDataFrame(right, "w int, m int")
+    got = {r.i: (r.n, r.total) for r in spans.at_most(a, b, "v", "w", {"n": F.lit(1).cast("long"), "total": F.col("m").cast("long")}).collect()}
+    below = lambda v: [m for w, m in right if v is not None and w is not None and w <= v]
+    assert got == {i: (len(below(v)), sum(m or 0 for m in below(v))) for i, v in left}

@@ -168,3 +168,51 @@ def test_lag_over_gaps(spark):
     values = {(r[0], r[1]): r[2] for r in rows}
     got = {(r.entity, r.period): r.x_lag1 for r in panel.lagged(frame(spark, rows), "x").collect()}
     assert got == {(i, p): values.get((i, p - 1)) for i, p in values}
+
+
+def dummies(rows):
+    """(coefficient, residuals, x beside the dummies) of y on x with a dummy for each entity and period."""
+    entities, periods = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
+    d = np.array([[float(r[0] == e) for e in entities] + [float(r[1] == p) for p in periods] for r in rows])
+    y, x = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+    off = lambda v: v - d @ np.linalg.lstsq(d, v, rcond=None)[0]
+    y, x = off(y), off(x)
+    b = (x @ y) / (x @ x)
+    return b, y - b * x, x
+
+
+def test_effects_of_a_chain_converge(spark):
+    """Each entity is seen in three periods in a row: means taken off in turn would need hundreds of rounds."""
+    rng = np.random.default_rng(2)
+    rows = [(e, t, float(2 * (z := rng.normal() + e * t / 9) + e + 3 * t + rng.normal()), float(z)) for e in range(16) for t in (e, e + 1, e + 2)]
+    frame = spark.createDataFrame(rows, "entity int, period int, y double, x double")
+    got = regression.two_way(frame, "y", ["x"], clustered=True)
+    b, left, x = dummies(rows)
+    assert abs(got.coefficients["x"] - b) < 1e-8 * abs(b)
+    scores = np.array([sum(u * v for (e, *_), u, v in zip(rows, x, left, strict=True) if e == i) for i in range(16)])
+    assert abs(got.errors["x"] / (np.sqrt((scores**2).sum() * 16 / 15) / (x @ x)) - 1) < 1e-6 and got.free == 15
+    with pytest.raises(RuntimeError, match="not separated within 2 rounds"):
+        regression.demeaned(frame, ["x"], False, rounds=2)
+
+
+def test_tails():
+    from marlstone.functions.tails import f_upper, t_two_sided
+
+    for t, free, p in ((12.706, 1, 0.05), (2.228, 10, 0.05), (2.750, 30, 0.01), (1.96, 1e7, 0.05), (0.0, 5, 1.0)):
+        assert abs(t_two_sided(t, free) - p) < 2e-4 and t_two_sided(-t, free) == t_two_sided(t, free)
+    for f, a, b, p in ((4.965, 1, 10, 0.05), (3.326, 5, 10, 0.05), (2.534, 5, 30, 0.05), (0.0, 2, 2, 1.0)):
+        assert abs(f_upper(f, a, b) - p) < 2e-4
+
+
+def test_equal_slopes(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, float(x), float(slope * x + rng.normal())) for g, slope in (("a", 1.0), ("b", 1.0), ("c", 1.0)) for x in rng.normal(size=40)]
+    same = regression.equal_slopes(spark.createDataFrame(rows, "g string, x double, y double"), F.col("y"), F.col("x"), F.col("g"))
+    other = regression.equal_slopes(spark.createDataFrame([*rows, *((("d", float(x), float(5 * x + rng.normal()))) for x in rng.normal(size=40)), (None, 1.0, 1.0), ("e", 1.0, 1.0)], "g string, x double, y double"), F.col("y"), F.col("x"), F.col("g"))
+    # the same by two fits on dummies: with one slope, and with a slope for each group
+    groups = sorted({r[0] for r in rows})
+    y, x, d = np.array([r[2] for r in rows]), np.array([r[1] for r in rows]), np.array([[float(r[0] == g) for g in groups] for r in rows])
+    rest = lambda m: float(((y - m @ np.linalg.lstsq(m, y, rcond=None)[0]) ** 2).sum())
+    one, each = rest(np.column_stack([d, x])), rest(np.column_stack([d, d * x[:, None]]))
+    assert abs(same.f / ((one - each) / 2 / (each / (120 - 6))) - 1) < 1e-9 and (same.above, same.below) == (2, 114)
+    assert same.p > 0.01 and other.p < 1e-6 and other.groups == 4
