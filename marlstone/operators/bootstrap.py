@@ -4,25 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from marlstone.functions.stats import draw
+from marlstone.operators.order import numbered
 from marlstone.operators.regression import demeaned
+from marlstone.sources import materialize
 
 
 def draws(entities: DataFrame, replicates: int, seed: int) -> DataFrame:
     """(replicate, entity, times): each replicate draws as many entities as there are, with replacement.
 
     Draws come from MD5, so they are the same wherever and however often they
-    are made. Entities are numbered by their order, in one window over one
-    number an entity.
+    are made. Entities are numbered by their order over ranges of it, and
+    draws are made where the numbers lie: no task or row holds all entities.
     """
-    numbered = entities.select("entity").distinct().withColumn("number", F.row_number().over(Window.orderBy("entity")) - 1)
-    n = entities.select("entity").distinct().count()
-    spark = entities.sparkSession
-    made = spark.range(replicates).select(F.col("id").alias("replicate"), F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1))).alias("i"))
+    known = materialize(numbered(entities.select("entity").distinct(), ["entity"], row_number="number").withColumn("number", F.col("number") - 1), "entities")
+    n = known.count()
+    made = known.select(F.col("number").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))).alias("replicate"))
     made = made.select("replicate", draw(seed, F.col("replicate"), F.col("i"), F.lit(max(n, 1))).alias("number"))
-    return made.groupBy("replicate", "number").agg(F.count("*").alias("times")).join(numbered, "number").select("replicate", "entity", "times")
+    return made.groupBy("replicate", "number").agg(F.count("*").alias("times")).join(known, "number").select("replicate", "entity", "times")
 
 
 def mediated(panel: DataFrame, y: str, x: str, mediator: str, replicates: int, seed: int) -> DataFrame:

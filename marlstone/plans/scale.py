@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.operators import panel, regression
+from marlstone.operators.colocated import co_located, may_match
+from marlstone.operators.folds import fold
 from marlstone.operators.order import numbered
 from marlstone.operators.spans import at_most, overlaps
 from marlstone.sources import materialize, table
@@ -134,5 +138,71 @@ s AS (SELECT count(*) AS g, CAST(sum(n) AS BIGINT) AS n, sum(syy - b * b * sxx)
 SELECT round(common, 6) AS common, round((SELECT sum((b - common) ** 2 * sxx) FROM m) / (g - 1) / (rest / (n - 2 * g)), 6) AS f, g - 1 AS above, n - 2 * g AS below, g AS groups, n FROM s
 """
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (order_numbers, shipping_overlaps, lines_below, closed_sessions, errors_followed, customer_effects, slopes_test)}
+
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A join and a grouping without a shuffle: lines and orders, bucketed by order, and of each order its lines, pieces and late lines."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", F.to_date("l_shipdate").alias("l_ship"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("o_day"))
+    lines, orders, on = co_located(lines, orders, "l_orderkey", "o_orderkey")
+    late = F.count_if(F.date_diff("l_ship", "o_day") > 60).alias("late")
+    return lines.join(orders, on).groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("pieces"), late)
+
+
+ORDER_LINES = """
+SELECT l_orderkey, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS pieces, count(*) FILTER (CAST(l_shipdate AS DATE) - CAST(o_orderdate AS DATE) > 60) AS late
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1
+"""
+
+
+def urgent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Bloom filter ahead of an exchange: lines of urgent orders of 300,000 or more, by customer. Most lines are left out before they are shuffled."""
+    orders = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' AND o_totalprice >= 300000").select("o_orderkey", "o_custkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice")
+    found = may_match(lines, orders, "l_orderkey", "o_orderkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return found.groupBy("o_custkey").agg(F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
+
+
+URGENT_LINES = """
+SELECT o_custkey, count(*) AS n, round(sum(l_extendedprice), 2) AS total
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT' AND o_totalprice >= 300000 GROUP BY 1
+"""
+
+#: A price in cents that best_stretches measures orders against.
+FAIR = 15_000_000
+
+
+def stretch(values: pa.RecordBatch) -> tuple[int, ...]:
+    """Of numbers in a row: how many; their sum; the greatest sums of a stretch, of one from the start and of one to the end; the longest runs above 0, likewise."""
+    v = values.column(0).to_numpy()
+    sums = np.concatenate([[0], np.cumsum(v)])
+    best = int((sums[1:] - np.minimum.accumulate(sums[:-1])).max())
+    stops = np.flatnonzero(v <= 0)
+    gaps = np.diff(np.concatenate([[-1], stops, [len(v)]])) - 1
+    return len(v), int(sums[-1]), best, int(sums[1:].max()), int(sums[-1] - sums[:-1].min()), int(gaps.max()), int(gaps[0]), int(gaps[-1])
+
+
+def join_stretches(a: tuple[int, ...], b: tuple[int, ...]) -> tuple[int, ...]:
+    n, total, best, head, tail, run, starts, ends = zip(a, b, strict=True)
+    return (
+        sum(n), sum(total), max(*best, tail[0] + head[1]), max(head[0], total[0] + head[1]), max(tail[1], total[1] + tail[0]),
+        max(*run, ends[0] + starts[1]), starts[0] + starts[1] if starts[0] == n[0] else starts[0], ends[0] + ends[1] if ends[1] == n[1] else ends[1],
+    )
+
+
+def best_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A two-phase aggregate of Python over groups of any size: of each priority's orders in time, the stretch that lies most above FAIR in sum, and the longest run of orders above it."""
+    above = (F.round(F.col("o_totalprice") * 100).cast("long") - FAIR).alias("above")
+    orders = table(spark, sf_dir, "orders").select("o_orderpriority", F.to_date("o_orderdate").alias("day"), "o_orderkey", above)
+    state = "n long, total long, best long, head long, tail long, longest long, starts long, ends long"
+    return fold(orders, ["o_orderpriority"], ["day", "o_orderkey"], ["above"], state, stretch, join_stretches).select("o_orderpriority", "n", "total", "best", "longest")
+
+
+BEST_STRETCHES = f"""
+WITH v AS (SELECT o_orderpriority, CAST(round(o_totalprice * 100) AS BIGINT) - {FAIR} AS x, row_number() OVER (PARTITION BY o_orderpriority ORDER BY CAST(o_orderdate AS DATE), o_orderkey) AS i FROM orders),
+c AS (SELECT *, sum(x) OVER w AS s, i - max(CASE WHEN x <= 0 THEN i ELSE 0 END) OVER w AS run FROM v WINDOW w AS (PARTITION BY o_orderpriority ORDER BY i)),
+b AS (SELECT *, s - least(0, coalesce(min(s) OVER (PARTITION BY o_orderpriority ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS best FROM c)
+SELECT o_orderpriority, count(*) AS n, CAST(sum(x) AS BIGINT) AS total, CAST(max(best) AS BIGINT) AS best, CAST(max(run) AS BIGINT) AS longest FROM b GROUP BY 1
+"""
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (order_numbers, shipping_overlaps, lines_below, closed_sessions, errors_followed, customer_effects, slopes_test, order_lines, urgent_lines, best_stretches)}
 ORACLES: dict[str, str] = {name: globals()[name.upper()] for name in QUERIES}

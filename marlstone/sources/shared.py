@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 _made: list[tuple[SparkSession, str]] = []
+_tables: list[tuple[SparkSession, str]] = []
 
 
 def _root(spark: SparkSession) -> str:
@@ -53,11 +54,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, keys: list[str], buckets: int) -> DataFrame:
+    """Writes ``df`` once to the shared folder in ``buckets`` by a hash of ``keys``, and returns a reader that knows of them.
+
+    It is one shuffle, so that each bucket is one file. The catalog has it as an external table, until ``clear`` or the driver's end.
+    """
+    table = f"marlstone_{name}_{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, name)
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).option("path", path).format("parquet").saveAsTable(table)
+    _tables.append((df.sparkSession, table))
+    return df.sparkSession.table(table)
+
+
 def clear(spark: SparkSession) -> None:
     """Removes all that was written to the shared folder for ``spark`` so far. Frames that read it can't be used any more.
 
     A session that lives on calls this when it is done with a query's result.
     """
+    for made in [t for t in _tables if t[0] is spark]:
+        spark.sql(f"DROP TABLE IF EXISTS {made[1]}")
+        _tables.remove(made)
     for made in [m for m in _made if m[0] is spark]:
         remove(*made)
         _made.remove(made)
@@ -65,6 +81,9 @@ def clear(spark: SparkSession) -> None:
 
 @atexit.register
 def _clean() -> None:
+    for spark, name in _tables:
+        with contextlib.suppress(Exception):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
     for spark, path in _made:
         with contextlib.suppress(Exception):  # what can't be removed keeps nothing else from being
             remove(spark, path)
