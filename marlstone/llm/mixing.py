@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marlstone.llm.native import let, words
+from marlstone.operators.order import numbered
 from marlstone.sources import materialize
 
 #: Weights of the sources in order, repeating; the mix's size over that of all sources; the most passes over a source.
@@ -29,6 +30,8 @@ WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 #: A block is about so many words, and so many documents, at most; a shard about so many words.
 BLOCK_WORDS, BLOCK_DOCS, SHARD_WORDS = 100_000, 10_000, 50_000_000
 SEED = 20_240_101
+#: Columns that a row has on its way; those of the input with these names don't pass.
+PASSING = ("blocks", "passes", "reached", "shards", "cut_hash", "cut_size", "cut_copies", "cut_taken", "split_copies", "more", "own", "nth", "sets_ahead")
 #: The tree is split as far as so many nodes in one task, and each of these in one of its own.
 TOP = 256
 
@@ -127,14 +130,19 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source:
     words. Columns of ``docs`` with these names are replaced. Without
     ``with_text`` only id_column is kept of ``docs``, and no text is shuffled.
 
-    Rows meet by block, and blocks have bounded words and rows, so a source of
-    any size is spread over as many tasks as it has blocks.
+    Rows that repeat an id, a text and a source are one row with a number of copies to all that plans
+    the mix; of the copies at which the quota runs out, as many are taken as fit, those
+    with the least hashes of their row. Blocks have bounded words and rows but for copies. They are put in
+    order, and their words added up, by ranges of that order, and a row learns from its
+    block alone whether it is taken, without a window, so that neither
+    a source nor a set of copies of any size is one task's.
     """
-    made = ["size", "source_size", "target", "taken", "draws", "mix_key", "mix_hash", "mix_block"]
+    made = ["size", "source_size", "target", "taken", "draws", "mix_key", "mix_hash", "mix_block", *PASSING]
     docs = docs.drop(*made)
     keyed = {"size": count_words(text), "mix_key": F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("null")), "mix_hash": _draw(F.concat(F.lit(f"{SEED}|"), F.coalesce(F.col(id_column).cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col(text), F.lit(""))))}
     skinny = materialize(docs.select(id_column, F.col(source).alias("source"), text).withColumns(keyed).drop(text), "mix-sizes")
-    sums = skinny.groupBy("source", "mix_key").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    sets = materialize(skinny.groupBy("source", "mix_key", "mix_hash", "size").agg(F.count("*").alias("copies")), "mix-sets")
+    sums = sets.groupBy("source", "mix_key").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.sum("copies").alias("n"))
     blocks_of = F.ceil(F.greatest(F.col("source_size") / BLOCK_WORDS, F.col("n") / BLOCK_DOCS)).cast("long").alias("blocks")
     quota = F.least(F.round("target").cast("long"), MOST * F.col("source_size"))
     passes = F.when(F.col("source_size") > 0, F.expr("quota DIV source_size")).otherwise(0)
@@ -142,13 +150,27 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source:
     sources = materialize(sources.drop("source", "n"), "mix-sources")
 
     block = F.pmod("mix_hash", "blocks").alias("mix_block")
-    sized = skinny.join(sources, "mix_key").groupBy("mix_key", block).agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("passes").alias("passes"))
-    permuted = Window.partitionBy("mix_key").orderBy(_draw(F.concat(F.lit(f"{SEED}|"), F.col("mix_block").cast("string"))), "mix_block")
-    before = F.coalesce(F.sum("words").over(permuted.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    dealt = sets.join(sources, "mix_key").select("mix_key", block, "mix_hash", "size", "copies", "rest", "passes")
+    sized = dealt.groupBy("mix_key", "mix_block").agg(F.sum(F.col("size") * F.col("copies")).alias("words"), F.first("rest").alias("rest"), F.first("passes").alias("passes"))
+    permuted = numbered(sized.withColumn("permuted", _draw(F.concat(F.lit(f"{SEED}|"), F.col("mix_block").cast("string")))), ["mix_key", "permuted", "mix_block"], {"upto": F.col("words")}, "number")
+    # where each source's blocks begin: one row a source
+    starts = permuted.groupBy("mix_key").agg(F.min("number").alias("first"), F.count("*").alias("in_source"), F.min(F.col("upto") - F.col("words")).alias("ahead"))
+    before = F.col("upto") - F.col("words") - F.col("ahead")
     extra = F.greatest(F.lit(0), F.least(F.col("words"), F.col("rest") - before)).cast("long")
     # the blocks that a last pass reaches come first, so that the numbers of drawn blocks have no gaps
-    blocks = sized.withColumns({"extra": extra, "reached": before < F.col("rest"), "position": F.row_number().over(permuted) - 1}).select("mix_key", "mix_block", "words", "passes", "extra", "reached", "position")
-    blocks = materialize(blocks.withColumn("in_source", F.count("*").over(Window.partitionBy("mix_key"))), "mix-blocks")
+    blocks = permuted.join(starts, "mix_key").withColumns({"extra": extra, "reached": before < F.col("rest"), "position": F.col("number") - F.col("first")})
+    blocks = materialize(blocks.select("mix_key", "mix_block", "words", "passes", "extra", "reached", "position", "in_source"), "mix-blocks")
+
+    # where the quota runs out within a block, one a source at most: the first set of copies of which not all are taken
+    edges = dealt.drop("passes").join(blocks.where("extra > 0 AND extra < words").select("mix_key", "mix_block", "extra"), ["mix_key", "mix_block"])
+    within = Window.partitionBy("mix_key", "mix_block").orderBy("mix_hash", "size").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.col("extra") - F.coalesce(F.sum(F.col("size") * F.col("copies")).over(within), F.lit(0))
+    # a document is taken if the quota comes nearer to its end than to its start
+    fit = F.when(2 * room >= F.col("size"), F.expr("(2 * room - size) DIV (2 * size) + 1")).otherwise(0)
+    edges = edges.where("size > 0").withColumn("room", room).withColumn("cut_taken", F.least("copies", fit)).where("cut_taken < copies")
+    first = F.struct("mix_hash", "size", "copies", "cut_taken")
+    cuts = edges.groupBy("mix_key", "mix_block").agg(F.min(first).alias("cut"))
+    cuts = materialize(cuts.select("mix_key", "mix_block", F.col("cut.mix_hash").alias("cut_hash"), F.col("cut.size").alias("cut_size"), F.col("cut.copies").alias("cut_copies"), F.col("cut.cut_taken").alias("cut_taken")), "mix-cuts")
 
     # each drawn block has a number among its source's: pass by pass, in permuted order
     drawn = blocks.select("mix_key", "mix_block", "words", F.explode(F.expr("filter(sequence(0, 2), p -> p < passes OR (p = passes AND reached))")).alias("pass"), (F.col("pass") * F.col("in_source") + F.col("position")).cast("long").alias("number"))
@@ -157,21 +179,35 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source:
     dealt = nodes.repartition(min(TOP, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "node").sortWithinPartitions("node", "mix_key").mapInPandas(_leaves, "mix_key string, shard long, of long, first long, n long")
     ranges = dealt.where("n > 0").select("mix_key", "shard", "of", F.explode(F.expr("sequence(first, first + n - 1)")).alias("number"))
     shards = drawn.join(ranges, ["mix_key", "number"]).groupBy("mix_key", "mix_block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard", "of"))).alias("shards"))
-    plan = blocks.select("mix_key", "mix_block", "passes", "extra").join(shards, ["mix_key", "mix_block"], "left")
-
-    rows = (docs.withColumns(keyed) if with_text else skinny.drop("source")).join(sources.select("mix_key", "blocks", "source_size", "target"), "mix_key").withColumn("mix_block", block)
-    rows = rows.join(plan, ["mix_key", "mix_block"])
-    within = Window.partitionBy("mix_key", "mix_block").orderBy("mix_hash", "size").rowsBetween(Window.unboundedPreceding, -1)
-    # the document at which the quota runs out is taken if that comes nearer to it
-    taken = 2 * F.coalesce(F.sum("size").over(within), F.lit(0)) + F.col("size") <= 2 * F.col("extra")
-    more = F.when(taken, F.col("size")).otherwise(F.lit(0)).cast("long")
+    plan = blocks.select("mix_key", "mix_block", "passes", (F.col("extra") > 0).alias("reached")).join(shards, ["mix_key", "mix_block"], "left").join(cuts, ["mix_key", "mix_block"], "left")
+
+    base = docs.withColumns(keyed) if with_text else skinny.drop("source")
+    rows = _planned(base, sources, plan)
+    split = cuts.where("cut_taken > 0")
+    if not split.isEmpty():  # of a set of copies, one a source at most, some are taken: its rows are numbered
+        ours = base.join(split.select("mix_key", F.col("cut_hash").alias("mix_hash")), ["mix_key", "mix_hash"], "left_semi")
+        own = F.xxhash64(*(F.col(f"`{c}`") for c in (docs.columns if with_text else [id_column]) if "map<" not in base.schema[c].dataType.simpleString()))
+        copies = numbered(_planned(ours, sources, plan).where("split_copies").withColumn("own", own), ["mix_key", "own"], row_number="nth")
+        ahead = split.withColumn("sets_ahead", F.coalesce(F.sum("cut_copies").over(Window.orderBy("mix_key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a source
+        copies = copies.join(ahead.select("mix_key", "sets_ahead"), "mix_key").withColumn("more", F.when(F.col("nth") - F.col("sets_ahead") <= F.col("cut_taken"), F.col("size")).otherwise(0).cast("long"))
+        rows = rows.where("NOT split_copies").unionByName(copies.select(*rows.columns))
     one = "named_struct('shard', d.shard, 'of', d.of, 'key', xxhash64(mix_hash, d.pass))"
     draws = F.expr(f"coalesce(transform(filter(shards, d -> size > 0 AND (d.pass < passes OR more > 0)), d -> {one}), array())")
-    return rows.withColumn("more", more).withColumns({"taken": F.col("passes") * F.col("size") + F.col("more"), "draws": draws}).select(
+    return rows.withColumns({"taken": F.col("passes") * F.col("size") + F.col("more"), "draws": draws}).select(
         *(docs.columns if with_text else [id_column]), "size", "source_size", "target", "taken", "draws"
     )
 
 
+def _planned(rows: DataFrame, sources: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` with what the plan has for their blocks, and ``more``: the words that a last pass takes; ``split_copies`` marks those of a set of which some are taken."""
+    rows = rows.join(sources.select("mix_key", "blocks", "source_size", "target"), "mix_key").withColumn("mix_block", F.pmod("mix_hash", "blocks"))
+    rows = rows.join(plan, ["mix_key", "mix_block"])
+    at, cut = F.struct("mix_hash", "size"), F.struct(F.col("cut_hash").alias("mix_hash"), F.col("cut_size").alias("size"))
+    whole = F.col("reached") & (F.col("cut_hash").isNull() | (at < cut))
+    more = F.when(whole, F.col("size")).otherwise(0).cast("long")
+    return rows.withColumns({"split_copies": F.coalesce((F.col("cut_taken") > 0) & (at == cut), F.lit(False)), "more": more})
+
+
 def _tops(shard_words: int):
     """A function for one task, which reads one row a source: how many of each source's drawn blocks go to each of TOP nodes at most."""
 

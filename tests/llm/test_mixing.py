@@ -131,3 +131,23 @@ def test_rows_are_those_of_the_sql(spark):
     want = con.execute(f"SELECT doc_id, size, source_size, round(target, 6), taken, n_draws FROM ({sql})").fetchall()
     got = M.mix(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "size", "source_size", F.round("target", 6), "taken", F.size("draws")).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_copies_are_planned_as_one_row(spark):
+    con = duckdb.connect()
+    # two sources whose quota runs out within a set of copies; other columns of copies differ
+    rows = [(5, "four words of text", "en", "a", i, "", i) for i in range(3000)] + [(i, f"text {i}", "en", "a", 0, "", 0) for i in range(100, 160)]
+    rows += [(6, "three more words", "en", "b", 1, "", 1)] * 2000 + [(i, f"other {i}", "en", "b", 0, "", 0) for i in range(200, 240)] + [(None, None, None, None, None, None, None)] * 50
+    frame = pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source", "n_chars", "size", "draws"]).astype({"doc_id": "Int64"})
+    con.register("documents", frame[["doc_id", "text", "source"]])
+    want = con.execute(f"SELECT doc_id, size, source_size, round(target, 6), taken, n_draws FROM ({Q.OP2.replace('100000.0', '500.0')})").fetchall()
+    taken = {k: {r[4] for r in want if r[0] == k} for k in (5, 6)}
+    assert any(len(t) == 2 for t in taken.values())  # some copies once more than others
+    first = None
+    for parts, given in ((3, rows), (5, rows[::-1])):
+        mixed = M.mix(spark.createDataFrame(given, SCHEMA).repartition(parts))
+        got = mixed.select("doc_id", "size", "source_size", F.round("target", 6), "taken", F.size("draws")).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+        which = sorted(str(tuple(r)) for r in mixed.select("doc_id", "n_chars", "taken", "draws").collect())
+        assert first in (None, which)  # the same of the copies, however rows come
+        first = which
