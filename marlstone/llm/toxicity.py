@@ -173,15 +173,22 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text, toxic, fold (of 2) and part (of FOLDS) of a bounded number of labelled rows, written once.
+    """text, toxic, fold (of 2) and part (of FOLDS) of MOST_LABELLED rows at most, written once.
 
-    An id with several labels is toxic if one of them says so. Folds and parts
-    go by the text, so that equal texts are in the same.
+    An id with several labels is toxic if one of them says so. Rows that repeat an id and a text count
+    once; of more than MOST_LABELLED, as where ids have many texts, those with the least
+    hashes of id and text stay. Folds and parts go by the text, so that equal texts are in the same.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
     # MOST_LABELLED rows of two numbers bound what is broadcast
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(chosen), "doc_id").withColumns({"id_hash": F.xxhash64("doc_id"), "text_hash": F.xxhash64("text")})
+    # copies of an id and text meet by their hashes, by partial aggregates, and only hashes are sorted
+    rows = materialize(rows.groupBy("doc_id", "id_hash", "text_hash").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic")), "toxicity-known")
+    if rows.count() > MOST_LABELLED:
+        kept = rows.select("doc_id", "id_hash", "text_hash").orderBy("id_hash", "text_hash", "doc_id").limit(MOST_LABELLED)
+        rows = rows.join(F.broadcast(kept.select("doc_id", "text_hash")), ["doc_id", "text_hash"])  # MOST_LABELLED rows of two numbers
     dealt = lambda k, n: F.pmod(F.xxhash64("text", F.lit(k)), F.lit(n)).cast("int")
     return materialize(rows.select("text", "toxic", dealt(1, 2).alias("fold"), dealt(2, FOLDS).alias("part")), "toxicity-labelled")
 

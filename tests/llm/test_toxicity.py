@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -84,3 +85,15 @@ def test_isotonic_regression_and_trees():
     # the least squares fit among rising ones: no pool can be moved to gain
     s = np.array([1.0, 2, 3, 4, 5, 6])
     assert boosting.isotonic(s, np.array([0.0, 1, 0, 1, 1, 0]))[1] == pytest.approx([0, 0.5, 2 / 3])
+
+
+def test_labelled_rows_are_bounded_where_ids_repeat(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_LABELLED", 40)
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    docs = [(ids[0], "the same text")] * 50 + [(ids[1], f"text {i}") for i in range(60)] + [(i, f"of {i}") for i in ids[2:10]]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in ids[:10]], "doc_id long, toxic int")
+    got = [sorted(tuple(r) for r in toxicity._labelled(frame(d).repartition(n), labels).collect()) for d, n in ((docs, 3), (docs[::-1], 5))]
+    assert got[0] == got[1] and len(got[0]) == 40 and sum(r[0] == "the same text" for r in got[0]) <= 1
+    few = toxicity._labelled(frame(docs[:50] + docs[-8:]), labels).collect()
+    assert sorted(r.text for r in few) == sorted(["the same text", *(t for _, t in docs[-8:])])
