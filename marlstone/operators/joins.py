@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Ranges of time that a key's rows are cut into for an as-of join.
-CELLS = 64
+#: Ranges of time that a key's rows are cut into: as many as shuffle partitions, between these bounds.
+CELLS, MOST_CELLS = 64, 4_096
+
+
+def _in_cells(df: DataFrame, times: DataFrame) -> DataFrame:
+    """``df`` with ``cell``, the number of the range that its column ``at`` falls into: each holds about as many rows of ``times``.
+
+    The ends are quantiles of the column ``at`` of ``times``, from one aggregate
+    with partial sketches; only they reach the driver. Equal times share a
+    range. Nulls have one of their own.
+    """
+    cells = min(MOST_CELLS, max(CELLS, int(times.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    x = F.col("at").cast("double")
+    found = times.agg(F.percentile_approx(x, [i / cells for i in range(1, cells)], 20 * cells).alias("ends")).first()["ends"]
+    ends = sorted({e for e in found or [0.0] if math.isfinite(e)} or {0.0})
+    cut = Bucketizer(splits=[-math.inf, *ends, math.inf], inputCol="at_double", outputCol="cell", handleInvalid="keep")
+    return cut.transform(df.withColumn("at_double", x)).withColumn("cell", F.col("cell").cast("int")).drop("at_double")
 
 
 def as_of(left: DataFrame, right: DataFrame, key: list[str], at: str, values: list[str]) -> DataFrame:
@@ -19,10 +37,11 @@ def as_of(left: DataFrame, right: DataFrame, key: list[str], at: str, values: li
     nothing. ``values`` must not be columns of ``left``, whose own names may
     be any.
 
-    A key with very many rows is spread over cells: CELLS ranges of time between
-    the ends of all times. The last right row of each key and cell, found with
+    A key with very many rows is spread over cells: ranges of time with about as
+    many rows each, so that a burst is cut too. The last right row of each key and cell, found with
     partial maxima, is carried into the cells after it, so that each cell can
-    be searched by itself; only these, CELLS a key at most, meet in one window.
+    be searched by itself; only these, MOST_CELLS a key at most, meet in one window.
+    Rows of one key at one and the same time are in one cell.
     """
     keys = [F.col(k).alias(f"key_{i}") for i, k in enumerate(key)]
     names = [f"key_{i}" for i in range(len(key))]
@@ -32,11 +51,7 @@ def as_of(left: DataFrame, right: DataFrame, key: list[str], at: str, values: li
     known = F.col("at").isNotNull()
     for k in names:
         known = known & F.col(k).isNotNull()
-    ends = right.agg(F.min(at).cast("double").alias("least"), F.max(at).cast("double").alias("most")).first()
-    least, most = ends["least"] or 0.0, ends["most"] or 0.0
-    width = (most - least) / CELLS or 1.0
-    cell = F.greatest(F.lit(0), F.least(F.lit(CELLS - 1), F.floor((F.col("at").cast("double") - least) / width))).cast("int")
-    both = mine.unionByName(theirs).withColumn("cell", cell)
+    both = _in_cells(mine.unionByName(theirs), left.select(F.col(at).alias("at")).union(right.select(at)))
     # what each cell begins with: the last right row of the cells before it
     top = F.max(F.when(F.col("side") == 0, F.struct("at", "found"))).alias("top")
     tops = both.where(known).groupBy(*names, "cell").agg(top, F.max("side").alias("has_left"))
@@ -65,14 +80,32 @@ def interval(points: DataFrame, spans: DataFrame, key: list[str], at: str, first
 def sessions(df: DataFrame, key: list[str], at: str, gap: int) -> DataFrame:
     """Adds ``session``, counted from 1 by key: a row more than ``gap`` after the one before begins a new one.
 
-    A column ``session`` of ``df`` is replaced. A key's rows are one window, which can spill.
+    Times are numbers. Rows without a time are in no session (null); null keys
+    are a key. A column ``session`` of ``df`` is replaced.
+
+    A key with very many rows is spread over ranges of time with about as many
+    rows each. Sessions are counted within a range, and a row for each key and
+    range, with its ends and its count, says which number it begins with. Only
+    these, MOST_CELLS a key at most, meet in one window. ``df`` is read three
+    times: for the ranges, for what they begin with (keys and times alone) and
+    for its rows. Rows of one key at one and the same time are in one range.
     """
-    order = Window.partitionBy(*key).orderBy(at)
-    new = F.coalesce(F.col(at) - F.lag(at).over(order) > gap, F.lit(True))
     plain = df.drop("session") if "session" not in {*key, at} else df
-    row = plain.select(F.struct(*(F.col(c).alias(f"c_{i}") for i, c in enumerate(plain.columns))).alias("row"), *(F.col(k).alias(f"key_{i}") for i, k in enumerate(key)), F.col(at).alias("at"), new.cast("int").alias("begins"))
-    by = Window.partitionBy(*(f"key_{i}" for i in range(len(key)))).orderBy("at")
-    return row.select(*(F.col(f"row.c_{i}").alias(c) for i, c in enumerate(plain.columns)), F.sum("begins").over(by).alias("session"))
+    rows = plain.select(F.struct(*(F.col(f"`{c}`").alias(f"c_{i}") for i, c in enumerate(plain.columns))).alias("row"), F.struct(*(F.col(f"`{k}`").alias(f"key_{i}") for i, k in enumerate(key))).alias("key"), F.col(f"`{at}`").alias("at"))
+    known = rows.where("at IS NOT NULL")
+    within = Window.partitionBy("key", "cell").orderBy("at")
+    begins = F.coalesce(F.col("at") - F.lag("at").over(within) > gap, F.lit(False)).cast("long")
+    local = _in_cells(known, known).withColumn("begins", begins)
+    # each range: whether its first row begins a session, and how many more begin within it
+    cells = local.groupBy("key", "cell").agg(F.min("at").alias("head"), F.max("at").alias("tail"), F.sum("begins").alias("more"))
+    by_cell = Window.partitionBy("key").orderBy("cell")
+    fresh = F.coalesce(F.col("head") - F.lag("tail").over(by_cell) > gap, F.lit(True)).cast("long")
+    upto = by_cell.rowsBetween(Window.unboundedPreceding, 0)
+    first = (F.sum("fresh").over(upto) + F.sum("more").over(upto) - F.col("more")).alias("first")
+    carried = cells.withColumn("fresh", fresh).select("key", "cell", first)
+    numbered = local.withColumn("nth", F.sum("begins").over(within)).join(carried, ["key", "cell"]).select("row", (F.col("first") + F.col("nth")).alias("session"))
+    found = numbered.unionByName(rows.where("at IS NULL").select("row", F.lit(None).cast("long").alias("session")))
+    return found.select(*(F.col(f"row.c_{i}").alias(c) for i, c in enumerate(plain.columns)), "session")
 
 
 def top(df: DataFrame, by: list[str], order: list, k: int) -> DataFrame:

@@ -32,6 +32,32 @@ def test_interval(spark):
     assert got == sorted((i, j) for i, k, t in left for j, q, s in right if None not in (k, t, s) and k == q and s <= t < s + 7)
 
 
+def test_as_of_with_a_burst(spark):
+    rng = random.Random(11)
+    times = [*(1_000_000 + rng.randrange(400) for _ in range(300)), *rng.sample(range(10**9), 40)]
+    left, right = [(i, 1, t) for i, t in enumerate(times)], [(i, 1, t) for i, t in enumerate(rng.sample(times, 150))]
+    a, b = spark.createDataFrame(left, "i int, k int, t int").repartition(3), spark.createDataFrame(right, "j int, k int, t int")
+    got = {r.i: r.j for r in joins.as_of(a, b, ["k"], "t", ["j"]).collect()}
+    assert got == {i: max(((u, j) for j, _, u in right if u <= t), default=(0, None))[1] for i, _, t in left}
+    at = b.select(F.col("t").alias("at"))
+    spread = joins._in_cells(at, at).groupBy("cell").count().agg(F.max("count")).first()[0]
+    assert spread <= 15  # of 150 rows, nearly all in one burst
+
+
+def test_sessions_of_a_hot_key(spark):
+    rng = random.Random(12)
+    rows = [(i, rng.choice(["a"] * 8 + ["b", None]), rng.choice([None, rng.randrange(50), 10**6 + rng.randrange(3000), rng.randrange(10**9)])) for i in range(600)]
+    df = spark.createDataFrame(rows, "i int, k string, t long").repartition(5)
+    want, last, count = {}, {}, {}
+    for i, k, t in sorted(rows, key=lambda r: (r[2] is None, r[2] or 0)):
+        if t is not None and (k not in last or t - last[k] > 9):
+            count[k] = count.get(k, 0) + 1
+        want[i] = None if t is None else count[k]
+        last[k] = t if t is not None else last.get(k)
+    assert {r.i: r.session for r in joins.sessions(df, ["k"], "t", 9).collect()} == want
+    assert joins.sessions(df.limit(0), ["k"], "t", 9).collect() == []
+
+
 def test_sessions_and_top(spark):
     df = spark.createDataFrame([("a", 1), ("a", 5), ("a", 20), ("a", 30), ("b", 3)], "k string, t int")
     got = sorted((r.k, r.t, r.session) for r in joins.sessions(df, ["k"], "t", 10).collect())
