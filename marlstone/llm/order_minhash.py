@@ -1,6 +1,7 @@
 """Order MinHash fingerprints, inside the JVM.
 
-A text's k-mers are runs of K words. Each is numbered by its occurrence, and
+A text's k-mers are runs of K units: words, and single characters of scripts
+that are written without blanks between words. Each is numbered by its occurrence, and
 hashed with that number. The hashes lie on a ring, and each of POINTS hash
 functions is the distance on it from a point of its own: of all k-mers of the
 text, it selects the TUPLE = 2 that come first from there. These are put back
@@ -20,6 +21,8 @@ from pyspark.sql.window import Window
 from marlstone.llm.native import let, lower_bound, words
 
 K, POINTS, TUPLE = 3, 64, 2
+#: Fixed values, Unicode's blocks of scripts without blanks: Thai and Lao, Myanmar, Khmer, CJK radicals, kana, kana's phonetic extensions, Han extension A, Han, Han for compatibility, halfwidth kana, Han's planes.
+UNSPACED = "0E00-0EFF 1000-109F 1780-17FF 2E80-2FDF 3040-30FF 31F0-31FF 3400-4DBF 4E00-9FFF F900-FAFF FF66-FF9F 20000-3FFFF"
 #: Hex digits of a function's value: 32 bits.
 HEX = 8
 EMPTY = "-" * HEX
@@ -30,6 +33,12 @@ LAST = (1 << PLACE_BITS) - 1
 BUCKET_ROWS, MOST_BUCKETS, SAMPLED = 2_000, 1 << 16, 40
 
 
+def _units(text: str) -> str:
+    """SQL for a text's units in order. A word ends before and after each character of UNSPACED, which is a unit of its own."""
+    ranges = "".join("-".join(rf"\\x{{{end}}}" for end in block.split("-")) for block in UNSPACED.split())
+    return words(f"regexp_replace({text}, '([{ranges}])', ' $1 ')")
+
+
 def _selected(ordered: str, place: Callable[[str], str], leading: Callable[[str], str]) -> str:
     """SQL for a fingerprint from the k-mers in the ring's order; SQL of the ``place`` and ``leading`` bits of one of them."""
     point = lambda x: f"CAST(shiftright({leading(x)}, {64 - (POINTS - 1).bit_length()}) + {POINTS // 2} AS INT)"
@@ -52,7 +61,8 @@ def _fits(n: str) -> str:
 def fingerprint(text: str) -> Column:
     """The fingerprint of a text column: POINTS values of HEX hex digits; all EMPTY for a null text or one without words.
 
-    A function of the whole text alone. A text of less than K words is a single k-mer.
+    A function of the whole text alone. A text of less than K units is a single k-mer;
+    so is one long word of letters of other scripts, which has no places to be cut at.
     """
     kmer = "xxhash64(" + ", ".join(f"get(u, i + {j})" for j in range(K)) + ")"
     hashes = f"if(size(u) < {K}, array(xxhash64(array_join(u, chr(0)))), transform(sequence(0, size(u) - {K}), i -> {kmer}))"
@@ -67,7 +77,7 @@ def fingerprint(text: str) -> Column:
     short = _selected(packed, lambda x: f"CAST({x} & {LAST}L AS INT)", lambda x: x)
     long = _selected(wide, lambda x: f"{x}.i", lambda x: f"shiftleft({x}.h, {PLACE_BITS})")
     sql = let("s", hashes, let("m", hashed, f"if({_fits('size(m)')}, {short}, {long})"))
-    return F.expr(let("u", words(f"coalesce(`{text}`, '')"), f"if(size(u) = 0, repeat('-', {POINTS * HEX}), {sql})"))
+    return F.expr(let("u", _units(f"coalesce(`{text}`, '')"), f"if(size(u) = 0, repeat('-', {POINTS * HEX}), {sql})"))
 
 
 def likeness(a: str, b: str) -> Column:

@@ -13,7 +13,9 @@ import xxhash
 from marlstone.llm import order_minhash as O
 
 SCHEMA = "doc_id long, text string, next_id string, order_key string"
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Characters of scripts without blanks, each a unit, and words of others.
+ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+WORD = re.compile(rf"[{ALONE}]|[^\x20\x09-\x0D{ALONE}]+")
 
 
 def docs(spark, rows):
@@ -136,3 +138,23 @@ def test_no_cliff_between_lengths(spark):
 def test_empty_texts(spark):
     got = spark.createDataFrame([("",), (None,), ("   ",), ("a",), ("ab",)], "text string").select("text", O.fingerprint("text").alias("p")).collect()
     assert got[0].p == got[1].p == got[2].p == O.EMPTY * O.POINTS and got[3].p != got[0].p and got[3].p != got[4].p
+
+
+def test_scripts_without_blanks(spark):
+    """One changed character of many costs about what one changed word does; unlike texts stay unlike; units are those of plain code."""
+    rng = random.Random(8)
+    for low, high in ((0x4E00, 0x9FFF), (0x0E01, 0x0E2E), (0x20000, 0x2A6D0)):
+        texts = ["".join(chr(rng.randint(low, high)) for _ in range(400)) for _ in range(12)]
+        edited = [t[:150] + "\u3042" + t[151:] for t in texts]
+        assert sum(like(spark, [[t] for t in texts], [[t] for t in edited])) / 12 > 0.9
+        assert max(like(spark, [[t] for t in texts[:6]], [[t] for t in texts[6:]])) < 0.3
+    mixed = ["\u6f22\u5b57 and words\u3068\u304b", "\uff76\uff77\U0002a6d0x\u0e01\u0e31y", "\ud55c\uad6d\uc5b4 \ub744\uc5b4\uc4f0\uae30", "\u6f22"]
+    got = spark.createDataFrame([(t,) for t in mixed], "text string").select(O.fingerprint("text").alias("p")).collect()
+    assert [r.p for r in got] == [plain_print(t) for t in mixed]
+
+
+def test_a_text_of_a_megabyte(spark):
+    rng = random.Random(2)
+    text = " ".join(f"{rng.randint(0, 10**14):015d}" for _ in range(70_000))
+    assert len(text) > 10**6
+    assert spark.createDataFrame([(text,)], "text string").select(O.fingerprint("text").alias("p")).first().p == plain_print(text)
