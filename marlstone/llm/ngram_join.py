@@ -4,7 +4,7 @@ Candidates come from an LSH forest. Each of TREES trees is a trie of labels, of
 DEPTH MinHash values each, kept as a sorted list: texts that share a prefix
 stand in a row. How long a prefix must be is fitted: it starts at DEPTH and is
 shortened until pairs at the threshold are found with the target recall, by law
-and measured on copies of a sample of texts. The lists are range-partitioned,
+and measured on a changed copy of each set. The lists are range-partitioned,
 and rows of a shared prefix are followed across boundaries. Texts that share a
 prefix form a group, and every pair in it is then compared exactly, by the
 shingles themselves.
@@ -31,8 +31,6 @@ SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 64, 16, 0.99999
 #: MinHash functions. The first 8 values of all trees are of as many functions, so that trees are independent; deeper ones are shared.
 FUNCTIONS = 512
-#: The prefix is fitted on about so many texts.
-SAMPLED_TEXTS = 2_000
 #: A group with more texts, or more shingles, is compared in pairs of blocks.
 BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 2_000_000
 #: Distinct texts whose keys a task remembers having put out.
@@ -85,27 +83,32 @@ def packed(label: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return two[:, 0].astype(np.uint64).view(np.int64), two[:, 1].astype(np.uint64).view(np.int64)
 
 
-def _trial(threshold: float):
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts to how many were copied and, for each prefix length, how many of the copies, at the threshold or just above, share one.
+def tried(found: np.ndarray, threshold: float) -> tuple[np.ndarray, int | None]:
+    """A set's labels, and the longest prefix that it shares in any tree with a copy of it that was changed to the threshold or just above.
+
+    No such length (None) for sets so small that a change would take them below
+    the threshold: they would only be compared with themselves. The two sets'
+    MinHash values are the lesser ones of what both have and what each has alone.
+    """
+    changed = int(len(found) * (1 - threshold) / (1 + threshold) + 1e-9)
+    if not changed:
+        return labels(minhashes(found)), None
+    rng = np.random.default_rng(int(found[0]))
+    dealt = rng.permutation(found)
+    both = minhashes(dealt[changed:])
+    own, copy = (labels(np.minimum(both, minhashes(alone))) for alone in (dealt[:changed], rng.integers(0, 1 << 63, changed, dtype=np.uint64)))
+    return own, int(np.logical_and.accumulate(own == copy, axis=1).any(axis=0).sum())
+
+
+def longest_prefix(threshold: float, recall: float) -> int:
+    """The most values of a label for which a pair whose similarity is the threshold itself is found, by law, with the target recall."""
+    return max((depth for depth in range(1, DEPTH + 1) if 1 - (1 - threshold**depth) ** TREES >= recall), default=1)
 
-        Sets so small that a change would take them below the threshold are not copied: they would only be compared with themselves.
-        """
-        n, found = 0, np.zeros(DEPTH, np.int64)
-        for batch in batches:
-            for text in batch.column(0):
-                own = shingles(bytes(text.as_buffer() or b""))
-                changed = int(len(own) * (1 - threshold) / (1 + threshold) + 1e-9)
-                if not changed:
-                    continue
-                rng = np.random.default_rng(int(own[0]))
-                copy = np.union1d(rng.permutation(own)[changed:], rng.integers(0, 1 << 63, changed, dtype=np.uint64))
-                same = np.logical_and.accumulate(labels(minhashes(own)) == labels(minhashes(copy)), axis=1)
-                n, found = n + 1, found + same.any(axis=0)
-        depth = pa.array(np.arange(1, DEPTH + 1, dtype=np.int32))
-        yield pa.RecordBatch.from_arrays([depth, pa.repeat(n, DEPTH), pa.array(found)], names=["depth", "n", "found"])
 
-    return measure
+def fitted(sets: DataFrame, longest: int, recall: float) -> int:
+    """``longest``, shortened until, of all ``sets`` with a length ``reach``, the target share reaches it. The driver gets a count for each length."""
+    n = {r["reach"]: r["count"] for r in sets.where("reach IS NOT NULL").groupBy("reach").count().collect()}
+    return max((depth for depth in range(1, longest + 1) if sum(c for reach, c in n.items() if reach >= depth) >= recall * sum(n.values())), default=1)
 
 
 def prefix_depth(texts: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
@@ -113,42 +116,55 @@ def prefix_depth(texts: DataFrame, threshold: float = THRESHOLD, recall: float =
 
     What the law gives for a pair whose similarity is the threshold itself must
     reach the target, whatever the corpus, so that short texts count as long
-    ones do. So must what is measured, on copies of about SAMPLED_TEXTS texts.
+    ones do. So must what is measured, on a changed copy of each distinct set.
     """
-    sampled = texts.select("text").sample(min(1.0, SAMPLED_TEXTS / max(1, texts.count())), 1)
-    seen = sampled.mapInArrow(_trial(threshold), "depth int, n long, found long").groupBy("depth").agg(F.sum("n"), F.sum("found")).collect()
-    law = [depth for depth in range(1, DEPTH + 1) if 1 - (1 - threshold**depth) ** TREES >= recall]
-    measured = [depth for depth, n, found in seen if found >= recall * n]
-    return min(max(law, default=1), max(measured, default=1)) if seen else max(law, default=1)
+    longest = longest_prefix(threshold, recall)
+    rows = texts.select(F.lit(0).cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.lit(0).cast("long").alias("text_hash"))
+    return fitted(signed(rows, threshold, longest).groupBy("node").agg(F.max("reach").alias("reach")), longest, recall)
 
 
-def _signer(depth: int):
+def _signer(threshold: float, depth: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """doc_id, text, text_hash to the set's hash (null without words), its size and, once for each set in a task, its labels."""
+        """doc_id, text, text_hash to the set's hash (null without words), its size and, once for each set in a task, what its copy shares and its labels."""
         done: set[int] = set()
         for batch in batches:
-            nodes, sizes, high, low = [], [], [], []
+            nodes, sizes, reach, high, low = [], [], [], [], []
             for text in batch.column(1):
                 found = shingles(bytes(text.as_buffer() or b""))
                 node = xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63) if len(found) else None
                 nodes.append(node)
                 sizes.append(len(found))
                 if node is None or node in done:
+                    reach.append(None)
                     high.append(None)
                     low.append(None)
                     continue
                 if len(done) >= REMEMBERED:
                     done.clear()
                 done.add(node)
-                a, b = packed(labels(minhashes(found)), depth)
+                label, shared = tried(found, threshold)
+                a, b = packed(label, depth)
+                reach.append(shared)
                 high.append(a)
                 low.append(b if depth > 8 else None)
-            columns = [batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), _lists(high), _lists(low)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "node", "size", "high", "low"])
+            columns = [batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(reach, pa.int32()), _lists(high), _lists(low)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "node", "size", "reach", "high", "low"])
 
     return sign
 
 
+def signed(texts: DataFrame, threshold: float, depth: int) -> DataFrame:
+    """Each row of (doc_id, text, text_hash) with its set's hash, size, ``reach`` and labels of ``depth`` values."""
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return texts.mapInArrow(_signer(threshold, depth), f"doc_id {kind}, text_hash long, node long, size long, reach int, high array<long>, low array<long>")
+
+
+def _cut(label: Column, values: int) -> Column:
+    """A number of ``packed`` with its first ``values`` values alone."""
+    mask = (1 << 64) - (1 << 8 * (8 - min(8, max(0, values))))
+    return label.bitwiseAND(F.lit(mask - (1 << 64) if mask else 0).cast("long"))
+
+
 def _lists(parts: list[np.ndarray | None]) -> pa.Array:
     """A column of lists, empty for None."""
     offsets = np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in parts])]).astype(np.int32)
@@ -355,18 +371,22 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     """
     spark = docs.sparkSession
     small_batches(spark)
-    kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text")).select("doc_id", "text", "text_hash")
-    signed = texts.mapInArrow(_signer(prefix_depth(texts, threshold, recall)), f"doc_id {kind}, text_hash long, node long, size long, high array<long>, low array<long>")
-    signed = materialize(signed, "forest")
-    members = signed.select("doc_id", "text_hash", "node", "size")
-
-    leaves = signed.select("node", "low", F.posexplode("high").alias("tree", "high")).select("tree", "high", F.coalesce(F.get("low", "tree"), F.lit(0).cast("long")).alias("low"), "node")
+    longest = longest_prefix(threshold, recall)
+    trees = materialize(signed(texts, threshold, longest), "forest")
+    members = trees.select("doc_id", "text_hash", "node", "size")
+
+    of_node = [F.count("*").alias("copies"), F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("one"), F.first("size").alias("size"), F.max("reach").alias("reach")]
+    by_node = materialize(trees.where("node IS NOT NULL").groupBy("node").agg(*of_node), "forest-nodes")
+    depth = fitted(by_node, longest, recall)
+    by_node = by_node.drop("reach")
+
+    leaves = trees.select("node", "low", F.posexplode("high").alias("tree", "high"))
+    low = F.coalesce(F.get("low", "tree"), F.lit(0).cast("long"))
+    leaves = leaves.select("tree", _cut(F.col("high"), depth).alias("high"), _cut(low, depth - 8).alias("low"), "node")
     chained = chains(leaves)
     groups = materialize(components(chained, "forest-chains"), "forest-groups")
 
-    by_node = members.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("one"), F.first("size").alias("size"))
-    by_node = materialize(by_node, "forest-nodes")
     candidates = by_node.join(groups.select("node", F.col("root").alias("comp")), "node").withColumn("rank", _size_rank(threshold))
     candidates = candidates.join(materialize(_blocks(candidates, threshold), "forest-blocks"), ["comp", "rank"]).withColumn("mine", F.col("begin") + F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
     candidates = candidates.select("comp", "node", "copies", "mine", "low", "high", F.col("one.doc_id").alias("of_id"), F.col("one.text_hash").alias("of_hash"))

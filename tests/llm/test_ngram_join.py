@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from marlstone.llm import ngram_join as N
 from marlstone.llm.components import components
@@ -100,6 +101,28 @@ def test_prefixes_are_shortened_until_pairs_at_the_threshold_are_found(spark):
     assert missed <= 1
 
 
+def test_the_prefix_is_measured_on_every_set(spark):
+    rng = random.Random(14)
+    made = [" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(94)) for _ in range(4000)]  # 90 windows, so that copies are at the threshold itself
+    df = spark.createDataFrame([(t,) for t in [*made, *made[:500], None, "one"]], "text string").repartition(3)
+    reach = [N.tried(N.shingles(t.encode()), N.THRESHOLD)[1] for t in made]
+    share = [sum(r >= depth for r in reach) / len(made) for depth in range(1, N.DEPTH + 1)]
+    for depth in (12, 13, 14, 15, 16):
+        for recall in (share[depth - 1], share[depth - 1] + 1e-6):  # what all sets reach, and more than that
+            longest = max(d for d in range(1, depth + 1) if share[d - 1] >= recall)
+            law = max(d for d in range(1, N.DEPTH + 1) if 1 - (1 - 0.8**d) ** N.TREES >= recall)
+            assert N.prefix_depth(df, recall=recall) == min(law, longest)
+
+
+def test_shorter_prefixes_are_those_of_packed_labels(spark):
+    label = np.random.default_rng(15).integers(0, 256, (40, N.DEPTH), dtype=np.uint8)
+    df = spark.createDataFrame(zip(*(x.tolist() for x in N.packed(label, 16)), strict=True), "high long, low long").coalesce(1)
+    for depth in range(1, 17):
+        got = df.select(N._cut(F.col("high"), depth), N._cut(F.col("low"), depth - 8)).collect()
+        high, low = N.packed(label, depth)
+        assert [r[0] for r in got] == high.tolist() and [r[1] for r in got] == (low.tolist() if depth > 8 else [0] * 40)
+
+
 def test_labels_sort_as_their_values():
     rng = np.random.default_rng(1)
     label = rng.integers(0, 256, (500, 16)).astype(np.uint8)
