@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import re
 
 import pandas as pd
 import pytest
@@ -30,6 +31,15 @@ def test_strategies_are_those_asked_for(spark):
     assert "LeftSemi" in found and "GreaterThanOrEqual(o_totalprice,350000.0)" in found.split("PushedFilters")[2] and "ReadSchema: struct<o_custkey:bigint,o_totalprice:double>" in found
 
 
+def test_a_sketch_is_kept_for_each_type_of_event_alone(spark, tmp_path):
+    rows = [(kind, user) for kind in ("a", "b", None) for user in [*range(300), None] for _ in range(2)] + [("c", None)]
+    spark.createDataFrame(rows, "event_type string, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    found = relational.event_users(spark, str(tmp_path))
+    assert {tuple(r) for r in found.collect()} == {("a", 300, True), ("b", 300, True), (None, 300, True), ("c", 0, True)}
+    by_pair = re.findall(r"keys=\[event_type#\w+, user_id#\w+\], functions=\[(.*?)\]", plan(found))
+    assert by_pair and not any(by_pair)
+
+
 @pytest.mark.parametrize("kind", relational.FORMATS)
 def test_files_keep_nulls_and_odd_strings(spark, tmp_path, kind):
     rows = [(1, None, 1.5, "a"), (2, "", None, "a"), (3, 'quote " comma, é', -0.25, "b"), (None, "x", 2.0, "b"), (4, "null", 0.0, "c")]
