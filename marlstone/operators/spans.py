@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.operators.order import numbered
+from marlstone.sources import materialize
+
+#: Keys with no more rows than this, both sides together, are joined whole; only the rows of others are put into cells.
+KEY_ROWS = 2_000
 
 
 def _level(first: str, end: str) -> Column:
@@ -22,6 +26,10 @@ def _cells(first: str, end: str, level: str) -> Column:
 def overlaps(left: DataFrame, right: DataFrame, key: list[str], left_span: tuple[str, str], right_span: tuple[str, str]) -> DataFrame:
     """Every pair of a left and a right row with one key whose spans (first, end; whole numbers, end exclusive) have a point in common, once.
 
+    Both sides are written once. Rows of a key that has KEY_ROWS at most are
+    joined by the key alone, each held once, as so few are soon compared. Keys
+    with more are spread over dyadic cells, as no key may be one task:
+
     Spans may have any lengths. A span's level is the power of two next to its
     length. It lies in one or two dyadic cells of its own level, and in as many
     of each level above. A pair meets in cells of the longer one's level, and
@@ -32,8 +40,25 @@ def overlaps(left: DataFrame, right: DataFrame, key: list[str], left_span: tuple
     Rows with a null key or end, and empty spans, have no pairs. Keys are
     given once; the two sides' other column names must differ.
     """
-    a = left.where((F.col(left_span[0]) < F.col(left_span[1]))).withColumn("span_level", _level(*left_span))
-    b = right.where((F.col(right_span[0]) < F.col(right_span[1]))).withColumn("span_level", _level(*right_span))
+    known = F.lit(True)
+    for k in key:
+        known = known & F.col(k).isNotNull()
+    a = materialize(left.where(known & (F.col(left_span[0]) < F.col(left_span[1]))), "spans-left")
+    b = materialize(right.where(known & (F.col(right_span[0]) < F.col(right_span[1]))), "spans-right")
+    if not key:
+        return _in_cells(a, b, key, left_span, right_span)
+    met = (F.col(left_span[0]) < F.col(right_span[1])) & (F.col(right_span[0]) < F.col(left_span[1]))
+    large = a.select(*key).unionByName(b.select(*key)).groupBy(*key).agg(F.count("*").alias("rows_of_key")).where(F.col("rows_of_key") > KEY_ROWS).select(*key)
+    large = materialize(large, "spans-keys")
+    if large.isEmpty():
+        return a.join(b, key).where(met)
+    few = a.join(large, key, "left_anti").join(b.join(large, key, "left_anti"), key).where(met)
+    return few.unionByName(_in_cells(a.join(large, key, "left_semi"), b.join(large, key, "left_semi"), key, left_span, right_span))
+
+
+def _in_cells(left: DataFrame, right: DataFrame, key: list[str], left_span: tuple[str, str], right_span: tuple[str, str]) -> DataFrame:
+    """The pairs of ``overlaps`` by dyadic cells, whatever a key's number of rows."""
+    a, b = left.withColumn("span_level", _level(*left_span)), right.withColumn("span_level", _level(*right_span))
     levels = {side: sorted(r[0] for r in rows.select("span_level").distinct().collect()) for side, rows in (("left", a), ("right", b))}  # 64 numbers at most
 
     def own(rows: DataFrame, span: tuple[str, str]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from marlstone.operators import joins, spans
@@ -77,6 +78,22 @@ def test_overlaps(spark):
     assert spans.overlaps(a.limit(0), b, ["k"], ("s", "e"), ("f", "g")).collect() == []
 
 
+@pytest.mark.parametrize("key_rows", [0, 30, 2_000])
+def test_overlaps_of_keys_with_few_and_many_rows(spark, monkeypatch, key_rows):
+    monkeypatch.setattr(spans, "KEY_ROWS", key_rows)
+    rng = random.Random(13)
+    made = lambda n: [(i, rng.choice([1, 1, 1, 2, 3, None]), rng.choice([5, None, 7]), s, s + rng.choice([0, 1, 40, 3000])) for i in range(n) for s in [rng.randint(-4000, 4000)]]
+    left, right = made(150), made(130)
+    a = spark.createDataFrame(left, "i int, k int, l int, s long, e long").repartition(3)
+    b = spark.createDataFrame(right, "j int, k int, l int, f long, g long")
+    found = spans.overlaps(a, b, ["k", "l"], ("s", "e"), ("f", "g"))
+    want = sorted((i, j) for i, k, m, s, e in left for j, q, n, f, g in right if None not in (k, m) and (k, m) == (q, n) and s < e and f < g and s < g and f < e)
+    assert sorted((r.i, r.j) for r in found.collect()) == want and len(want) > 150
+    assert found.columns == ["k", "l", "i", "s", "e", "j", "f", "g"]
+    # only keys with many rows have them repeated, once a cell
+    assert ("Generate" in found._jdf.queryExecution().optimizedPlan().toString()) == (key_rows < 2_000)
+
+
 def test_at_most(spark):
     rng = random.Random(10)
     left = [(i, rng.choice([None, *range(12)])) for i in range(70)]
